@@ -1,0 +1,54 @@
+import struct
+import zlib
+from collections import Counter
+from math import log
+
+import xxhash
+
+from tarnfold.llm import sharding
+from tests.llm.helpers import awkward, empty
+
+
+def spark_hash(key, label):
+    seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    return xxhash.xxh64_intdigest(label.encode(), seed=seed)
+
+
+def brute(key, node):
+    while node.children:
+        node = min(node.children, key=lambda x: -log(((spark_hash(key, x.label) >> 11) + 1) / 2**53) / x.weight) if len(node.children) > 1 else node.children[0]
+    return node.shard
+
+
+def test_against_brute_force_and_growth(spark):
+    tree = sharding.even_tree()
+    bigger = sharding.grown(tree)
+    got = sharding.assign(spark.range(3000).selectExpr("id as doc_id", "string(id) as text"), tree).collect()
+    for r in got:
+        assert r.shard == brute(r.doc_id, tree) and r.grown_shard == brute(r.doc_id, bigger)
+        assert r.grown_shard in (r.shard, 8)
+        assert r.text_crc32 == zlib.crc32(str(r.doc_id).encode()) and r.size == len(str(r.doc_id)) + 1
+    per = Counter(r.shard for r in got)
+    assert set(per) == set(range(8)) and max(per.values()) < 1.4 * min(per.values())
+    for s in per:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(per[s]))
+
+
+def test_movement_stays_in_the_subtrees_that_change(spark):
+    tree = sharding.even_tree()
+    rack = tree.children[0].children[0]
+    heavy = sharding.Node(rack.label, (sharding.Node(rack.children[0].label, shard=0, own_weight=3.0), rack.children[1]))
+    other = sharding.Node("root", (sharding.Node("r0", (heavy, tree.children[0].children[1])), tree.children[1]))
+    keys = spark.range(4000)
+    rows = keys.select("id", sharding.place(keys.id, tree).alias("a"), sharding.place(keys.id, other).alias("b")).collect()
+    assert any(r.a != r.b for r in rows)
+    assert not any(r.a != r.b and r.a in (2, 3) and r.b in (4, 5, 6, 7) for r in rows)
+    assert not any(r.a != r.b and r.a >= 4 and r.b >= 4 for r in rows)
+
+
+def test_awkward(spark):
+    got = sharding.assign(awkward(spark), sharding.even_tree()).collect()
+    assert len(got) == 10
+    assert {r.size for r in got if r.doc_id in (3, 4)} == {1}
+    assert len({(r.shard, r.slot) for r in got}) == 10
+    assert sharding.assign(empty(spark), sharding.even_tree()).count() == 0
