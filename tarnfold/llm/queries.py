@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import pii, sharding, transport_stream
+from tarnfold.llm import block_naming, chat, pii, sharding, toxicity, transport_stream
 from tarnfold.llm.common import table
 
 
@@ -22,9 +22,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.groups(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_media, op4_pii)}
+    return {f.__name__: f for f in (op1_sharding, op3_media, op4_pii, op6_block_naming, op7_toxicity, op8_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_block_naming": block_naming.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
