@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import block_naming, chat, pii, sharding, toxicity, transport_stream
+from tarnfold.llm import block_naming, chat, langid, packing, piece_lattice, pii, sharding, toxicity, transport_stream
 from tarnfold.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.even_tree())
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digests(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.groups(table(spark, sf_dir, "documents"))
 
@@ -35,8 +43,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_media, op4_pii, op6_block_naming, op7_toxicity, op8_chat)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_media, op4_pii, op5_pieces, op6_block_naming, op7_toxicity, op8_chat, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,53 @@
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarnfold.llm import piece_lattice as pl
+from tests.llm.helpers import awkward, empty
+
+
+def every(own, word):
+    """All segmentations of a marked text, by recursion."""
+    edges = own.edges(word)
+
+    def back(end):
+        if not end:
+            yield 0.0, ()
+        for i, s, ids in edges[end]:
+            for got, rest in back(i):
+                yield got + s, rest + ids
+
+    return sorted(((s, ids) for s, ids in back(len(word))), key=lambda x: (-x[0], x[1]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="thern on,é▁漢", max_size=11))
+def test_n_best_against_all_segmentations(text):
+    own = pl.lattice()
+    got = own.encode(text)
+    if not text:
+        assert got == [(0.0, b"")]
+        return
+    want = every(own, " " + text)
+    assert [s for s, _ in got] == [s for s, _ in want[: own.n]]
+    known = {(s, ids) for s, ids in want}
+    seen = [(s, tuple(np.frombuffer(ids, "<u4").tolist())) for s, ids in got]
+    assert len(set(seen)) == len(seen) and set(seen) <= known
+    assert all(own.decode(ids) == text for _, ids in got)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_decoding_gives_the_text_back(text):
+    own = pl.lattice()
+    assert all(own.decode(ids) == text for _, ids in own.encode(text))
+
+
+def test_awkward(spark):
+    docs = awkward(spark)
+    rows = pl.digests(docs).collect()
+    assert len(rows) == 10 and all(r.exact for r in rows)
+    assert {r.n_pieces for r in rows if r.doc_id in (3, 4)} == {0}
+    assert pl.digests(empty(spark)).count() == 0
+    best = pl.segmentations(docs).where("doc_id = 8").orderBy("rank").collect()
+    assert [r.rank for r in best] == [0, 1, 2, 3] and [r.score for r in best] == sorted((r.score for r in best), reverse=True)
