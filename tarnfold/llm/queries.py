@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import block_naming, chat, langid, packing, piece_lattice, pii, sharding, toxicity, transport_stream
+from tarnfold.llm import block_naming, chat, langid, ngram_join, packing, piece_lattice, pii, sharding, toxicity, transport_stream
 from tarnfold.llm.common import table
 
 
@@ -43,12 +43,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_media, op4_pii, op5_pieces, op6_block_naming, op7_toxicity, op8_chat, op10_langid)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_media, op4_pii, op5_pieces, op6_block_naming, op7_toxicity, op8_chat, op9_ngram_join, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
