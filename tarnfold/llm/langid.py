@@ -30,7 +30,8 @@ WORDS = 60_000
 GRAMS = 60_000
 LANGUAGES = 256
 LONGEST = 5
-FLUSH = 250_000  # distinct words a task holds before it passes counts on
+MEMO = 300_000  # unseen words whose scores a worker keeps
+FLUSH = 500_000  # distinct words a task holds before it passes counts on
 
 _RUNS = re.compile(r"[^\W\d_]+")
 
@@ -39,11 +40,9 @@ def words_of(text: str) -> list[str]:
     return _RUNS.findall(text.lower())
 
 
-def grams_of(word: str) -> Iterator[str]:
-    edged = f"\x02{word}\x03"
-    for n in range(1, LONGEST + 1):
-        for i in range(len(edged) - n + 1):
-            yield edged[i : i + n]
+def edged(word: str) -> str:
+    """A word with its edges marked, so that an n-gram of full length begins at each letter."""
+    return f"\x02{word}" + "\x03" * (LONGEST - 1)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -51,7 +50,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: kind w (words), g (n-grams), t (totals of both) and d (documents)."""
+    """Partial counts: kind w (words), g (n-grams of full length; the shorter ones are their beginnings) and t (of words and documents)."""
     words: dict[str, Counter] = defaultdict(Counter)
     grams: dict[str, Counter] = defaultdict(Counter)
     other: dict[str, Counter] = defaultdict(Counter)
@@ -66,8 +65,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = grams[lang]
             for w, n in c.items():
                 if len(w) < 40:
-                    for g in grams_of(w):
-                        own[g] += n
+                    e = edged(w)
+                    for i in range(len(w) + 1):
+                        own[e[i : i + LONGEST]] += n
             other[lang]["w"] += c.total()
 
     for batch in batches:
@@ -85,6 +85,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows("t", other)
 
 
+def _beginnings(grams: DataFrame) -> DataFrame:
+    """Counts of n-grams of every length out of those of full length."""
+    each = grams.select("term", F.explode("by").alias("b")).select("b", F.explode(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("term"))
+    per = each.groupBy("term", F.col("b.lang").alias("lang")).agg(F.sum("b.n").alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+
+
 def _commonest(table: DataFrame, most: int) -> DataFrame:
     """Terms with their counts by language, the most frequent ones up to ``most``; whole counts, cut at one frequency."""
     grade = F.floor(F.log2(F.col("total")) * 8)
@@ -104,44 +111,55 @@ class Model:
     grams: dict[str, int]
     rows: np.ndarray  # log frequencies: row 0 is zero, then words, then n-grams
     _memo: dict[str, int] = field(default_factory=dict)
-    _more: list[np.ndarray] = field(default_factory=list)
+    _used: int = 0
 
     def spelled(self, word: str) -> np.ndarray:
         """The mean over the letters of an unseen word of the longest known n-gram from each."""
-        edged, got = f"\x02{word}\x03", []
-        for i in range(len(edged)):
-            for n in range(min(LONGEST, len(edged) - i), 0, -1):
-                at = self.grams.get(edged[i : i + n])
+        e, got, known = edged(word), [], self.grams.get
+        for i in range(len(word) + 1):
+            for n in range(LONGEST, 0, -1):
+                at = known(e[i : i + n])
                 if at is not None:
                     got.append(at)
                     break
-        return self.rows[got].mean(axis=0) if got else np.zeros(len(self.languages), np.float32)
+        return self.rows[got].sum(axis=0) / len(got) if got else np.zeros(len(self.languages), np.float32)
+
+    def _place(self, word: str) -> int | np.ndarray:
+        """The row of a word not met before, or where no more rows are kept, its scores; row 0 is for what has no letter."""
+        if not self._used:
+            self._memo.update(self.words)
+            self._used = len(self.rows)
+            self.rows = np.concatenate([self.rows, np.zeros((MEMO, self.rows.shape[1]), np.float32)])
+        at = self._memo.get(word)
+        if at is not None:
+            return at
+        if not any(c.isalpha() for c in word):
+            return 0
+        row = self.spelled(word)
+        if self._used == len(self.rows) or len(word) >= 40:
+            return row
+        self.rows[self._used] = row
+        self._memo[word] = self._used
+        self._used += 1
+        return self._used - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text or ""))
-        total, letters, known = np.zeros(len(self.languages)), False, []
-        for w, n in counts.items():
-            at = self.words.get(w)
-            if at is not None:
-                known.append((at, n))
-                continue
-            if not letters and not any(c.isalpha() for c in w):
-                continue
-            letters = True
-            at = self._memo.get(w)
-            if at is None:
-                row = self.spelled(w)
-                if len(self._more) < 150_000 and len(w) < 40:
-                    self._memo[w] = len(self._more)
-                    self._more.append(row)
-            else:
-                row = self._more[at]
-            total += n * row
-        if known:
-            at = np.array(known)
-            total += at[:, 1] @ self.rows[at[:, 0]]
-        if not (known or letters) or not self.languages:
+        if not self.languages:
+            return "und", 0.0
+        words = words_of(text or "")
+        at = list(map(self._memo.get, words))
+        more = []
+        for i, w in enumerate(words):
+            if at[i] is None:
+                got = self._place(w)
+                if isinstance(got, int):
+                    at[i] = got
+                else:
+                    at[i] = 0
+                    more.append(got)
+        if not any(at) and not more:
             return "und", 0.0
+        total = self.rows[at].sum(axis=0, dtype=np.float64) + sum(more)
         z = total + self.prior
         p = np.exp(z - z.max())
         best = int(np.argmax(p))
@@ -156,7 +174,7 @@ def learn(docs: DataFrame) -> Model:
     parts = given.mapInArrow(_counted, "kind string, term string, lang string, n long").repartition(width(spark), "kind", "term")
     per = parts.groupBy("kind", "term", "lang").agg(F.sum("n").alias("n"))
     terms = per.groupBy("kind", "term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    terms = stage(terms.where("total > 1 or kind = 't'"), "language-counts")
+    terms = stage(terms.where("total > 1 or kind <> 'w'"), "language-counts")
     totals = {(r.term, b.lang): b.n for r in terms.where("kind = 't'").collect() for b in r["by"]}
     languages = sorted(sorted({g for t, g in totals if t == "d"}, key=lambda g: (-totals["d", g], g))[:LANGUAGES], key=lambda g: (-totals["d", g], g))
     place = {g: i for i, g in enumerate(languages)}
@@ -165,7 +183,8 @@ def learn(docs: DataFrame) -> Model:
     rows, found = [np.zeros((1, len(languages)), np.float32)], {"w": {}, "g": {}}
     at = 1
     for kind, most in (("w", WORDS), ("g", GRAMS)):
-        got = _commonest(terms.where(F.col("kind") == kind), most).orderBy("term").select("term", "by").toArrow()
+        own = terms.where(F.col("kind") == kind).select("term", "total", "by")
+        got = _commonest(_beginnings(own) if kind == "g" else own, most).orderBy("term").select("term", "by").toArrow()
         names, by = got["term"].to_pylist(), got["by"].to_pylist()
         counts = np.zeros((len(names), len(languages)))
         for i, own in enumerate(by):

@@ -25,8 +25,16 @@ def test_counts_cover_every_document(spark):
     es, en = m.languages.index("es"), m.languages.index("en")
     row = m.rows[m.words["dos"]]
     assert np.isclose(row[es], np.log(2.05) - np.log(3 + 0.05 * 3)) and np.isclose(row[en], np.log(0.05) - np.log(4 + 0.05 * 3))
-    want = Counter(g for w, n in (("one", 2), ("two", 2)) for g in langid.grams_of(w) for _ in range(n))
-    assert set(want) <= set(m.grams)
+    want = {e[i : i + n] for w in ("one", "two") for e in (langid.edged(w),) for i in range(len(w) + 1) for n in range(1, 6)}
+    assert want <= set(m.grams)
+    lone = m.rows[m.grams["o"]]
+    assert np.isclose(np.exp(lone[en] - lone[es]), ((4.05 / (m_total(m, rows, "en"))) / (3.05 / m_total(m, rows, "es"))), rtol=1e-4)
+
+
+def m_total(m, rows, lang):
+    """All counted n-grams of a language that were kept, smoothed."""
+    own = Counter(e[i : i + n] for _, t, g in rows if g == lang and t for w in langid.words_of(t) for e in (langid.edged(w),) for i in range(len(w) + 1) for n in range(1, 6))
+    return sum(n for g, n in own.items() if g in m.grams) + 0.05 * len(m.grams)
 
 
 def test_backoff_takes_the_longest_known_gram():
