@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column functions: text, references, signatures, hashes and identifiers."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Relational operators: chunking, catalog, selection, rendering, memory, edits, loops, skills."""

@@ -5,13 +5,264 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnfold.functions import text as tx
+from tarnfold.operators import catalog, edits, loops, markdown, memory, rendering, selection
+from tarnfold.plans import corpus, twins
+from tarnfold.plans.corpus import read
+from tarnfold.plans.workers import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
+PROMPT = twins.PROMPT
+
+
+def corpus_scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the whole corpus by top folder: how many, how many supported and visible, their characters."""
+    every = corpus.conversation_files(spark, sf_dir).unionByName(corpus.document_files(spark, sf_dir).drop("doc_id")).unionByName(corpus.page_files(spark, sf_dir))
+    taken = tx.supported(F.col("path")) & tx.visible(F.col("path"))
+    return every.groupBy(F.split("path", "/")[0].alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.count_if(taken).alias("taken"), F.sum(F.char_length("content")).alias("chars"))
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return markdown.sections(corpus.conversation_files(spark, sf_dir))
+
+
+def md_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sections(spark, sf_dir).select("path", "ordinal", "kind", "name", "body", F.array_join("refs", " ").alias("refs"))
+
+
+def md_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.page_files(spark, sf_dir).withColumn("refs", tx.markdown_refs(F.col("content")))
+    return rows.select("path", F.size("refs").alias("n_refs"), F.array_join("refs", " ").alias("refs"))
+
+
+def script_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.page_files(spark, sf_dir).withColumn("refs", tx.script_refs(F.col("content")))
+    return rows.select("path", F.size("refs").alias("n_refs"), F.array_join("refs", " ").alias("refs"))
+
+
+def chunk_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("  // "), F.col("role"), F.lit("\n\n* "), F.col("role"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\n\t "), F.col("text"))).otherwise(""))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.signature(body).alias("signature"), tx.qualified(F.col("conv_id").cast("string"), F.col("role")).alias("qualified"))
+
+
+def incremental_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, later = corpus.snapshots(spark, sf_dir)
+    return catalog.changes(later, files).select("path", "status")
+
+
+def prune_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, later = corpus.snapshots(spark, sf_dir)
+    return catalog.gone(files, later).select("path", "hash")
+
+
+def index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, later = corpus.snapshots(spark, sf_dir)
+    changed = catalog.changes(later, files)
+    return catalog.report(changed, catalog.gone(files, later), changed.where("status = 'PARSE'"))
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf_dir, "conversations").select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("ordinal"), F.col("role").alias("name"), F.lit("Section").alias("kind"))
+    old = rows.withColumn("id", F.concat_ws(":", "path", "ordinal"))
+    return old, rows.where("ordinal % 3 <> 1")
+
+
+def stable_id_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _versions(spark, sf_dir)
+    return catalog.matched(new, old).select("path", "name", "ordinal", F.col("occ").cast("long"), "old_id")
+
+
+def evicted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _versions(spark, sf_dir)
+    return catalog.evicted(new, old).select("path", "name", "ordinal", "id")
+
+
+def upserted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose id is even are replaced by their shorter version, the rest stays."""
+    old, new = _versions(spark, sf_dir)
+    again = new.where("cast(substring(path, 6) as bigint) % 2 = 0").withColumn("id", F.lit("new"))
+    return catalog.upsert(old, again, again.select("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") == "new").alias("n_new"))
+
+
+def triage_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return selection.shards(rows, 50, "conv_id", "turn", "role").groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv"), F.max("conv_id").alias("last_conv"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    named = p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("ref"))
+    refs = p.select(F.col("p_partkey").alias("id"), F.explode(F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 7)).alias("key")).join(named, "key").groupBy("id").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.floor(F.col("p_partkey") / 50).cast("int").alias("shard"), F.col("p_type").alias("kind"), F.col("p_brand").alias("path"))
+    return rows.join(refs, "id", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
+
+
+def rule_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.rule_policy(PROMPT, _parts(spark, sf_dir)).select("chunk_id", "mode", "reason")
+
+
+def shard_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir).withColumn("signature", F.col("name"))
+    return selection.listing(rows.select("shard", "id", "kind", "name", "path", "signature"), "shard")
+
+
+def decision_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.merge(corpus.votes(spark, sf_dir), "seq")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
+def coverage_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.covered(_customers(spark, sf_dir), decision_merge(spark, sf_dir))
+
+
+def decision_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.histogram(coverage_default(spark, sf_dir))
+
+
+def expand_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skeletons whose customer has a positive balance are raised to FULL by the second pass; nothing is lowered."""
+    first = coverage_default(spark, sf_dir)
+    rich = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    more = selection.skeletons(rich, first).select(F.col("id").alias("chunk_id"), F.lit("FULL").alias("mode"), F.lit("expanded").alias("reason"), F.lit(2).alias("pass"))
+    return selection.merge(first.withColumn("pass", F.lit(1)).unionByName(more), "pass")
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = read(spark, sf_dir, "conversations")
+    chunks = t.select(F.concat(F.lit('c"'), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("ordinal"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("Section").alias("kind"), F.col("role").alias("name"), F.concat(F.lit("// x\n"), F.col("text")).alias("body"))
+    mode = F.when(F.col("turn") % 3 == 0, "FULL").otherwise("SKELETON")
+    return chunks, t.where("turn % 3 < 2").select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), mode.alias("mode"))
+
+
+def context_file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.file_blocks(*_decided(spark, sf_dir))
+
+
+def context_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.totals(context_file_blocks(spark, sf_dir))
+
+
+def apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve kinds of edits, dealt to the documents by their number, each with its outcome."""
+    ship(spark)
+    d = corpus.document_files(spark, sf_dir)
+    files = d.select("path", "content")
+    chunks = d.select("path", F.lit(0).alias("ordinal"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.lit("Preamble").alias("kind"), F.lit("preamble").alias("name"), F.col("content").alias("body"))
+    k, own = F.col("doc_id") % 12, F.concat(F.lit("c"), F.col("doc_id").cast("string"))
+    pick = lambda *cases: F.element_at(F.array(*(x if not isinstance(x, str | None) else F.lit(x).cast("string") for x in cases)), (k + 1).cast("int"))
+    there, new = F.col("path"), F.concat(F.lit("new/"), F.col("path"))
+    mods = d.select(
+        F.col("doc_id").cast("int").alias("seq"),
+        pick("MODIFY", "MODIFY", "MODIFY", "DELETE_CHUNK", "DELETE_CHUNK", "ADD_CHUNK", "ADD_CHUNK", "CREATE_FILE", "CREATE_FILE", "DELETE_FILE", "DELETE_FILE", "RENAME").alias("action"),
+        pick(own, own, "nowhere", own, "", None, None, None, None, None, None, None).alias("chunk_id"),
+        pick(None, None, None, None, None, there, new, new, there, there, new, there).alias("file_path"),
+        pick("fresh text", "", "fresh text", None, None, "## More\ntext", "text", "# New\n", "# New\n", None, None, "text").alias("new_content"),
+    )
+    return edits.apply(mods, files, chunks).select("seq", "outcome")
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("\n"), F.substring(F.col("text"), F.lit(11), F.lit(20)), F.lit("  "))
+    whole = F.concat(F.substring("text", 1, 10), F.lit("\n\n\n"), F.substring("text", 11, 20), F.lit("\n\n\n"), F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", whole.alias("content"), body.alias("body"))
+
+
+def splice_modify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, size = tx.find_body(F.col("content"), F.col("body"))
+    return _bodies(spark, sf_dir).select("doc_id", at.alias("found"), F.md5(F.when(at > 0, tx.splice(F.col("content"), at, size, F.lit("<new>"))).otherwise(F.col("content"))).alias("after"))
+
+
+def splice_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten characters' neighbour goes, and surplus blank lines with it."""
+    size = F.greatest(F.lit(0), F.least(F.lit(20), F.char_length("content") - 13))
+    return _bodies(spark, sf_dir).select("doc_id", F.md5(tx.cut(F.col("content"), F.lit(14), size)).alias("after"))
+
+
+def append_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    ended = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.col("text"), F.repeat(F.lit("\n"), (F.col("doc_id") % 4).cast("int"))))
+    return d.select("doc_id", F.md5(F.concat(tx.end_separated(ended), F.lit("## Added\n"))).alias("after"))
+
+
+def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as paths with eight extensions: language, whether supported, whether visible."""
+    p = read(spark, sf_dir, "part")
+    ext = F.element_at(F.array(*(F.lit(x) for x in (".go", ".TS", ".tsx", ".js", ".jsx", ".md", ".markdown", ".py"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    folder = F.when(F.col("p_size") % 4 == 0, "vendor/").when(F.col("p_size") % 4 == 1, ".hidden/").when(F.col("p_size") % 4 == 2, "src/").otherwise("")
+    path = F.concat(F.lit("./"), folder, F.replace("p_name", F.lit(" "), F.lit("_")), ext)
+    rows = p.select("p_partkey", tx.normal_path(path).alias("path"))
+    return rows.select("p_partkey", "path", tx.language(F.col("path")).alias("language"), tx.supported(F.col("path")).alias("supported"), tx.visible(F.col("path")).alias("visible"))
+
+
+def round_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loops.rounds(corpus.tool_records(spark, sf_dir)).withColumn("summary", F.md5("summary"))
+
+
+def retry_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = loops.rounds(corpus.tool_records(spark, sf_dir)).where("any_failure")
+    return r.select("round", F.md5(loops.retry_prompt(F.lit("task"), F.col("round"), F.col("summary"))).alias("prompt"))
+
+
+def verify_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loops.verdicts(corpus.check_rows(spark, sf_dir), corpus.metric_rows(spark, sf_dir))
+
+
+def history_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loops.history(corpus.check_rows(spark, sf_dir), corpus.metric_rows(spark, sf_dir)).withColumn("block", F.md5("block"))
+
+
+def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = corpus.check_rows(spark, sf_dir)
+    tasks = checks.where("round > 0").select("task", "round", "diag", F.concat(F.lit("Task "), F.col("task").cast("string")).alias("description"))
+    return loops.prompts(loops.history(checks, corpus.metric_rows(spark, sf_dir)), tasks).withColumn("prompt", F.md5("prompt"))
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("id"), F.unix_timestamp("ts").alias("ts"), F.col("props").alias("summary"))
+
+
+def session_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.latest_sessions(memory.keep_latest(_sessions(spark, sf_dir)))
+
+
+def history_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.history_block(memory.keep_latest(_sessions(spark, sf_dir)))
+
+
+def session_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.keep_latest(_sessions(spark, sf_dir))
+
+
+def scenario_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst event of a user is its verdict; every customer is a scenario that should PASS."""
+    verdict = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scenario")).agg(F.when(F.max(F.when(F.col("event_type") == "error", F.col("value"))) > 60, "FAIL").otherwise("PASS").alias("verdict"))
+    wanted = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scenario"), F.lit("PASS").alias("wanted"))
+    return loops.expected(verdict, wanted)
+
+
+def archive_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("description"), F.when(F.col("event_id") % 2 == 0, F.lit("fix")).alias("tag"), F.lit("verify-passed").alias("outcome"), (F.col("event_type") != "error").alias("passed"), F.lit(3).alias("rounds"), F.date_trunc("second", "ts").alias("ended"))
+    return loops.archive_json(rows)
+
+
+_QUERIES = (
+    corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
+    triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
+    apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
+    session_topk, history_layer, session_latest, scenario_expectation, archive_json,
+)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: twins.SQL[f.__name__] for f in _QUERIES if f.__name__ in twins.SQL}

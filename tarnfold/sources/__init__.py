@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Sources and sinks: source trees, the stored catalog, notes, sessions and skills."""
