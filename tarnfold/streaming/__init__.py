@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Continuous indexing."""
