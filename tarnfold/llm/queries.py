@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_block_naming": block_naming.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
+    return {"op6_block_naming": block_naming.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op9_ngram_join": ngram_join.ORACLE_SQL}
