@@ -162,3 +162,19 @@ def cut(content: Column, start: Column, size: Column) -> Column:
     left = F.regexp_replace(left, r"(?<=\n)\n+\z|\A\n+\z", "")
     right = F.when(right.rlike(r"\A\n+\z"), "").otherwise(F.regexp_replace(right, r"\A\n+(?=\n)", ""))
     return F.concat(left, right)
+
+
+def unfenced(c: Column) -> Column:
+    """The inside of a text that stands in a code fence; white space around goes."""
+    bare = F.regexp_replace(trim_ws(c), r"\A(```json|```)", "")
+    return trim_ws(F.regexp_replace(bare, r"```\z", ""))
+
+
+def listed(c: Column) -> Column:
+    """The parts of a comma-separated text, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(c, ",", -1), trim_ws), lambda x: x != "")
+
+
+def indented(c: Column, prefix: str) -> Column:
+    """Every line that is not empty behind a prefix."""
+    return F.array_join(F.transform(F.split(c, "\n", -1), lambda x: F.when(x == "", x).otherwise(F.concat(F.lit(prefix), x))), "\n")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions import text as tx
-from tarnfold.operators import catalog, edits, loops, markdown, memory, rendering, selection
+from tarnfold.operators import audit, catalog, edits, loops, markdown, memory, rendering, selection, tools
 from tarnfold.plans import corpus, twins
 from tarnfold.plans.corpus import read
 from tarnfold.plans.workers import ship
@@ -252,10 +252,48 @@ def archive_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loops.archive_json(rows)
 
 
+def _audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    verdict = F.element_at(F.array(*(F.lit(x) for x in ("PASS", "FAIL", "PARTIAL", "INFRA_FAIL", "ODD"))), (F.col("event_id") % 5 + 1).cast("int"))
+    one = F.format_string('{"perScenario": [{"scenarioId": "s%s", "verdict": "%s", "score": %s, "evidence": [%s]}], "rootCauses": [{"issue": "i%s", "suggestedFix": {"target": "t", "file": "f"}}]}', F.col("user_id").cast("string"), verdict, F.floor("value").cast("string"), F.when(F.col("event_type") == "error", F.lit('"seen"')).otherwise(""), F.col("event_id").cast("string"))
+    return e.select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit("no json")).otherwise(F.concat(F.lit(" ```json\n"), one, F.lit("\n```\n"))).alias("response"))
+
+
+def audit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.metrics(_audits(spark, sf_dir), "event_id")
+
+
+def audit_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.causes(_audits(spark, sf_dir), "event_id")
+
+
+def audit_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read(spark, sf_dir, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("scenario"), F.lit("PASS").alias("wanted"))
+    return audit.exit_codes(audit_metrics(spark, sf_dir), wanted, "event_id", strict=True)
+
+
+def unanswered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer is a request, every event a result."""
+    asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
+    return tools.unanswered(asked, read(spark, sf_dir, "events").select(F.col("user_id").alias("path")))
+
+
+def insight_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts cut to their first characters as insights: trimmed, blank ones gone."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.substring(F.concat(F.lit(" \n"), "text"), F.lit(1), (F.col("doc_id") % 9).cast("int")).alias("insight"))
+    return tools.insights(rows)
+
+
+def list_and_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"))
+    return d.select("doc_id", F.array_join(tx.listed(F.col("head")), "|").alias("parts"), tx.indented(F.col("head"), "> ").alias("quoted"))
+
+
 _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

@@ -200,6 +200,15 @@ SELECT task, round, coalesce(ok, passed) AS passed, coalesce(n, 0) AS n_metrics,
     THEN chr(10) || chr(10) || '<initial_verification>' || chr(10) || trim(t.diag, ' ' || chr(10)) || chr(10) || '</initial_verification>'
     ELSE chr(10) || chr(10) || '<previous_rounds>' || chr(10) || (SELECT string_agg(e.block || chr(10), '' ORDER BY e.round) FROM told e WHERE e.task = t.task AND e.round < t.round) || '</previous_rounds>' END) AS prompt
 FROM told t WHERE t.round > 0""",
+    "audit_metrics": """SELECT event_id, CAST(0 AS INT) AS seq, 's' || user_id AS name, ['PASS', 'FAIL', 'PARTIAL', 'INFRA', 'FAIL'][event_id % 5 + 1] AS status,
+  'score=' || CAST(floor(value) AS BIGINT) || CASE WHEN event_type = 'error' THEN '; seen' ELSE '' END AS detail FROM events WHERE event_id % 7 <> 0""",
+    "audit_causes": "SELECT event_id, CAST(0 AS INT) AS seq, 'i' || event_id AS issue, 't' AS target, 'f' AS file FROM events WHERE event_id % 7 <> 0",
+    "audit_exit_codes": """SELECT event_id, CAST(event_id % 5 IN (1, 3, 4) OR (event_id % 5 = 2 AND user_id IN (SELECT c_custkey FROM customer)) AS INT) AS code FROM events WHERE event_id % 7 <> 0""",
+    "unanswered_requests": "SELECT c_custkey AS path, 'no response' AS error FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
+    "insight_filter": r"""SELECT doc_id, insight FROM (SELECT doc_id, regexp_replace(substr(' ' || chr(10) || text, 1, CAST(doc_id % 9 AS INT)), '^\s+|\s+$', '', 'g') AS insight FROM documents) WHERE insight <> ''""",
+    "list_and_indent": """WITH d AS (SELECT doc_id, substr(text, 1, 200) AS head FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split(head, ','), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), '|') AS parts,
+  array_to_string(list_transform(string_split(head, chr(10)), lambda x: CASE WHEN x = '' THEN x ELSE '> ' || x END), chr(10)) AS quoted FROM d""",
     "session_topk": f"WITH {_SESSIONS} SELECT * FROM kept ORDER BY ts DESC, id LIMIT 5",
     "history_layer": f"""WITH {_SESSIONS}, top AS (SELECT * FROM kept ORDER BY ts DESC, id LIMIT 5)
 SELECT '<session_history count="' || count(*) || '">' || chr(10) || string_agg('<session id="' || id || '" ts="' || ts || '">' || chr(10) || summary || chr(10) || '</session>' || chr(10), '' ORDER BY ts DESC, id) || '</session_history>' AS text FROM top""",
