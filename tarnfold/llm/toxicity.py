@@ -3,8 +3,8 @@
 A text is the set of its hashed terms: words without punctuation, and their first four and five
 letters. The machine adds to the linear weights an inner product for every pair of terms, learned
 through a few factors per term, so that an insult beside a group mention can weigh more than both
-alone. It is fitted on a bounded sample of labelled rows (``ROWS``, those with the smallest hashes of
-their ids), and over the terms there whose share of toxic rows differs clearly from the base rate
+alone. It is fitted on a bounded sample of labelled rows (``ROWS`` at most, those with the smallest
+hashes of their ids), and over the terms there whose share of toxic rows differs clearly from the base rate
 (``TERMS`` at most). Terms are told apart by 32 bits, so a chance collision with a weighty term is
 a matter of one text in millions. Every text is scored whole.
 
@@ -146,7 +146,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
     """Fits on labelled rows that are not held out; only their hashed terms come to the driver, at most ``rows`` of them."""
     ship(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("__y"))
-    known = known.where(~held_out("__id")).orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
+    known, place = known.where(~held_out("__id")), F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
+    there = known.count()
+    if there > rows:  # a cut a little above the bound first, so that no task sorts more than about that many
+        known = known.where(place < F.lit(int((1 << 40) * min(1.0, 1.2 * rows / there)))).orderBy(place, "__id", "__y").limit(rows)
     pairs = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(known), "__id").select("__text", "__y", "__id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

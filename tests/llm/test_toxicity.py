@@ -56,3 +56,15 @@ def test_awkward(spark):
     kept = toxicity.reject(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == 10
     assert toxicity.scores(empty(spark), labels).count() == 0
+
+
+def test_the_sample_is_bounded_and_repeatable(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    seen = []
+    fit = toxicity.fit
+    toxicity.fit = lambda rows, seed=7: seen.append(rows) or fit(rows, seed)
+    try:
+        first, second = (toxicity.learn(docs, labels, rows=120) for _ in range(2))
+    finally:
+        toxicity.fit = fit
+    assert [len(x) for x in seen] == [120, 120] and first.bias == second.bias and (first.known == second.known).all()
