@@ -28,7 +28,6 @@ rows; clashing columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,27 +35,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import ship, stage, text_or_empty
+from tarnfold.llm.common import ship, stage, text_or_empty, width
 
 GROUPS = 64
 COMMON = 48  # documents a shingle must be counted in (lossily) to come late in the order
 COMMON_MOST = 200_000  # and how many such shingles are told to the executors, at most
 TILE = 2048
 LEAF = 16
+BUCKETS = 1 << 20
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
-_memo: dict[str, int] = {}
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_random = np.random.default_rng(2024)
+_BYTE = _random.integers(0, 2**64, 256, np.uint64)
+_BASE = int(_random.integers(0, 2**63)) * 2 + 1
+_UNBASE = pow(_BASE, -1, 2**64)
+_MIX = _random.integers(0, 2**64, 6, np.uint64) | np.uint64(1)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _word_hash(w: str) -> int:
-    got = _memo.get(w)
-    if got is None:
-        got = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(_memo) < 300_000 and len(w) < 32:
-            _memo[w] = got
-    return got
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n of each."""
+    while len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _UNBASE)):
+            own = _powers[k]
+            _powers[k] = np.concatenate([own, own * np.uint64(pow(base, len(own), 2**64))])
+    return _powers[0][:n], _powers[1][:n]
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -65,20 +68,33 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def words_of(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word of a text, A-Z lowered, in order.
+
+    Sums of random numbers for bytes, weighted by powers of a base, give every word's hash as a
+    difference of two prefix sums: no word is looked at alone.
+    """
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)  # of bytes, lower() takes A-Z alone
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
+    start, end = edges[::2], edges[1::2]
+    up, down = _powers_to(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
+    return _scramble((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _MIX[5])
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes."""
-    words = _WORD.findall((text or "").translate(_UPPER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-    with np.errstate(over="ignore"):
-        if len(h) < 5:
-            return _scramble(np.array([np.bitwise_xor.reduce(_scramble(h * _MIX[: len(h)] + np.uint64(len(h))))], np.uint64))
-        n = len(h) - 4
-        total = np.zeros(n, np.uint64)
-        for k in range(5):
-            total += _scramble(h[k : k + n] * _MIX[k] + np.uint64(k))
-        return np.unique(_scramble(total))
+    h = words_of(text)
+    if not len(h):
+        return h
+    if len(h) < 5:
+        return _scramble(np.array([np.bitwise_xor.reduce(_scramble(h * _MIX[: len(h)] + np.uint64(len(h))))], np.uint64))
+    n = len(h) - 4
+    total = h[:n] * _MIX[0]
+    for k in range(1, 5):
+        total += h[k : k + n] * _MIX[k]
+    return np.unique(_scramble(total))
 
 
 def prefix_size(n: int) -> int:
@@ -184,12 +200,20 @@ def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose texts link. Texts are found by key and digest: row numbers hold within the staged sets only."""
+    """The pairs whose texts link. Texts are found by key and digest: row numbers hold within the staged sets only.
+
+    Before texts travel, those in no pair are left where they are: all but the ones whose digests share
+    one of ``BUCKETS`` buckets with a paired text's.
+    """
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("key").alias(f"k{x}"), F.col("sha").alias(f"s{x}"))
-    named = pairs.join(side("a"), "a").join(side("b"), "b")
+    named = stage(pairs.join(side("a"), "a").join(side("b"), "b"), "named-pairs")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    wanted = named.select(F.explode(F.array("sa", "sb")).alias("s")).select(bucket("s").alias("bucket")).distinct()  # BUCKETS rows at most
+    near = docs.select(F.col("key").alias("tk"), sha.alias("ts"), "text").withColumn("bucket", bucket("ts")).join(F.broadcast(wanted), "bucket", "left_semi")
 
     def with_text(rows: DataFrame, x: str) -> DataFrame:
-        texts = docs.select(F.col("key").alias("tk"), F.sha2(F.col("text").cast("binary"), 256).alias("ts"), F.col("text").alias(f"t{x}"))
+        texts = near.select("tk", "ts", F.col("text").alias(f"t{x}"))
         return rows.join(texts, (F.col(f"s{x}") == F.col("ts")) & F.col(f"k{x}").eqNullSafe(F.col("tk"))).drop("tk", "ts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,32 +245,70 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _close(points: np.ndarray, n: np.ndarray, of: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (of, to) whose bound allows a link: through an R-tree, or all at once where there are few."""
+    if len(of) * len(to) <= 4096:
+        low, high = np.minimum(n[of][:, None], n[to]), np.maximum(n[of][:, None], n[to])
+        x, y = np.nonzero(5 * low >= 4 * high)
+        near = 9 * np.minimum(points[of[x]], points[to[y]]).sum(axis=1, dtype=np.int64) >= 4 * (n[of[x]] + n[to[y]])
+        return of[x[near]], to[y[near]]
+    tree = RTree(points[to], n[to])
+    hits = [tree.search(points[q], int(n[q])) for q in of]
+    return np.repeat(of, [len(h) for h in hits]), to[np.concatenate(hits)]
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each tile; its rows come one after the other, over the end of a batch if need be."""
+    held: dict[str, np.ndarray] | None = None
+
+    def pairs(t: dict[str, np.ndarray], ends: list[int]) -> pa.RecordBatch:
+        a, b, first = [], [], 0
+        for last in ends:
+            g = slice(first, last)
+            rid, label, n, mine, own, points = (t[c][g] for c in ("rid", "label", "n", "mine", "own", "counts"))
+            i, j = t["i"][first], t["j"][first]
+            x, y = _close(points, n, np.flatnonzero(mine == i), np.flatnonzero(mine == j))
+            keep = (label[x] != label[y]) & (own[x] | own[y]) & ((rid[x] < rid[y]) if i == j else True)
+            a.append(np.minimum(rid[x[keep]], rid[y[keep]]))
+            b.append(np.maximum(rid[x[keep]], rid[y[keep]]))
+            first = last
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else none) for c in (a, b)], names=["a", "b"])
+
+    for batch in batches:
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "band", "i", "j", "rid", "label", "n", "mine", "own")}
+        now["counts"] = batch.column("counts").flatten().to_numpy().reshape(-1, GROUPS)
+        now["n"] = now["n"].astype(np.int64)
+        if held is not None:
+            now = {c: np.concatenate([held[c], v]) for c, v in now.items()}
+        turn = np.zeros(max(0, len(now["rid"]) - 1), bool)
+        for c in ("token", "band", "i", "j"):
+            turn |= now[c][1:] != now[c][:-1]
+        ends = (np.flatnonzero(turn) + 1).tolist()
+        if ends:
+            yield pairs(now, ends)
+            now = {c: v[ends[-1] :] for c, v in now.items()}
+        held = now
+    if held is not None and len(held["rid"]):
+        yield pairs(held, [len(held["rid"])])
+
+
 def _rest(blocks: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs across components of blocks that hold several, found by R-trees over tiles; stars are not repeated."""
+    """Pairs across components of blocks that hold several, found by R-trees over tiles; stars are not repeated.
+
+    Blocks of the same members (the shingles of one passage) are searched once.
+    """
     own = blocks.where("m > 2").join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    mixed = own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    rows = own.join(mixed, "token", "left_semi").where("rid <> leader").join(sets.select("rid", "n", "counts"), "rid")
+    mixed = own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("rid")).alias("h"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("g"), F.count(F.lit(1)).alias("k"))
+    once = mixed.where("x <> y").groupBy("h", "g", "k").agg(F.min("token").alias("token")).select("token")
+    rows = own.join(once, "token", "left_semi").where("rid <> leader").join(sets.select("rid", "n", "counts"), "rid")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
     rows = stage(rows.select("token", "rid", "label", "n", "counts", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("at")).select("token", "rid", "label", "n", "counts", "at.band", "at.own"), "block-rest")
     chunks = rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("own").alias("any")).where("x <> y and any").select("token", "band", "chunks")
     dealt = rows.join(chunks, ["token", "band"]).withColumn("c", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select("token", "band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.col("c").alias("mine"), "rid", "label", "n", "counts", "own")
-
-    def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        rid, label_, n, mine, own_ = (table[c].to_numpy() for c in ("rid", "label", "n", "mine", "own"))
-        points = np.array(table["counts"].to_pylist(), np.int32)
-        to, of = np.flatnonzero(mine == j), np.flatnonzero(mine == i)
-        tree = RTree(points[to], n[to])
-        out = []
-        for q in of:
-            hit = to[tree.search(points[q], int(n[q]))]
-            hit = hit[(label_[hit] != label_[q]) & (own_[hit] | own_[q])]
-            hit = hit[rid[hit] > rid[q]] if i == j else hit
-            out += [(min(rid[q], x), max(rid[q], x)) for x in rid[hit]]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return tiles.groupBy("token", "band", "i", "j").applyInArrow(run, "a long, b long").where("a <> b").distinct()
+    keys = ["token", "band", "i", "j"]
+    return tiles.repartition(width(blocks.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_searched, "a long, b long").where("a <> b").distinct()
 
 
 def _leads(blocks: DataFrame) -> DataFrame:
