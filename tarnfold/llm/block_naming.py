@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import stage, text_or_empty
+from tarnfold.llm.common import keep_rows, stage, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 8192
@@ -91,10 +91,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     A row is known by its key and the digest of its text; where rows repeat both, one of them stays.
     """
-    found = stage(groups(docs, key, text), "block-groups").where("kept").select(F.col(key).alias("__keep_key"), F.col("text_sha256").alias("__keep_sha"))
     sha = F.sha2(normalised(text).cast("binary"), 256)
-    out = docs.join(found, F.col(key).eqNullSafe(F.col("__keep_key")) & (sha == F.col("__keep_sha")), "left_semi")
-    repeated = docs.groupBy(key, sha.alias("__sha")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(key).alias("__rep_key")).distinct()
+    found = stage(groups(docs, key, text).withColumnRenamed("text_sha256", "sha"), "block-groups")
+    out = keep_rows(docs, found, key, sha)
+    repeated = found.groupBy(key, "sha").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(key).alias("__rep_key")).distinct()
     if repeated.isEmpty():
         return out
     again = F.col(key).eqNullSafe(F.col("__rep_key"))

@@ -32,17 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import ship, stage, text_or_empty, width
+from tarnfold.llm.common import BUCKETS, keep_rows, ship, stage, text_or_empty, width
 
 GROUPS = 64
 COMMON = 48  # documents a shingle must be counted in (lossily) to come late in the order
 COMMON_MOST = 200_000  # and how many such shingles are told to the executors, at most
 TILE = 2048
 LEAF = 16
-BUCKETS = 1 << 20
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _random = np.random.default_rng(2024)
@@ -340,10 +339,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. A row is known by its key and the digest of its text."""
-    sha: Column = F.sha2(text_or_empty(text).cast("binary"), 256)
-    kept = stage(groups(docs, key, text), "near-groups").where("kept").select(F.col(key).alias("__keep_key"), F.col("sha").alias("__keep_sha"))
-    return docs.join(kept, docs[key].eqNullSafe(F.col("__keep_key")) & (sha == F.col("__keep_sha")), "left_semi")
+    """The rows that stay, with all their columns.
+
+    A row is known by its key and the digest of its text; rows that repeat both stay or go together.
+    """
+    return keep_rows(docs, stage(groups(docs, key, text), "near-groups"), key, F.sha2(text_or_empty(text).cast("binary"), 256))
 
 
 ORACLE_SQL = r"""
