@@ -43,6 +43,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 N = 4
 MARK = "▁"
 PENALTY = 10.0
+LASTING, PASSING = 300_000, 200_000  # words a worker keeps, and words it keeps for a while
 _SPLIT = re.compile(" *[^ ]+| +")
 
 Segmentation = tuple[float, tuple[int, ...]]
@@ -52,10 +53,16 @@ class Lattice:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], lowest: float, n: int = N):
         self.pieces, self.byte_ids, self.n = pieces, byte_ids, n
         self.unknown = lowest - PENALTY
-        self.written = {i: p for p, (i, _) in pieces.items()}
-        self.as_byte = {i: b for b, i in enumerate(byte_ids)}
+        written = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        each = [written.get(i, b"") for i in range(max(written, default=0) + 1)]
+        self._bytes_of = np.frombuffer(b"".join(each), np.uint8)
+        self._sizes = np.array([len(x) for x in each])
+        self._starts = np.cumsum(self._sizes) - self._sizes
         self._known: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p))} | pieces  # () for the beginning of a piece
-        self._memo: dict[str, tuple[bytes, float, float]] = {}
+        self._lasting: dict[str, int] = {}
+        self._passing: dict[str, int] = {}
+        self._ids: list[bytes] = []
+        self._scores, self._gaps = array("d"), array("d")
 
     def _bytes(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
@@ -139,39 +146,63 @@ class Lattice:
             ids = [x for k in sorted(path) for x in ((edges[k][3],) if edges[k][3] >= 0 else self._bytes(word[edges[k][0]]))]
         return array("I", ids).tobytes(), best, best - second
 
+    def _number(self, word: str) -> int:
+        """The place of a word among those met; words met while the lasting places are full keep theirs until ``forget``."""
+        at = self._lasting.get(word)  # it may have come earlier in the same text
+        if at is None:
+            at = self._passing.get(word)
+        if at is None:
+            ids, score, gap = self._first(word)
+            at = len(self._ids)
+            self._ids.append(ids)
+            self._scores.append(score)
+            self._gaps.append(gap)
+            (self._lasting if at < LASTING else self._passing)[word] = at
+        return at
+
+    def forget(self) -> None:
+        """Drops the words beyond the lasting places, once they are many."""
+        if len(self._passing) > PASSING:
+            self._passing.clear()
+            del self._ids[LASTING:], self._scores[LASTING:], self._gaps[LASTING:]
+
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The N best segmentations of a text, as scores and ids (32 bits each, little-endian)."""
         if not text:
             return [(0.0, b"")]
-        memo, words = self._memo, _SPLIT.findall(" " + text)
-        found = list(map(memo.get, words))
-        for i, w in enumerate(words):
-            if found[i] is None:
-                found[i] = got = memo.get(w) or self._first(w)
-                if len(memo) < 300_000 and len(w) < 32:
-                    memo[w] = got
-        parts, scores, gaps = zip(*found, strict=True)
-        total = sum(scores)
-        at = sorted(i for gap, i in heapq.nsmallest(self.n - 1, zip(gaps, range(len(gaps)), strict=True)) if gap < np.inf)
+        words = _SPLIT.findall(" " + text)
+        found = list(map(self._lasting.get, words))
+        for i, at in enumerate(found):
+            if at is None:
+                found[i] = self._number(words[i])
+        where = np.array(found)
+        gaps = np.frombuffer(self._gaps)[where]
+        total = float(np.frombuffer(self._scores)[where].sum())
+        near = np.argsort(gaps, kind="stable")[: self.n - 1] if len(gaps) < 16 else self._smallest(gaps)
+        at = sorted(i for i in near.tolist() if gaps[i] < np.inf)
         lists = [self.best(words[i]) for i in at]
         ways = sorted(((-sum(own[c][0] - own[0][0] for own, c in zip(lists, pick, strict=True)), pick) for pick in product(*(range(len(own)) for own in lists))))[: self.n]
+        parts = list(map(self._ids.__getitem__, found))
         out = []
         for loss, pick in ways:
-            own = list(parts)
             for i, c, options in zip(at, pick, lists, strict=True):
-                own[i] = np.array(options[c][1], "<u4").tobytes()
-            out.append((total - loss, b"".join(own)))
+                parts[i] = array("I", options[c][1]).tobytes()
+            out.append((total - loss, b"".join(parts)))
         return out
 
+    def _smallest(self, gaps: np.ndarray) -> np.ndarray:
+        """The places of the N - 1 smallest gaps, the first of equal ones."""
+        most = np.partition(gaps, self.n - 2)[self.n - 2] if self.n > 1 else -np.inf
+        close = np.flatnonzero(gaps <= most)
+        return close[np.argsort(gaps[close], kind="stable")[: self.n - 1]]
+
     def decode(self, ids: bytes) -> str:
-        """The text of a segmentation, the leading mark gone."""
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        try:
-            text = "".join(map(self.written.__getitem__, numbers)).replace(MARK, " ")
-        except (TypeError, KeyError):  # some are bytes
-            raw = b"".join(bytes([self.as_byte[i]]) if i in self.as_byte else self.written[i].replace(MARK, " ").encode() for i in numbers)
-            text = raw.decode("utf-8", "surrogatepass")
-        return text[1:]
+        """The text of a segmentation, the leading mark gone: the pieces' bytes laid end to end."""
+        at = np.frombuffer(ids, "<u4")
+        sizes = self._sizes[at]
+        ends = np.cumsum(sizes)
+        raw = self._bytes_of[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[at] - ends + sizes, sizes)].tobytes()
+        return raw.decode("utf-8", "surrogatepass")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -197,6 +228,7 @@ def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model, n)
         for b in batches:
+            own.forget()
             got = [(who, r, s, np.frombuffer(ids, "<u4").astype(np.int32)) for who, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r, (s, ids) in enumerate(own.encode(t))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], b.schema.types[0]), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.list_(pa.int32()))], names=[key, "rank", "score", "ids"])
 
@@ -210,6 +242,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model, n)
         for b in batches:
+            own.forget()
             cols: list[list] = [[] for _ in range(7)]
             for t in b.column(1).to_pylist():
                 found = own.encode(t)
