@@ -16,6 +16,8 @@ hashes of five words). The join is exact:
 So members of one component are never paired with each other twice over, and a group of thousands
 of near copies costs a star, not its square, while no link between components is missed.
 
+Longer texts have more groups, about one for eight shingles; a tile compares at the least number in it.
+
 An R-tree over all documents alone would answer the same question, but at 64 groups its boxes overlap
 so far that it scans nearly every document of like size; blocks first make it a local search.
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.llm.common import BUCKETS, keep_rows, ship, stage, text_or_empty, width
 
-GROUPS = 64
+GROUPS, MOST_GROUPS = 64, 4096
 COMMON = 48  # documents a shingle must be counted in (lossily) to come late in the order
 COMMON_MOST = 200_000  # and how many such shingles are told to the executors, at most
 TILE = 2048
@@ -100,8 +102,17 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def vector(found: np.ndarray) -> np.ndarray:
-    return np.bincount((found >> np.uint64(7)) % np.uint64(GROUPS), minlength=GROUPS).astype(np.int32)
+def vector(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Counts by group. Groups are nested: counts of fewer groups are sums of counts of more."""
+    return np.bincount((found >> np.uint64(7)) % np.uint64(groups), minlength=groups).astype(np.int32)
+
+
+def groups_for(n: int) -> int:
+    """About one group for eight shingles, so that the bound tells long texts apart as well as short ones."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and n > 8 * groups:
+        groups *= 4
+    return groups
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -157,13 +168,13 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """rid, key, sha, n, digest of the set, prefix (array of shingles), common (how many of its last are common), counts."""
+    """rid, key, sha, n, digest of the set, prefix (array of shingles), common (how many of its last are common), counts, fine (of more groups, for longer texts)."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = sent.value
         for b in batches:
-            n, digest, prefix, late, counts = [], [], [], [], []
+            n, digest, prefix, late, counts, fine = [], [], [], [], [], []
             for t in b.column(3).to_pylist():
                 own = shingles(t)
                 size = prefix_size(len(own))
@@ -180,13 +191,14 @@ def _sets(docs: DataFrame) -> DataFrame:
                 prefix.append(first.view(np.int64))
                 late.append(hot)
                 counts.append(vector(own))
+                fine.append(vector(own, g) if (g := groups_for(len(own))) > GROUPS else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(late, pa.int32()), pa.array(counts, pa.list_(pa.int32()))],
-                names=["rid", "key", "sha", "n", "digest", "prefix", "common", "counts"],
+                [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(late, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(fine, pa.list_(pa.int32()))],
+                names=["rid", "key", "sha", "n", "digest", "prefix", "common", "counts", "fine"],
             )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("rid", "key", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text").mapInArrow(run, f"rid long, key {kind}, sha string, n int, digest binary, prefix array<long>, common int, counts array<int>")
+    return docs.select("rid", "key", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text").mapInArrow(run, f"rid long, key {kind}, sha string, n int, digest binary, prefix array<long>, common int, counts array<int>, fine array<int>")
 
 
 def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,7 +258,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _close(points: np.ndarray, n: np.ndarray, of: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (of, to) whose bound allows a link: through an R-tree, or all at once where there are few."""
-    if len(of) * len(to) <= 4096:
+    if len(of) * len(to) * points.shape[1] <= 4096 * GROUPS:
         low, high = np.minimum(n[of][:, None], n[to]), np.maximum(n[of][:, None], n[to])
         x, y = np.nonzero(5 * low >= 4 * high)
         near = 9 * np.minimum(points[of[x]], points[to[y]]).sum(axis=1, dtype=np.int64) >= 4 * (n[of[x]] + n[to[y]])
@@ -264,7 +276,9 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, first = [], [], 0
         for last in ends:
             g = slice(first, last)
-            rid, label, n, mine, own, points = (t[c][g] for c in ("rid", "label", "n", "mine", "own", "counts"))
+            rid, label, n, mine, own, vectors = (t[c][g] for c in ("rid", "label", "n", "mine", "own", "counts"))
+            width_ = min(map(len, vectors))
+            points = np.stack([v if len(v) == width_ else v.reshape(-1, width_).sum(axis=0) for v in vectors])
             i, j = t["i"][first], t["j"][first]
             x, y = _close(points, n, np.flatnonzero(mine == i), np.flatnonzero(mine == j))
             keep = (label[x] != label[y]) & (own[x] | own[y]) & ((rid[x] < rid[y]) if i == j else True)
@@ -276,7 +290,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "band", "i", "j", "rid", "label", "n", "mine", "own")}
-        now["counts"] = batch.column("counts").flatten().to_numpy().reshape(-1, GROUPS)
+        now["counts"] = batch.column("counts").to_numpy(zero_copy_only=False)
         now["n"] = now["n"].astype(np.int64)
         if held is not None:
             now = {c: np.concatenate([held[c], v]) for c, v in now.items()}
@@ -300,7 +314,7 @@ def _rest(blocks: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     own = blocks.where("m > 2").join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("rid")).alias("h"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("g"), F.count(F.lit(1)).alias("k"))
     once = mixed.where("x <> y").groupBy("h", "g", "k").agg(F.min("token").alias("token")).select("token")
-    rows = own.join(once, "token", "left_semi").where("rid <> leader").join(sets.select("rid", "n", "counts"), "rid")
+    rows = own.join(once, "token", "left_semi").where("rid <> leader").join(sets.select("rid", "n", F.coalesce("fine", "counts").alias("counts")), "rid")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
     rows = stage(rows.select("token", "rid", "label", "n", "counts", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("at")).select("token", "rid", "label", "n", "counts", "at.band", "at.own"), "block-rest")
     chunks = rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("own").alias("any")).where("x <> y and any").select("token", "band", "chunks")

@@ -94,3 +94,24 @@ def test_awkward(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 4, 5, 6, 7, 8]
     assert nj.groups(empty(spark)).count() == 0 and nj.one_of_each(empty(spark)).count() == 0
+
+
+def test_groups_are_nested():
+    x = np.random.default_rng(1).integers(0, 2**63, 9000).astype(np.uint64)
+    fine = nj.vector(x, nj.groups_for(len(x)))
+    assert len(fine) == 4096 and (fine.reshape(-1, 64).sum(axis=0) == nj.vector(x)).all() and [nj.groups_for(n) for n in (0, 512, 513, 2049)] == [64, 64, 256, 1024]
+
+
+def test_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(nj, "TILE", 16)
+    rng = random.Random(9)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for k in range(24):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([500, 700, 2300]))] + shared
+        rows.append((2 * k, " ".join(own)))
+        for _ in range(len(own) // 60):
+            own[rng.randrange(len(own))] = "edit"
+        rows.append((2 * k + 1, " ".join(own)))
+    got = nj.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
