@@ -289,11 +289,17 @@ def list_and_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(tx.listed(F.col("head")), "|").alias("parts"), tx.indented(F.col("head"), "> ").alias("quoted"))
 
 
+def list_and_indent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma parts and indented lines of whole texts, as digests."""
+    d = read(spark, sf_dir, "documents").select("doc_id", tx.listed(F.col("text")).alias("parts"), tx.indented(F.col("text"), "> ").alias("quoted"))
+    return d.select("doc_id", F.size("parts").alias("n_parts"), F.md5(F.array_join("parts", "|")).alias("parts"), F.md5("quoted").alias("quoted"))
+
+
 _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
-    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, list_and_indent_whole,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

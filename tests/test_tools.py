@@ -1,7 +1,10 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tarnfold.functions import text as tx
 from tarnfold.operators import audit, edits, tools
+from tarnfold.plans import registry
 
 
 def test_calls_become_modifications_and_records(spark):
@@ -46,3 +49,24 @@ def test_audit(spark):
 def test_unanswered(spark):
     asked, got = spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("b", 1), ("c", 2)], "path string, n int")
     assert [r.path for r in tools.unanswered(asked, got).collect()] == ["a"] and [r.path for r in tools.answered(asked, got).collect()] == ["b"]
+
+
+TEXTS = {0: "a, b,\n, c " * 100 + "last", 1: "   ", 2: "x" * 500 + ", end \u2003\u3000\n", 9: "nine"}
+
+
+def _whole(spark, folder, name):
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return registry.queries()[name](spark, str(folder)).collect()
+
+
+def _md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_lists_over_whole_texts(spark, tmp_path):
+    got = {r.doc_id: r for r in _whole(spark, tmp_path, "list_and_indent_whole")}
+    assert set(got) == set(TEXTS)
+    for i, t in TEXTS.items():
+        parts = [x.strip() for x in t.split(",") if x.strip()]
+        assert (got[i].n_parts, got[i].parts) == (len(parts), _md5("|".join(parts)))
+        assert got[i].quoted == _md5("\n".join("> " + x if x else x for x in t.split("\n")))
