@@ -284,6 +284,14 @@ def insight_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.insights(rows)
 
 
+def insight_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts with white space at both ends as insights, and a blank insight beside every ninth: trimmed, blank ones gone; digests."""
+    d = read(spark, sf_dir, "documents")
+    whole = d.select("doc_id", F.concat(F.lit(" \n"), "text", F.lit("\t ")).alias("insight"))
+    blank = d.where("doc_id % 9 = 0").select("doc_id", F.lit(" \n\t ").alias("insight"))
+    return tools.insights(whole.unionByName(blank)).select("doc_id", F.md5("insight").alias("insight"))
+
+
 def list_and_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"))
     return d.select("doc_id", F.array_join(tx.listed(F.col("head")), "|").alias("parts"), tx.indented(F.col("head"), "> ").alias("quoted"))
@@ -299,7 +307,7 @@ _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
-    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, list_and_indent_whole,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, insight_filter_whole, list_and_indent, list_and_indent_whole,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

@@ -209,6 +209,9 @@ FROM told t WHERE t.round > 0""",
     "list_and_indent": """WITH d AS (SELECT doc_id, substr(text, 1, 200) AS head FROM documents)
 SELECT doc_id, array_to_string(list_filter(list_transform(string_split(head, ','), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), '|') AS parts,
   array_to_string(list_transform(string_split(head, chr(10)), lambda x: CASE WHEN x = '' THEN x ELSE '> ' || x END), chr(10)) AS quoted FROM d""",
+    "insight_filter_whole": r"""WITH i AS (SELECT doc_id, ' ' || chr(10) || text || chr(9) || ' ' AS insight FROM documents UNION ALL SELECT doc_id, ' ' || chr(10) || chr(9) || ' ' FROM documents WHERE doc_id % 9 = 0),
+t AS (SELECT doc_id, regexp_replace(insight, '^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$', '', 'g') AS insight FROM i)
+SELECT doc_id, md5(insight) AS insight FROM t WHERE insight <> ''""",
     "list_and_indent_whole": r"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '') AS parts FROM documents)
 SELECT doc_id, CAST(len(parts) AS INT) AS n_parts, md5(array_to_string(parts, '|')) AS parts,
   md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x = '' THEN x ELSE '> ' || x END), chr(10))) AS quoted FROM d""",

@@ -70,3 +70,8 @@ def test_lists_over_whole_texts(spark, tmp_path):
         parts = [x.strip() for x in t.split(",") if x.strip()]
         assert (got[i].n_parts, got[i].parts) == (len(parts), _md5("|".join(parts)))
         assert got[i].quoted == _md5("\n".join("> " + x if x else x for x in t.split("\n")))
+
+
+def test_insights_of_whole_texts(spark, tmp_path):
+    got = _whole(spark, tmp_path, "insight_filter_whole")
+    assert {r.doc_id: r.insight for r in got} == {i: _md5(t.strip()) for i, t in TEXTS.items() if t.strip()} and len(got) == 3
