@@ -10,7 +10,8 @@ document; a document's place is its range's first token plus a running sum insid
 
 Defined results: a null text is empty and has the end id alone; repeated rows are documents of
 their own; equal keys are ordered by reading order; an empty table gives no rows; clashing columns
-are not read. Strings that look like special tokens are ordinary text.
+are not read. An added token of the vocabulary inside a text is its one id, as in ``tokenizers``
+with ``add_special_tokens=False``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +34,7 @@ LENGTH = 2048
 END = 1
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks: the same ids, sooner
 BUCKETS, DIMENSIONS, LEVELS = 256, 3, 20
+ADDED = {"<|endoftext|>": 50256}  # the added tokens of byte_bpe_50k.json, which the ranks lack
 ROOM = 1 << 16  # ids are stored in 16 bits
 
 
@@ -40,9 +42,9 @@ ROOM = 1 << 16  # ids are stored in 16 bits
 def tokenizer(ranks: str) -> tiktoken.Encoding:
     with open(ranks, "rb") as f:
         read = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if max(read.values()) >= ROOM:
+    if max(*read.values(), *ADDED.values()) >= ROOM:
         raise ValueError("ids do not fit 16 bits")
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read, special_tokens=ADDED)
 
 
 @lru_cache(maxsize=1)
@@ -96,7 +98,7 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks).encode_ordinary
+        encode = partial(tokenizer(ranks).encode, allowed_special="all")
         for b in batches:
             ids = [np.array([*encode(t), END], np.uint16) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys(ids), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["rid", key, "curve", "n", "ids"])

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -54,3 +55,13 @@ def test_awkward(spark):
     long = [r for r in rows if r.doc_id == 7]
     assert sum(r.length for r in long) == long[0].doc_tokens
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_added_tokens_inside_texts(spark):
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        assert {t["content"]: t["id"] for t in json.load(f)["added_tokens"]} == packing.ADDED
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "end<|endoftext|>\n\n", "<|endoftext |> <|endoftex", "  <|endoftext|>  it's"]
+    got = {r.doc_id: r.ids for r in packing.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i], np.uint16).tolist() == [*tok.encode(t, add_special_tokens=False).ids, packing.END]
