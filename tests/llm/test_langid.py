@@ -50,3 +50,16 @@ def test_awkward(spark):
     assert {r.lang_pred for r in got if r.doc_id in (3, 4, 5)} == {"und"}
     assert langid.predictions(empty(spark)).count() == 0
     assert {r.lang_pred for r in langid.predictions(awkward(spark).where("lang is null or doc_id is null")).collect()} == {"und"}
+
+
+def test_results_do_not_depend_on_what_executors_hold(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    more = [(10**6 + k, "½ zwölf", "de") for k in range(4)] + [(10**6 + 9, "½", None), (10**6 + 10, "¼", None), (10**6 + 11, "", "xx"), (10**6 + 12, "漢字", None)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string")).unionByName(docs.limit(3))
+    whole = sorted(map(tuple, langid.predictions(docs).collect()))
+    for words, grams in ((300, 300), (0, 0)):
+        monkeypatch.setattr(langid, "WORDS", words)
+        monkeypatch.setattr(langid, "GRAMS", grams)
+        got = sorted(map(tuple, langid.predictions(docs).collect()))
+        assert [r[:3] for r in got] == [r[:3] for r in whole]
+        assert np.allclose([r[3] for r in got], [r[3] for r in whole], atol=1e-4)
