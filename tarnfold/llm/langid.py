@@ -73,10 +73,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, c in words.items():
             own = grams[lang]
             for w, n in c.items():
-                if len(w) < 40:
-                    e = edged(w)
-                    for i in range(len(w) + 1):
-                        own[e[i : i + LONGEST]] += n
+                e = edged(w)
+                for i in range(len(w) + 1):
+                    own[e[i : i + LONGEST]] += n
             other[lang]["w"] += c.total()
 
     for batch in batches:

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tarnfold.llm import langid
 from tests.llm.helpers import awkward, empty
@@ -63,3 +64,11 @@ def test_results_do_not_depend_on_what_executors_hold(spark, sf, monkeypatch):
         got = sorted(map(tuple, langid.predictions(docs).collect()))
         assert [r[:3] for r in got] == [r[:3] for r in whole]
         assert np.allclose([r[3] for r in got], [r[3] for r in whole], atol=1e-4)
+
+
+def test_long_runs_teach_their_grams():
+    run = "".join(chr(0x4E00 + k) for k in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array([run]), pa.array(["zh"])], names=["text", "lang"])
+    got = {t for b in langid._counted(iter([batch])) for kind, t in zip(b["kind"].to_pylist(), b["term"].to_pylist(), strict=True) if kind == "g"}
+    e = langid.edged(run)
+    assert got == {e[i : i + langid.LONGEST] for i in range(len(run) + 1)}
