@@ -227,3 +227,12 @@ def test_streaming_sections(spark, tmp_path):
     q = reindex.reindexed(e := Engine(spark, str(root), str(tmp_path / "store")), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert e.chunks().count() == 2 and Path(tmp_path / "store" / "files.json").exists()
+
+
+def test_new_content_is_checked_alone():
+    for path, head, new in (("a.go", "package a\n\nfunc f() {\n", "}\n\nfunc g() {"), ("a.ts", "function f() {\n", "}\nfunction g() {")):
+        for action in ("MODIFY", "ADD_CHUNK"):
+            before = head + "x()\n}\n" if action == "MODIFY" else head
+            mod = {"seq": 1, "action": action, "wanted": "abcd", "new_content": new if action == "MODIFY" else "}\n"}
+            (got,) = edits._fold([mod], path, before, [["abcd", "Func", "f", "x()"]])
+            assert (got[2], got[5], got[6], got[8]) == ("validation", "snippet", 1, before)
