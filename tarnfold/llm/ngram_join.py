@@ -1,7 +1,7 @@
 """Jaccard join on five-word shingles, through count vectors.
 
 Documents link when 100 * |A & B| >= 80 * |A | B| over their sets of distinct shingles (64-bit
-hashes of five words). The join is exact:
+hashes of five words, each word hashed by BLAKE2b). The join is exact:
 
 1. Sets. Documents with equal sets fold into one representative.
 2. Blocks. Under any one order of all shingles, two linked sets share a shingle among the first
@@ -9,17 +9,23 @@ hashes of five words). The join is exact:
    so passages and boilerplate rarely open a block.
 3. Stars. In each block every member is paired with the block's first. Pairs survive if the sum of
    the minima of their group counts allows the overlap; survivors are verified on their texts.
-4. Rest. Only blocks whose members are still in several components go on. Their rows are cut by size
-   and into bounded tiles; in a tile an R-tree over the count vectors finds, for each row, the rows of
-   other components whose bound allows a link; these are verified too.
+4. Rest. Only blocks whose members are still in several components go on, as tiles of bounded size.
+   In a tile an R-tree over the count vectors finds the rows that have a row of another component
+   whose bound allows a link; the others are done. Texts are read for the rows so found alone, and
+   searched and verified inside a tile; a link leaves it only if it joins two components there.
 
-So members of one component are never paired with each other twice over, and a group of thousands
-of near copies costs a star, not its square, while no link between components is missed.
+Step 4 runs twice. First every row goes to one block and one tile of it, so that a group of near
+copies becomes one component at a cost in proportion to its rows. Then what is still mixed is searched
+whole: in a block of many tiles, the rows outside its largest component meet all its rows, and the rows
+of that component never meet each other. A tile passes on fewer rows than it has, whatever its links.
 
-Longer texts have more groups, about one for eight shingles; a tile compares at the least number in it.
+About half as many groups as shingles: texts that share less than about 0.7 of their shingles rarely
+pass. Groups are nested, so unlike sizes compare at the smaller one's. An R-tree over all documents
+alone would answer the same question, but its boxes overlap so far that it scans nearly every document
+of like size; blocks first make it a local search.
 
-An R-tree over all documents alone would answer the same question, but at 64 groups its boxes overlap
-so far that it scans nearly every document of like size; blocks first make it a local search.
+The window over rare shingles holds no hot group: a shingle that it may meet is in 2 of 10,000 rows, or
+beyond the ``COMMON_MOST`` commonest ones, whose members are a few hundredths of all rows at most.
 
 Defined results: a null text is empty; a text without words has no shingles, links with nothing and
 is its own component; a text of fewer than five words is one shingle; repeated rows have equal sets
@@ -34,33 +40,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm.common import BUCKETS, keep_rows, ship, stage, text_or_empty, width
 
-GROUPS, MOST_GROUPS = 64, 4096
+LEAST_GROUPS = 16
 COMMON = 48  # documents a shingle must be counted in (lossily) to come late in the order
 COMMON_MOST = 200_000  # and how many such shingles are told to the executors, at most
-TILE = 2048
+TILE = 2048  # rows of one side of a tile, about
+WEIGHT = 1 << 21  # and their shingles
+FEW = 48  # rows that are compared without a tree
 LEAF = 16
+MEMO = 400_000  # words whose hashes a worker keeps
 
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _random = np.random.default_rng(2024)
-_BYTE = _random.integers(0, 2**64, 256, np.uint64)
-_BASE = int(_random.integers(0, 2**63)) * 2 + 1
-_UNBASE = pow(_BASE, -1, 2**64)
 _MIX = _random.integers(0, 2**64, 6, np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each."""
-    while len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _UNBASE)):
-            own = _powers[k]
-            _powers[k] = np.concatenate([own, own * np.uint64(pow(base, len(own), 2**64))])
-    return _powers[0][:n], _powers[1][:n]
+class _Words(dict):
+    """Hashes of words, a bounded number of them kept. Unlike words share one as seldom as 64 random bits do, chosen ones too."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        got = self[word] = hashlib.blake2b(word, digest_size=8).digest()
+        return got
+
+
+_words = _Words()
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -70,18 +78,9 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word of a text, A-Z lowered, in order.
-
-    Sums of random numbers for bytes, weighted by powers of a base, give every word's hash as a
-    difference of two prefix sums: no word is looked at alone.
-    """
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)  # of bytes, lower() takes A-Z alone
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
-    start, end = edges[::2], edges[1::2]
-    up, down = _powers_to(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
-    return _scramble((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _MIX[5])
+    """A 64-bit hash for each word of a text, A-Z lowered, in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, lower() takes A-Z and split() the six white spaces alone
+    return np.frombuffer(b"".join(map(_words.__getitem__, words)), np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -102,21 +101,45 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def vector(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """Counts by group. Groups are nested: counts of fewer groups are sums of counts of more."""
-    return np.bincount((found >> np.uint64(7)) % np.uint64(groups), minlength=groups).astype(np.int32)
-
-
 def groups_for(n: int) -> int:
-    """About one group for eight shingles, so that the bound tells long texts apart as well as short ones."""
-    groups = GROUPS
-    while groups < MOST_GROUPS and n > 8 * groups:
-        groups *= 4
+    groups = LEAST_GROUPS
+    while 2 * groups < n:
+        groups *= 2
     return groups
 
 
+def vector(found: np.ndarray) -> np.ndarray:
+    """Counts by group, as small numbers as hold them. Counts of fewer groups are sums of counts of more."""
+    groups = groups_for(len(found))
+    counts = np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+
+
+def packed(v: np.ndarray) -> bytes:
+    return bytes([v.itemsize]) + v.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8 if b[0] == 1 else np.uint32, offset=1)
+
+
+def folded(v: np.ndarray, groups: int) -> np.ndarray:
+    return v if len(v) == groups else v.reshape(-1, groups).sum(axis=0)
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The most shingles that two sets can share, by their group counts."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64))
+
+
+def allowed(overlap: int, n: int, m: int) -> bool:
+    """100 * overlap >= 80 * (n + m - overlap)"""
+    return 9 * overlap >= 4 * (n + m) > 0
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)) > 0
+    return allowed(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
 
 
 class RTree:
@@ -168,13 +191,13 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """rid, key, sha, n, digest of the set, prefix (array of shingles), common (how many of its last are common), counts, fine (of more groups, for longer texts)."""
+    """rid, key, sha, n, digest of the set, prefix (array of shingles), common (how many of its last are common), points (packed group counts)."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = sent.value
         for b in batches:
-            n, digest, prefix, late, counts, fine = [], [], [], [], [], []
+            n, digest, prefix, late, points = [], [], [], [], []
             for t in b.column(3).to_pylist():
                 own = shingles(t)
                 size = prefix_size(len(own))
@@ -190,42 +213,49 @@ def _sets(docs: DataFrame) -> DataFrame:
                         first = np.concatenate([rare, many])[:size]
                 prefix.append(first.view(np.int64))
                 late.append(hot)
-                counts.append(vector(own))
-                fine.append(vector(own, g) if (g := groups_for(len(own))) > GROUPS else None)
+                points.append(packed(vector(own)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(late, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(fine, pa.list_(pa.int32()))],
-                names=["rid", "key", "sha", "n", "digest", "prefix", "common", "counts", "fine"],
+                [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(late, pa.int32()), pa.array(points, pa.binary())],
+                names=["rid", "key", "sha", "n", "digest", "prefix", "common", "points"],
             )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("rid", "key", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text").mapInArrow(run, f"rid long, key {kind}, sha string, n int, digest binary, prefix array<long>, common int, counts array<int>, fine array<int>")
+    return docs.select("rid", "key", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text").mapInArrow(run, f"rid long, key {kind}, sha string, n long, digest binary, prefix array<long>, common int, points binary")
 
 
 def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and group counts allow a link."""
-    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    bound = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return near.where((5 * low >= 4 * high) & (9 * bound >= 4 * (F.col("na") + F.col("nb")))).select("a", "b")
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("points").alias(f"p{x}"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, pa_, pb = (b.column(c).to_pylist() for c in ("na", "nb", "pa", "pb"))
+            keep = [allowed(bound(unpacked(p), unpacked(q)), n, m) for n, m, p, q in zip(na, nb, pa_, pb, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose texts link. Texts are found by key and digest: row numbers hold within the staged sets only.
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    return near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
-    Before texts travel, those in no pair are left where they are: all but the ones whose digests share
-    one of ``BUCKETS`` buckets with a paired text's.
+
+def _texts(rids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """rid, text for the given rows. Texts are found by key and digest: row numbers hold within the staged sets only.
+
+    Before texts travel, those of no such row are left where they are: all but the ones whose digests
+    share one of ``BUCKETS`` buckets with a wanted text's.
     """
-    side = lambda x: sets.select(F.col("rid").alias(x), F.col("key").alias(f"k{x}"), F.col("sha").alias(f"s{x}"))
-    named = stage(pairs.join(side("a"), "a").join(side("b"), "b"), "named-pairs")
+    named = stage(rids.join(sets.select("rid", "key", "sha"), "rid"), "named-rows")
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    wanted = named.select(F.explode(F.array("sa", "sb")).alias("s")).select(bucket("s").alias("bucket")).distinct()  # BUCKETS rows at most
-    near = docs.select(F.col("key").alias("tk"), sha.alias("ts"), "text").withColumn("bucket", bucket("ts")).join(F.broadcast(wanted), "bucket", "left_semi")
+    wanted = named.select(bucket("sha").alias("bucket")).distinct()  # BUCKETS rows at most
+    near = docs.select(F.col("key").alias("tk"), F.sha2(F.col("text").cast("binary"), 256).alias("ts"), "text").withColumn("bucket", bucket("ts"))
+    near = near.join(F.broadcast(wanted), "bucket", "left_semi").groupBy("tk", "ts").agg(F.first("text").alias("text"))  # a row that is repeated travels once
+    return named.join(near, (F.col("sha") == F.col("ts")) & F.col("key").eqNullSafe(F.col("tk"))).select("rid", "text")
+
 
-    def with_text(rows: DataFrame, x: str) -> DataFrame:
-        texts = near.select("tk", "ts", F.col("text").alias(f"t{x}"))
-        return rows.join(texts, (F.col(f"s{x}") == F.col("ts")) & F.col(f"k{x}").eqNullSafe(F.col("tk"))).drop("tk", "ts")
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts link."""
+    pairs = stage(pairs, "pairs")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), sets, docs)
+    side = lambda x: texts.select(F.col("rid").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -235,11 +265,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
                 if a != last:
                     last, own = a, shingles(ta)
                 keep.append(linked(own, shingles(tb)))
-            got = b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield got
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    whole = with_text(with_text(named, "b"), "a").select("a", "b", "ta", "tb")
-    return whole.mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,100 +284,217 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _close(points: np.ndarray, n: np.ndarray, of: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (of, to) whose bound allows a link: through an R-tree, or all at once where there are few."""
-    if len(of) * len(to) * points.shape[1] <= 4096 * GROUPS:
-        low, high = np.minimum(n[of][:, None], n[to]), np.maximum(n[of][:, None], n[to])
-        x, y = np.nonzero(5 * low >= 4 * high)
-        near = 9 * np.minimum(points[of[x]], points[to[y]]).sum(axis=1, dtype=np.int64) >= 4 * (n[of[x]] + n[to[y]])
-        return of[x[near]], to[y[near]]
-    tree = RTree(points[to], n[to])
-    hits = [tree.search(points[q], int(n[q])) for q in of]
-    return np.repeat(of, [len(h) for h in hits]), to[np.concatenate(hits)]
-
-
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each tile; its rows come one after the other, over the end of a batch if need be."""
-    held: dict[str, np.ndarray] | None = None
-
-    def pairs(t: dict[str, np.ndarray], ends: list[int]) -> pa.RecordBatch:
-        a, b, first = [], [], 0
-        for last in ends:
-            g = slice(first, last)
-            rid, label, n, mine, own, vectors = (t[c][g] for c in ("rid", "label", "n", "mine", "own", "counts"))
-            width_ = min(map(len, vectors))
-            points = np.stack([v if len(v) == width_ else v.reshape(-1, width_).sum(axis=0) for v in vectors])
-            i, j = t["i"][first], t["j"][first]
-            x, y = _close(points, n, np.flatnonzero(mine == i), np.flatnonzero(mine == j))
-            keep = (label[x] != label[y]) & (own[x] | own[y]) & ((rid[x] < rid[y]) if i == j else True)
-            a.append(np.minimum(rid[x[keep]], rid[y[keep]]))
-            b.append(np.maximum(rid[x[keep]], rid[y[keep]]))
-            first = last
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else none) for c in (a, b)], names=["a", "b"])
-
+def _near(points: list[np.ndarray], n: np.ndarray, of: np.ndarray, to: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``of`` the rows of ``to`` in another component (``apart`` may change meanwhile) whose bound allows a link."""
+    if len(of) * len(to) <= FEW * FEW:
+        once = np.array_equal(of, to)  # then a pair is looked at from one side
+        for x in of:
+            y = to[(apart[to] != apart[x]) & (5 * np.minimum(n[to], n[x]) >= 4 * np.maximum(n[to], n[x])) & ((to > x) | (not once))]
+            yield x, np.array([k for k in y if allowed(bound(points[x], points[k]), n[x], n[k])], np.int64)
+        return
+    band = np.floor(np.log(n) / np.log(1.25)).astype(np.int64)
+    for own in np.unique(band[of]):
+        here, there = of[band[of] == own], to[np.abs(band[to] - own) <= 1]
+        groups = min(len(points[k]) for k in np.concatenate([here, there]))
+        tree = RTree(np.stack([folded(points[k], groups) for k in there]), n[there])
+        for x in here:
+            y = there[tree.search(folded(points[x], groups), int(n[x]))]
+            yield x, y[apart[y] != apart[x]]
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each tile; they come one after the other, over the end of a batch if need be."""
+    held: list[dict[str, np.ndarray]] = []
+    keys = ("token", "i", "j")
     for batch in batches:
-        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "band", "i", "j", "rid", "label", "n", "mine", "own")}
-        now["counts"] = batch.column("counts").to_numpy(zero_copy_only=False)
-        now["n"] = now["n"].astype(np.int64)
-        if held is not None:
-            now = {c: np.concatenate([held[c], v]) for c, v in now.items()}
-        turn = np.zeros(max(0, len(now["rid"]) - 1), bool)
-        for c in ("token", "band", "i", "j"):
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if not len(now["rid"]):
+            continue
+        turn = np.zeros(len(now["rid"]) - 1, bool)
+        for c in keys:
             turn |= now[c][1:] != now[c][:-1]
-        ends = (np.flatnonzero(turn) + 1).tolist()
-        if ends:
-            yield pairs(now, ends)
-            now = {c: v[ends[-1] :] for c, v in now.items()}
-        held = now
-    if held is not None and len(held["rid"]):
-        yield pairs(held, [len(held["rid"])])
+        ends = [0, *(np.flatnonzero(turn) + 1).tolist(), len(now["rid"])]
+        for a, b in zip(ends, ends[1:], strict=False):
+            part = {c: v[a:b] for c, v in now.items()}
+            if held and any(held[-1][c][-1] != part[c][0] for c in keys):
+                yield {c: np.concatenate([x[c] for x in held]) for c in part}
+                held = []
+            held.append(part)
+    if held:
+        yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+
+
+def _sides(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(t["role"] & 1), np.flatnonzero(t["role"] & 2)
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, rid: the rows of each tile that have a row of another component whose bound allows a link."""
+    out: list[tuple[int, int]] = []
+
+    def rows() -> pa.RecordBatch:
+        token, rid = zip(*out, strict=True) if out else ((), ())
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(rid, pa.int64())], names=["token", "rid"])
+
+    for t in _by_tile(batches):
+        if (t["label"] == t["label"][0]).all():
+            continue
+        hit = np.zeros(len(t["rid"]), bool)
+        for x, y in _near([unpacked(p) for p in t["points"]], t["n"], *_sides(t), t["label"]):
+            hit[y] = True
+            hit[x] |= len(y) > 0
+        out += zip(t["token"][hit].tolist(), t["rid"][hit].tolist(), strict=True)
+        if len(out) > 10_000:
+            yield rows()
+    yield rows()
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: verified links of each tile, only those that join two components of it."""
+    for t in _by_tile(batches):
+        sets = [shingles(x) for x in t["text"]]
+        n = np.array([len(x) for x in sets], np.int64)
+        ends = np.cumsum(n)
+        place, inside = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.split(inside, ends[:-1])
+        marked = np.zeros(len(place), bool)
+        _, apart = np.unique(t["label"], return_inverse=True)
+        a, b = [], []
+        for x, y in _near([vector(s) for s in sets], n, *_sides(t), apart):
+            y = y[apart[y] != apart[x]]
+            if not len(y):
+                continue
+            marked[mine[x]] = True
+            shared = np.add.reduceat(marked[np.concatenate([mine[k] for k in y])], np.cumsum(n[y]) - n[y], dtype=np.int64)
+            marked[mine[x]] = False
+            for k in y[9 * shared >= 4 * (n[x] + n[y])]:
+                if apart[k] != apart[x]:
+                    apart[apart == apart[k]] = apart[x]
+                    a.append(min(t["rid"][x], t["rid"][k]))
+                    b.append(max(t["rid"][x], t["rid"][k]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _parts(m: str, w: str) -> Column:
+    return F.greatest(F.ceil(F.col(m) / TILE), F.ceil(F.col(w) / WEIGHT), F.lit(1)).cast("int")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """token, most (its largest component), r and rw (rows outside that one, and their shingles), large: blocks that hold several components.
 
+    Blocks of the same members (the shingles of one passage) are searched once.
+    """
+    per = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rid")).alias("h"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("g"), F.max(_parts("m", "mw")).alias("parts"))
+    per = per.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("r"), (F.sum("w") - F.max_by("w", F.struct("k", "label"))).alias("rw"), F.sum("k").alias("k"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"), F.max("parts").alias("parts"))
+    once = per.where("labels > 1").groupBy("h", "g", "k").agg(F.min(F.struct("token", "most", "r", "rw", "parts")).alias("at")).select("at.*")
+    return stage(once, "mixed-blocks")
 
-def _rest(blocks: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs across components of blocks that hold several, found by R-trees over tiles; stars are not repeated.
 
-    Blocks of the same members (the shingles of one passage) are searched once.
+def _dealt(rows: DataFrame, mixed: DataFrame, whole: bool) -> DataFrame:
+    """token, i, j, role (1: searches, 2: is searched), rid, label, n: the rows of mixed blocks dealt to tiles.
+
+    ``whole``: every row outside a block's largest component meets all rows of the block; else a row is in one tile.
     """
-    own = blocks.where("m > 2").join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    mixed = own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("rid")).alias("h"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("g"), F.count(F.lit(1)).alias("k"))
-    once = mixed.where("x <> y").groupBy("h", "g", "k").agg(F.min("token").alias("token")).select("token")
-    rows = own.join(once, "token", "left_semi").where("rid <> leader").join(sets.select("rid", "n", F.coalesce("fine", "counts").alias("counts")), "rid")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
-    rows = stage(rows.select("token", "rid", "label", "n", "counts", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("at")).select("token", "rid", "label", "n", "counts", "at.band", "at.own"), "block-rest")
-    chunks = rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("own").alias("any")).where("x <> y and any").select("token", "band", "chunks")
-    dealt = rows.join(chunks, ["token", "band"]).withColumn("c", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select("token", "band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.col("c").alias("mine"), "rid", "label", "n", "counts", "own")
-    keys = ["token", "band", "i", "j"]
-    return tiles.repartition(width(blocks.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_searched, "a long, b long").where("a <> b").distinct()
+    rows = rows.join(mixed.drop("parts"), "token").withColumn("c", _parts("m", "mw")).withColumn("o", _parts("r", "rw"))
+    hashed = lambda seed, n: F.pmod(F.xxhash64("rid", F.lit(seed)), F.col(n)).cast("int")
+    at = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    if not whole:
+        return rows.select("token", hashed(7, "c").alias("i"), hashed(7, "c").alias("j"), F.lit(3).alias("role"), "rid", "label", "n")
+    i, j = hashed(8, "o"), hashed(9, "c")
+    searched = F.transform(F.filter(F.sequence(F.lit(0), F.col("o") - 1), lambda k: (F.col("label") == F.col("most")) | (k != i)), lambda k: at(k, j, 2))
+    searches = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.when(k == j, 3).otherwise(1).alias("role")))
+    own = F.when(F.col("label") == F.col("most"), searched).otherwise(F.concat(searches, searched))
+    return rows.select("token", "rid", "label", "n", F.explode(own).alias("at")).select("token", "at.i", "at.j", "at.role", "rid", "label", "n")
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    keys = ["token", "i", "j"]
+    return rows.repartition(width(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def _flags(rows: DataFrame, mixed: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
+    """The rows (token, rid, ...) that may have a link to another component in their block."""
+    dealt = _dealt(rows, mixed, whole).join(sets.select("rid", "points"), "rid")
+    hits = _tiles(dealt).mapInArrow(_flagged, "token long, rid long").distinct()
+    return stage(rows.join(hits, ["token", "rid"]), "flagged-rows")
+
+
+def _joined(rows: DataFrame, sets: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
+    """Verified links between components of the blocks of ``rows``."""
+    mixed = _mixed(rows)
+    texts = _texts(rows.join(mixed.select("token"), "token", "left_semi").select("rid").distinct(), sets, docs)
+    return stage(_tiles(_dealt(rows, mixed, whole).join(texts, "rid")).mapInArrow(_joining, "a long, b long").distinct(), "links-rest")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.drop("label").join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+
+
+def _rest(blocks: DataFrame, links: DataFrame, label: DataFrame, sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with those that stars have not found, and the labels that follow."""
+    rows = _labelled(blocks.where("m > 2"), label)
+    flagged = _flags(rows, _mixed(rows), sets, False)
+    picked = flagged.groupBy("rid").agg(F.max_by("token", F.struct("m", "token")).alias("token"))
+    found = _joined(flagged.join(picked, ["rid", "token"]), sets, docs, False)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        label = components(links)
+    left = _labelled(flagged.where(_parts("m", "mw") == 1).unionByName(rows.where(_parts("m", "mw") > 1).select(flagged.columns)), label)
+    found = _joined(_flags(left, _mixed(left), sets, True), sets, docs, True)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        label = components(links)
+    return links, label
 
 
 def _leads(blocks: DataFrame) -> DataFrame:
     return blocks.where("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per input row: key, n_shingles, component_id, kept (one row of each component: the smallest key, then the first read), sha (of the text)."""
+def _representatives(sets: DataFrame) -> DataFrame:
+    """One row of each distinct set that is not empty. Sets whose digest shares none of ``BUCKETS`` buckets with a repeated one stay where they are."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    repeated = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    repeated = stage(repeated.select("digest", "rep"), "repeated-sets")
+    hit = F.broadcast(repeated.select(bucket("digest").alias("bucket")).distinct())  # BUCKETS rows at most
+    every = sets.where("n > 0").withColumn("bucket", bucket("digest"))
+    looked = every.join(hit, "bucket", "left_semi").join(repeated, "digest", "left").where("rep is null or rep = rid")
+    return every.join(hit, "bucket", "left_anti").unionByName(looked.select(every.columns))
+
+
+def _solved(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets with the row that stands for each (rep), links between such rows, and the labels of linked ones."""
     ship(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), text_or_empty(text).alias("text"))
     sets = stage(_sets(docs), "shingle-sets")
-    member = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"))
-    reps = sets.join(member.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    split = reps.select("rid", F.size("prefix").alias("s"), "common", F.posexplode("prefix").alias("pos", "token"))
-    rare, often = (split.where(c).select("token", "rid") for c in ("pos < s - common", "pos >= s - common"))
+    split = _representatives(sets).select("rid", "n", F.size("prefix").alias("s"), "common", F.posexplode("prefix").alias("pos", "token"))
+    rare, often = (split.where(c).select("token", "rid", "n") for c in ("pos < s - common", "pos >= s - common"))
     every = Window.partitionBy("token")
-    small = rare.withColumn("leader", F.min("rid").over(every)).withColumn("m", F.count(F.lit(1)).over(every)).where("m > 1")
-    large = often.join(often.groupBy("token").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
+    small = rare.withColumn("leader", F.min("rid").over(every)).withColumn("m", F.count(F.lit(1)).over(every)).withColumn("mw", F.sum("n").over(every)).where("m > 1")
+    large = often.join(stage(often.groupBy("token").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("mw")).where("m > 1"), "common-blocks"), "token")
     blocks = stage(small.unionByName(large.select(*small.columns)), "shingle-blocks")
     links = stage(_verified(_allowed(_leads(blocks), sets), sets, docs), "links-stars")
-    label = components(links)
-    more = stage(_verified(_rest(blocks, label, sets).join(links, ["a", "b"], "left_anti"), sets, docs), "links-rest")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    links, label = _rest(blocks, links, components(links), sets, docs)
+    member = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"))
     rep = sets.join(member, "digest", "left").select("rid", "key", "sha", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("rid")).alias("rep"))
-    found = stage(rep.join(label.select(F.col("rid").alias("rep"), "label"), "rep", "left").select("rid", "key", "sha", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep").alias("label")), "shingle-groups")
-    best = found.groupBy("label").agg(F.min("key").alias("component_id"), F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("rid"))).alias("best"))
-    return found.join(best, "label").select(F.col("key").alias(key), "n_shingles", "component_id", (F.col("best.rid") == F.col("rid")).alias("kept"), "sha")
+    return rep, links, label
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per input row: key, n_shingles, component_id, kept (one row of each component: the smallest key, then the first read), sha (of the text)."""
+    rep, _, label = _solved(docs, key, text)
+    found = stage(rep.join(label.select(F.col("rid").alias("rep"), "label"), "rep", "left").select("rid", "key", "sha", "n", F.coalesce("label", "rep").alias("label")), "shingle-groups")
+    best = stage(found.groupBy("label").agg(F.min("key").alias("component_id"), F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("rid"))).alias("best")), "shingle-best")
+    return found.join(best, "label").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("best.rid") == F.col("rid")).alias("kept"), "sha")
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """a, b: keys of documents that link, enough of them to join all of each component; equal sets speak through the first row read."""
+    rep, found, _ = _solved(docs, key, text)
+    side = lambda x: rep.select(F.col("rid").alias(f"r{x}"), F.col("key").alias(x))
+    return found.toDF("ra", "rb").join(side("a"), "ra").join(side("b"), "rb").select("a", "b")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnfold.llm import ngram_join as nj
@@ -75,7 +76,8 @@ def test_tree_loses_no_pair_and_prunes():
         own = sets[k].copy()
         own[: len(own) // 12] = rng.integers(0, 2**63, len(own) // 12).astype(np.uint64)
         sets.append(np.unique(own))
-    points, sizes = np.stack([nj.vector(x) for x in sets]), np.array([len(x) for x in sets])
+    groups = min(len(nj.vector(x)) for x in sets)
+    points, sizes = np.stack([nj.folded(nj.vector(x), groups) for x in sets]), np.array([len(x) for x in sets])
     tree, looked = nj.RTree(points, sizes), 0
     for k, x in enumerate(sets):
         hit = set(tree.search(points[k], int(sizes[k])).tolist())
@@ -97,9 +99,76 @@ def test_awkward(spark):
 
 
 def test_groups_are_nested():
-    x = np.random.default_rng(1).integers(0, 2**63, 9000).astype(np.uint64)
-    fine = nj.vector(x, nj.groups_for(len(x)))
-    assert len(fine) == 4096 and (fine.reshape(-1, 64).sum(axis=0) == nj.vector(x)).all() and [nj.groups_for(n) for n in (0, 512, 513, 2049)] == [64, 64, 256, 1024]
+    x, y = (np.unique(np.random.default_rng(k).integers(0, 2**63, n).astype(np.uint64)) for k, n in ((1, 9000), (2, 40)))
+    fine, coarse = nj.vector(x), nj.vector(y)
+    assert [nj.groups_for(n) for n in (0, 32, 33, 512, 9000)] == [16, 16, 32, 256, 8192] and len(fine) == 8192 and len(coarse) == 32
+    assert (nj.folded(fine, 32) == np.bincount((x & np.uint64(31)).astype(int), minlength=32)).all()
+    assert nj.bound(fine, coarse) >= len(np.intersect1d(x, y)) and nj.bound(fine, fine) == 9000
+    many = np.arange(0, 16 * 300, 16, dtype=np.uint64)
+    assert (nj.unpacked(nj.packed(nj.folded(nj.vector(many), 16).astype(np.uint32))) == [300] + [0] * 15).all() and (nj.unpacked(nj.packed(fine)) == fine).all()
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo any power of two, for every base."""
+    morse = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    rows = [(k, f"one two three four {w}") for k, w in enumerate((morse, morse.translate(str.maketrans("ab", "ba"))))]
+    assert len(np.unique(np.concatenate([nj.words_of(t)[-1:] for _, t in rows]))) == 2
+    assert {r.component_id for r in nj.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1}
+
+
+def family(n, edits, seed=3):
+    """Near copies of one text, each with edits of its own, so that a part of all pairs links."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for _ in range(rng.choice(edits)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_tiles_pass_on_fewer_rows_than_they_have():
+    made = []
+    for n in (150, 600):
+        rows = family(n, (1, 2, 3, 4))
+        tile = {"token": [1] * n, "i": [0] * n, "j": [0] * n, "role": [3] * n, "rid": list(range(n)), "label": list(range(n)), "n": [len(nj.shingles(t)) for _, t in rows]}
+        texts = pa.RecordBatch.from_pydict(tile | {"text": [t for _, t in rows]})
+        points = pa.RecordBatch.from_pydict(tile | {"points": [nj.packed(nj.vector(nj.shingles(t))) for _, t in rows]})
+        links = [x for b in nj._joining(iter([texts.slice(0, 100), texts.slice(100)])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        flags = [x for b in nj._flagged(iter([points])) for x in b["rid"].to_pylist()]
+        want = len({c for _, c in brute(rows).values()})
+        assert len(set(links)) == len(links) == n - want < n and len(set(flags)) == len(flags) <= n
+        made.append(len(links))
+    assert made[1] <= 4.5 * made[0]
+
+
+@pytest.mark.parametrize(("tile", "weight"), [(2048, 1 << 21), (32, 1 << 21), (2048, 3000)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, tile, weight):
+    monkeypatch.setattr(nj, "TILE", tile)
+    monkeypatch.setattr(nj, "WEIGHT", weight)
+    rows = family(220, (1, 2, 3, 4, 6, 8)) + [(10**6 + i, t) for i, t in family(40, (0, 12, 14), 4)]
+    got = nj.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_links_join_each_component(spark):
+    rows = corpus(5, 120)
+    up = {i: i for i, _ in rows}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for r in nj.links(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        up[max(top(r.a), top(r.b))] = min(top(r.a), top(r.b))
+    texts = {}
+    for i, t in rows:  # equal sets speak through one row
+        texts.setdefault(nj.shingles(t).tobytes(), []).append(i)
+    for same in texts.values():
+        for x in same:
+            up[max(top(x), top(same[0]))] = min(top(x), top(same[0]))
+    assert {i: top(i) for i, _ in rows} == {i: c for i, (_, c) in brute(rows).items()}
 
 
 def test_long_texts(spark, monkeypatch):
