@@ -19,7 +19,7 @@ copies becomes one component at a cost in proportion to its rows. Then what is s
 whole: in a block of many tiles, the rows outside its largest component meet all its rows, and the rows
 of that component never meet each other. A tile passes on fewer rows than it has, whatever its links.
 
-About half as many groups as shingles: texts that share less than about 0.7 of their shingles rarely
+A group for one or two shingles: texts that share less than about 0.75 of their shingles rarely
 pass. Groups are nested, so unlike sizes compare at the smaller one's. An R-tree over all documents
 alone would answer the same question, but its boxes overlap so far that it scans nearly every document
 of like size; blocks first make it a local search.
@@ -109,18 +109,27 @@ def groups_for(n: int) -> int:
 
 
 def vector(found: np.ndarray) -> np.ndarray:
-    """Counts by group, as small numbers as hold them. Counts of fewer groups are sums of counts of more."""
+    """Counts by group. Counts of fewer groups are sums of counts of more."""
     groups = groups_for(len(found))
-    counts = np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
 def packed(v: np.ndarray) -> bytes:
-    return bytes([v.itemsize]) + v.tobytes()
+    """A vector in half bytes, bytes or words, as the largest count asks, behind a mark that says which."""
+    most = v.max()
+    if most < 16:
+        half = v.astype(np.uint8)
+        return b"h" + (half[::2] | half[1::2] << 4).tobytes()
+    return b"b" + v.astype(np.uint8).tobytes() if most < 256 else b"w" + v.astype(np.uint32).tobytes()
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8 if b[0] == 1 else np.uint32, offset=1)
+    if b[:1] != b"h":
+        return np.frombuffer(b, np.uint8 if b[:1] == b"b" else np.uint32, offset=1)
+    half = np.frombuffer(b, np.uint8, offset=1)
+    out = np.empty(2 * len(half), np.uint8)
+    out[::2], out[1::2] = half & 15, half >> 4
+    return out
 
 
 def folded(v: np.ndarray, groups: int) -> np.ndarray:
@@ -233,7 +242,7 @@ def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [allowed(bound(unpacked(p), unpacked(q)), n, m) for n, m, p, q in zip(na, nb, pa_, pb, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
     return near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
@@ -243,12 +252,12 @@ def _texts(rids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     Before texts travel, those of no such row are left where they are: all but the ones whose digests
     share one of ``BUCKETS`` buckets with a wanted text's.
     """
-    named = stage(rids.join(sets.select("rid", "key", "sha"), "rid"), "named-rows")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    wanted = named.select(bucket("sha").alias("bucket")).distinct()  # BUCKETS rows at most
-    near = docs.select(F.col("key").alias("tk"), F.sha2(F.col("text").cast("binary"), 256).alias("ts"), "text").withColumn("bucket", bucket("ts"))
-    near = near.join(F.broadcast(wanted), "bucket", "left_semi").groupBy("tk", "ts").agg(F.first("text").alias("text"))  # a row that is repeated travels once
-    return named.join(near, (F.col("sha") == F.col("ts")) & F.col("key").eqNullSafe(F.col("tk"))).select("rid", "text")
+    named = stage(rids.join(sets.select("rid", F.struct("key", "sha").alias("at")), "rid"), "named-rows")
+    bucket = F.pmod(F.xxhash64("at"), F.lit(BUCKETS)).alias("bucket")
+    wanted = named.select(bucket).distinct()  # BUCKETS rows at most
+    near = docs.select(F.struct("key", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).alias("at"), "text").withColumn("bucket", bucket)
+    near = near.join(F.broadcast(wanted), "bucket", "left_semi").groupBy("at").agg(F.first("text").alias("text"))  # a row that is repeated travels once
+    return named.join(near, "at").select("rid", "text")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -450,18 +459,19 @@ def _rest(blocks: DataFrame, links: DataFrame, label: DataFrame, sets: DataFrame
 
 
 def _leads(blocks: DataFrame) -> DataFrame:
-    return blocks.where("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
+    """Pairs of each block's first and its other members whose sizes allow a link."""
+    near = 5 * F.least("n", "leader_n") >= 4 * F.greatest("n", "leader_n")
+    return blocks.where((F.col("rid") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
 
 
-def _representatives(sets: DataFrame) -> DataFrame:
-    """One row of each distinct set that is not empty. Sets whose digest shares none of ``BUCKETS`` buckets with a repeated one stay where they are."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    repeated = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    repeated = stage(repeated.select("digest", "rep"), "repeated-sets")
-    hit = F.broadcast(repeated.select(bucket("digest").alias("bucket")).distinct())  # BUCKETS rows at most
-    every = sets.where("n > 0").withColumn("bucket", bucket("digest"))
-    looked = every.join(hit, "bucket", "left_semi").join(repeated, "digest", "left").where("rep is null or rep = rid")
-    return every.join(hit, "bucket", "left_anti").unionByName(looked.select(every.columns))
+def _standing(sets: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The sets with the row that stands for each (rep). Those whose digest shares none of ``BUCKETS`` buckets with a repeated one stay where they are."""
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).alias("bucket")
+    hit = F.broadcast(repeated.select(bucket).distinct())  # BUCKETS rows at most
+    every = sets.withColumn("bucket", bucket)
+    clear = every.join(hit, "bucket", "left_anti").withColumn("rep", F.col("rid"))
+    looked = every.join(hit, "bucket", "left_semi").join(repeated, "digest", "left").withColumn("rep", F.coalesce("rep", "rid"))
+    return clear.unionByName(looked).drop("bucket")
 
 
 def _solved(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -469,16 +479,19 @@ def _solved(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame,
     ship(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), text_or_empty(text).alias("text"))
     sets = stage(_sets(docs), "shingle-sets")
-    split = _representatives(sets).select("rid", "n", F.size("prefix").alias("s"), "common", F.posexplode("prefix").alias("pos", "token"))
+    repeated = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    repeated = stage(repeated.select("digest", "rep"), "repeated-sets")
+    split = _standing(sets, repeated).where("n > 0 and rep = rid").select("rid", "n", F.size("prefix").alias("s"), "common", F.posexplode("prefix").alias("pos", "token"))
     rare, often = (split.where(c).select("token", "rid", "n") for c in ("pos < s - common", "pos >= s - common"))
     every = Window.partitionBy("token")
-    small = rare.withColumn("leader", F.min("rid").over(every)).withColumn("m", F.count(F.lit(1)).over(every)).withColumn("mw", F.sum("n").over(every)).where("m > 1")
-    large = often.join(stage(often.groupBy("token").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("mw")).where("m > 1"), "common-blocks"), "token")
-    blocks = stage(small.unionByName(large.select(*small.columns)), "shingle-blocks")
+    facts = {"first": F.min(F.struct("rid", "n")), "m": F.count(F.lit(1)), "mw": F.sum("n")}
+    small = rare.withColumns({k: v.over(every) for k, v in facts.items()}).where("m > 1")
+    large = often.join(stage(often.groupBy("token").agg(*(v.alias(k) for k, v in facts.items())).where("m > 1"), "common-blocks"), "token")
+    blocks = small.unionByName(large).select("token", "rid", "n", F.col("first.rid").alias("leader"), F.col("first.n").alias("leader_n"), "m", "mw")
+    blocks = stage(blocks, "shingle-blocks")
     links = stage(_verified(_allowed(_leads(blocks), sets), sets, docs), "links-stars")
     links, label = _rest(blocks, links, components(links), sets, docs)
-    member = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"))
-    rep = sets.join(member, "digest", "left").select("rid", "key", "sha", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("rid")).alias("rep"))
+    rep = _standing(sets, repeated).select("rid", "key", "sha", "n", "rep")
     return rep, links, label
 
 

@@ -86,7 +86,8 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
             if at >= past[1]:
                 if m := _IP.match(text, at):
                     past[1] = m.end()
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+                    parts = [x.lstrip("0") or "0" for x in m[0].split(".")]  # int() refuses very long runs of zeros too
+                    if all(len(x) <= 3 and int(x) <= 255 for x in parts):
                         out.append((at, 1, m.end()))
                 else:  # later digits of this run start the same chain
                     past[1] = at + 1
