@@ -1,22 +1,23 @@
 """Language identification, word first.
 
-Known words score by their log frequency in each language. A word that was not kept is spelled out:
+Known words score by their log frequency in each language. A word that was not met is spelled out:
 from each of its letters the longest known character n-gram scores, five letters at first, then
-four, three, two and one. Counts of words and n-grams are taken over every document to learn from,
-and all that are met more than once are known, in every language. Executors hold the commonest
-``WORDS`` words and ``GRAMS`` n-grams; where there are more, a document's other words are joined
-with the whole tables, so that the bound saves work and changes no result. What a join adds up are
-gains over a term never met in a language, as whole numbers of ``1 / UNIT``.
+four, three, two and one.
+
+The classifier is fitted on a bounded sample of labelled rows: ``ROWS`` at most, an equal share for each
+language, those with the smallest hashes of id and text (all rows of a language that has no more). So a
+language of a few rows among billions is learned as well as the largest one. Every word and n-gram of
+those whole texts is known, with no cut by rank or count, and executors hold them all: the model
+grows with the sample, not with the corpus. How common a language is comes from all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing to
 learn from every text is ``und``; documents without a language or an id are not learned from; ties
-go to the language with more documents, then to the first by name; repeated rows count and are
-predicted each; an empty table gives no rows; clashing columns are not read.
+go to the language with more documents, then to the first by name; rows that repeat id, language and text
+are learned from once and predicted each; an empty table gives no rows; clashing columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,17 +25,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm.common import ship, stage, width
 
-WORDS = 60_000
-GRAMS = 60_000
-UNIT = 1 << 30
+ROWS = 8_000  # labelled rows that a model is fitted on, at most
 LONGEST = 5
 SMOOTH = 0.05
-WIDE = 64  # where there are more languages, fewer terms are held
 MEMO = 300_000  # unseen words whose scores a worker keeps
 FLUSH = 500_000  # distinct words a task holds before it passes counts on
 
@@ -42,73 +40,52 @@ _RUNS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case; a run may hold other numerals (a superscript two), and nothing else."""
     return _RUNS.findall(text.lower())
 
 
+def lettered(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def edged(word: str) -> str:
     """A word with its edges marked, so that an n-gram of full length begins at each letter."""
     return f"\x02{word}" + "\x03" * (LONGEST - 1)
 
 
-def fewer(most: int, languages: int) -> int:
-    return min(most, most * WIDE // max(1, languages))
-
-
 def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: kind w (words), g (n-grams of full length; the shorter ones are their beginnings) and t (of words and documents)."""
+    """Partial counts by language: kind w (words with a letter) and g (n-grams of every length)."""
     words: dict[str, Counter] = defaultdict(Counter)
-    grams: dict[str, Counter] = defaultdict(Counter)
-    other: dict[str, Counter] = defaultdict(Counter)
-
-    def rows(kind: str, held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, c in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array([lang] * len(c), pa.string()), pa.array(c.values(), pa.int64())], names=["kind", "term", "lang", "n"])
-        held.clear()
 
-    def spelled() -> None:
+    def spelled(own: Counter) -> Counter:
+        full: Counter = Counter()
+        for w, n in own.items():
+            e = edged(w)
+            for i in range(len(w) + 1):
+                full[e[i : i + LONGEST]] += n
+        out: Counter = Counter()
+        for g, n in full.items():
+            for size in range(1, LONGEST + 1):
+                out[g[:size]] += n
+        return out
+
+    def rows() -> Iterator[pa.RecordBatch]:
         for lang, c in words.items():
-            own = grams[lang]
-            for w, n in c.items():
-                e = edged(w)
-                for i in range(len(w) + 1):
-                    own[e[i : i + LONGEST]] += n
-            other[lang]["w"] += c.total()
+            own = Counter({w: n for w, n in c.items() if lettered(w)})
+            for kind, held in (("w", own), ("g", spelled(own))):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(held), pa.string()), pa.array(held.keys(), pa.string()), pa.array([lang] * len(held), pa.string()), pa.array(held.values(), pa.int64())], names=["kind", "term", "lang", "n"])
+        words.clear()
 
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words[lang].update(words_of(text))
-            other[lang]["d"] += 1
-        if sum(map(len, words.values())) > FLUSH:
-            spelled()
-            yield from rows("w", words)
-        if sum(map(len, grams.values())) > FLUSH:
-            yield from rows("g", grams)
-    spelled()
-    yield from rows("w", words)
-    yield from rows("g", grams)
-    yield from rows("t", other)
-
-
-def _beginnings(grams: DataFrame) -> DataFrame:
-    """Counts of n-grams of every length out of those of full length."""
-    each = grams.select("term", F.explode("by").alias("b")).select("b", F.explode(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("term"))
-    per = each.groupBy("term", F.col("b.lang").alias("lang")).agg(F.sum("b.n").alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-
-
-def _commonest(table: DataFrame, most: int) -> DataFrame:
-    """Terms with their counts by language, the most frequent ones up to ``most``; whole counts, cut at one frequency."""
-    grade = F.floor(F.log2(F.col("total")) * 8)
-    whole, left = 0, None
-    for r in table.where("total > 1").groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # a few hundred grades at most
-        if whole + r["count"] > most:
-            break
-        whole, left = whole + r["count"], r["grade"]
-    return table.where("total > 1").where(grade >= left) if left is not None else table.limit(0)
+            if sum(map(len, words.values())) > FLUSH:
+                yield from rows()
+    yield from rows()
 
 
 @dataclass
@@ -118,7 +95,6 @@ class Model:
     words: dict[str, int]
     grams: dict[str, int]
     rows: np.ndarray  # log frequencies: row 0 is zero, then words, then n-grams
-    floors: np.ndarray | None = None  # log frequencies of a word and an n-gram never met in a language
     _memo: dict[str, int] = field(default_factory=dict)
     _used: int = 0
 
@@ -138,11 +114,11 @@ class Model:
         if not self._used:
             self._memo.update(self.words)
             self._used = len(self.rows)
-            self.rows = np.concatenate([self.rows, np.zeros((fewer(MEMO, self.rows.shape[1]), self.rows.shape[1]), np.float32)])
+            self.rows = np.concatenate([self.rows, np.zeros((MEMO, self.rows.shape[1]), np.float32)])
         at = self._memo.get(word)
         if at is not None:
             return at
-        if not any(c.isalpha() for c in word):
+        if not lettered(word):
             return 0
         row = self.spelled(word)
         if self._used == len(self.rows) or len(word) >= 40:
@@ -168,162 +144,63 @@ class Model:
                     more.append(got)
         if not any(at) and not more:
             return "und", 0.0
-        return self.best(self.rows[at].sum(axis=0, dtype=np.float64) + sum(more))
-
-    def partly(self, text: str | None) -> tuple[np.ndarray, bool, Counter]:
-        """For a model that does not hold every term: scores of the words it holds, whether there are any or a letter, the other words."""
-        words = Counter(words_of(text or ""))
-        at = [(self.words[w], words.pop(w)) for w in list(words) if w in self.words]
-        if not at:
-            return np.zeros(len(self.languages)), any(c.isalpha() for w in words for c in w), words
-        row, n = map(np.array, zip(*at, strict=True))
-        return n @ self.rows[row].astype(np.float64), True, words
-
-    def best(self, total: np.ndarray) -> tuple[str, float]:
-        z = total + self.prior
+        z = self.rows[at].sum(axis=0, dtype=np.float64) + sum(more) + self.prior
         p = np.exp(z - z.max())
         best = int(np.argmax(p))
         return self.languages[best], float(p[best] / p.sum())
 
 
-@dataclass
-class Tables:
-    """Every known word and n-gram with its counts: term, by (lang, n)."""
-
-    words: DataFrame
-    grams: DataFrame
-
+def _sample(given: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
+    """text, lang: of each language its share of ``rows``, by the smallest hashes of id and text; equal rows once.
 
-def learn(docs: DataFrame) -> Model:
-    """Counts over every document of ``docs`` (text, lang) and keeps a model of bounded size."""
-    return _learned(docs)[0]
+    A cut at 1.3 times the share first, so that few more rows than that are sorted for a language.
+    """
+    share = max(1, rows // max(1, len(counts)))
+    space = 1 << 40
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(space))
+    cuts = given.sparkSession.createDataFrame([(g, int(space * min(1.0, (1.3 * share + 50) / n))) for g, n in counts.items()], "lang string, cut long")
+    few = given.withColumn("place", place).join(F.broadcast(cuts), "lang").where("place < cut").dropDuplicates(["lang", "doc_id", "text"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
+    return few.withColumn("first", first).where(F.col("first") <= share).select("text", "lang")
 
 
-def _learned(docs: DataFrame) -> tuple[Model, Tables | None]:
-    """The model, and the whole tables where it does not hold every term."""
+def learn(docs: DataFrame, rows: int = ROWS) -> Model:
+    """A model of docs (doc_id, text, lang): all rows for how common a language is, a sample of them for its words."""
     spark = docs.sparkSession
     ship(spark)
-    given = docs.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    parts = given.mapInArrow(_counted, "kind string, term string, lang string, n long").repartition(width(spark), "kind", "term")
-    per = parts.groupBy("kind", "term", "lang").agg(F.sum("n").alias("n"))
-    terms = per.groupBy("kind", "term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    terms = stage(terms.where("total > 1 or kind <> 'w'"), "language-counts")
-    totals = {(r.term, b.lang): b.n for r in terms.where("kind = 't'").collect() for b in r["by"]}
-    languages = sorted({g for t, g in totals if t == "d"}, key=lambda g: (-totals["d", g], g))
+    given = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
+    counts = {r.lang: r["count"] for r in given.groupBy("lang").count().collect()}
+    languages = sorted(counts, key=lambda g: (-counts[g], g))
+    if not languages:
+        return Model([], np.zeros(0), {}, {}, np.zeros((1, 0), np.float32))
+    sample = stage(_sample(given, counts, rows), "language-sample")
+    parts = sample.repartition(width(spark)).mapInArrow(_counted, "kind string, term string, lang string, n long")
+    got = parts.groupBy("kind", "term", "lang").agg(F.sum("n").alias("n")).orderBy("kind", "term", "lang").toArrow()
     place = {g: i for i, g in enumerate(languages)}
-    size = np.array([max(1, totals.get(("w", g), 0)) for g in languages], float)
-    prior = np.log(np.array([totals["d", g] for g in languages], float) / max(1, sum(totals["d", g] for g in languages))) if languages else np.zeros(0)
-    rows, floors, found, held = [np.zeros((1, len(languages)), np.float32)], [], {"w": {}, "g": {}}, True
-    words, grams = (terms.where(F.col("kind") == kind).select("term", "total", "by") for kind in "wg")
-    tables = Tables(words, stage(_beginnings(grams).where("total > 1"), "language-grams"))
-    at = 1
-    for kind, table, most in (("w", tables.words, WORDS), ("g", tables.grams, GRAMS)):
-        sums = table.select("term", F.explode("by").alias("b")).groupBy("b.lang").agg(F.sum("b.n").alias("n")).collect() if kind == "g" else ()
-        every = table.count()
-        got = _commonest(table, fewer(most, len(languages))).orderBy("term").select("term", "by").toArrow()
-        names, by = got["term"].to_pylist(), got["by"].to_pylist()
-        counts = np.zeros((len(names), len(languages)))
-        for i, own in enumerate(by):
-            for b in own:
-                counts[i, place[b["lang"]]] = b["n"]
-        scale = size
-        if kind == "g":
-            scale = np.ones(len(languages))
-            for r in sums:
-                scale[place[r.lang]] = r.n
-        scale = np.log(scale + SMOOTH * max(1, every))
-        rows.append((np.log(counts + SMOOTH) - scale).astype(np.float32))
-        floors.append(np.log(SMOOTH) - scale)
-        found[kind] = {t: at + i for i, t in enumerate(names)}
-        held = held and len(names) == every
+    prior = np.log(np.array([counts[g] for g in languages], float) / sum(counts.values()))
+    kinds, terms, n = got["kind"].to_numpy(), got["term"].to_numpy(), got["n"].to_numpy()
+    of = np.array([place[g] for g in got["lang"].to_pylist()], np.int64)
+    tables, found, at = [np.zeros((1, len(languages)), np.float32)], {}, 1
+    for kind in "wg":
+        own = kinds == kind
+        names, where = np.unique(terms[own], return_inverse=True) if own.any() else (np.zeros(0, object), np.zeros(0, int))
+        table = np.zeros((len(names), len(languages)))
+        table[where, of[own]] = n[own]
+        scale = np.log(table.sum(axis=0) + SMOOTH * max(1, len(names)))
+        tables.append((np.log(table + SMOOTH) - scale).astype(np.float32))
+        found[kind] = {t: at + i for i, t in enumerate(names.tolist())}
         at += len(names)
-    return Model(languages, prior, found["w"], found["g"], np.concatenate(rows), np.array(floors)), None if held else tables
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """wid, gram, n: the n-gram of full length from each letter of a word, for words with a letter."""
-    for b in batches:
-        wids, grams, ns = [], [], []
-        for wid, word in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if any(c.isalpha() for c in word):
-                e = edged(word)
-                own = Counter(e[i : i + LONGEST] for i in range(len(word) + 1))
-                wids += [wid] * len(own)
-                grams += own.keys()
-                ns += own.values()
-        yield pa.RecordBatch.from_arrays([pa.array(wids, pa.int64()), pa.array(grams, pa.string()), pa.array(ns, pa.int64())], names=["wid", "gram", "n"])
-
-
-def _gains(by: Column) -> Column:
-    """Of counts by language the gains over none; the entry without a language counts the term itself."""
-    gain = lambda b: F.rint((F.log(b["n"] + F.lit(SMOOTH)) - math.log(SMOOTH)) * UNIT).cast("long")
-    one = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(UNIT).cast("long").alias("gain")))
-    return F.concat(one, F.transform(by, lambda b: F.struct(b["lang"].alias("lang"), gain(b).alias("gain"))))
-
-
-def _joined(rare: DataFrame, tables: Tables) -> DataFrame:
-    """rid, gains (kind, lang, gain): what the words (rid, word, n) that the model does not hold add to each document."""
-    vocabulary = stage(rare.select("word").distinct().withColumn("wid", F.monotonically_increasing_id()), "language-rare")
-    known = vocabulary.join(tables.words.select(F.col("term").alias("word"), "by"), "word").select("word", F.lit("w").alias("kind"), _gains(F.col("by")).alias("gains"))
-    unknown = vocabulary.join(tables.words.select(F.col("term").alias("word")), "word", "left_anti").select("wid", "word")
-    windows = stage(unknown.mapInArrow(_windows, "wid long, gram string, n long"), "language-windows", compression="zstd")
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(LONGEST)))
-    beginnings = windows.select("gram").distinct().select("gram", sizes.alias("size")).withColumn("term", F.substring("gram", F.lit(1), F.col("size")))
-    longest = beginnings.join(tables.grams.select("term", "by"), "term").groupBy("gram").agg(F.max_by("by", "size").alias("by"))
-    each = windows.join(longest.select("gram", _gains(F.col("by")).alias("gains")), "gram").select("wid", "n", F.inline("gains"))
-    sums = each.groupBy("wid", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    met = F.aggregate("all", F.lit(0).cast("long"), lambda a, x: F.when(x["lang"].isNull(), x["gain"]).otherwise(a)) / UNIT  # letters with a known n-gram
-    means = sums.groupBy("wid").agg(F.collect_list(F.struct("lang", "gain")).alias("all")).withColumn("met", met)
-    spelled = means.select("wid", F.transform("all", lambda x: F.struct(x["lang"].alias("lang"), F.rint(x["gain"] / F.col("met")).cast("long").alias("gain"))).alias("gains"))
-    spelled = vocabulary.join(spelled, "wid").select("word", F.lit("g").alias("kind"), "gains")
-    added = rare.join(known.unionByName(spelled), "word").select("rid", "n", "kind", F.inline("gains"))
-    added = added.groupBy("rid", "kind", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    return added.groupBy("rid").agg(F.collect_list(F.struct("kind", "lang", "gain")).alias("gains"))
-
-
-def predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from the documents that are not held out."""
-    spark = docs.sparkSession
-    model, tables = _learned(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, held_out boolean, lang_pred string, score double"
-    narrow = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string"))
-    if tables is not None:
-        model.grams = {}  # words that are not held are spelled by the join
-    sent = spark.sparkContext.broadcast(model)
+    return Model(languages, prior, found["w"], found["g"], np.concatenate(tables))
 
-    def answer(b: pa.RecordBatch, got: list[tuple[str, float]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield answer(b, [sent.value.predict(t) for t in b.column("text").to_pylist()])
+def predictions(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; learned from the documents that are not held out."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out()), rows))
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, met, rare = zip(*map(sent.value.partly, b.column("text").to_pylist()), strict=True) if b.num_rows else ((), (), ())
-            rare = pa.array([[{"word": w, "n": n} for w, n in r.items()] for r in rare], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("held_out"), pa.array([x.tolist() for x in scores], pa.list_(pa.float64())), pa.array(met, pa.bool_()), rare], names=["rid", "doc_id", "held_out", "scores", "met", "rare"])
+            got = [sent.value.predict(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        place = {g: i for i, g in enumerate(m.languages)}
-        for b in batches:
-            got = []
-            for scores, met, gains in zip(*(b.column(c).to_pylist() for c in ("scores", "met", "gains")), strict=True):
-                total = np.array(scores)
-                for x in gains or ():
-                    more = x["gain"] / UNIT
-                    if x["lang"] is None:
-                        total += more * m.floors["wg".index(x["kind"])]
-                    else:
-                        total[place[x["lang"]]] += more
-                got.append(m.best(total) if met or gains else ("und", 0.0))
-            yield answer(b, got)
-
-    if tables is None:
-        return narrow.mapInArrow(run, out)
-    begun = narrow.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(begin, f"rid long, doc_id {kind}, held_out boolean, scores array<double>, met boolean, rare array<struct<word: string, n: long>>")
-    begun = stage(begun, "language-documents", compression="zstd")
-    rare = begun.select("rid", F.inline("rare"))
-    return begun.select("rid", "doc_id", "held_out", "scores", "met").join(_joined(rare, tables), "rid", "left").drop("rid").mapInArrow(finish, out)
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
+    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, out)
