@@ -391,14 +391,15 @@ def _parts(m: str, w: str) -> Column:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """token, most (its largest component), r and rw (rows outside that one, and their shingles), large: blocks that hold several components.
+    """token, m (rows at hand), most (their largest component), mw (their shingles), r and rw (rows outside that component, and theirs): blocks that hold several components.
 
     Blocks of the same members (the shingles of one passage) are searched once.
     """
-    per = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rid")).alias("h"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("g"), F.max(_parts("m", "mw")).alias("parts"))
-    per = per.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("r"), (F.sum("w") - F.max_by("w", F.struct("k", "label"))).alias("rw"), F.sum("k").alias("k"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"), F.max("parts").alias("parts"))
-    once = per.where("labels > 1").groupBy("h", "g", "k").agg(F.min(F.struct("token", "most", "r", "rw", "parts")).alias("at")).select("at.*")
-    return stage(once, "mixed-blocks")
+    per = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rid")).alias("h"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("g"))
+    largest = F.struct("k", "label")
+    facts = {"labels": F.count(F.lit(1)), "m": F.sum("k"), "mw": F.sum("w"), "most": F.max_by("label", largest), "r": F.sum("k") - F.max("k"), "rw": F.sum("w") - F.max_by("w", largest), "h": F.bit_xor("h"), "g": F.bit_xor("g")}
+    per = per.groupBy("token").agg(*(v.alias(k) for k, v in facts.items())).where("labels > 1")
+    return stage(per.groupBy("h", "g", "m").agg(F.min(F.struct("token", "mw", "most", "r", "rw")).alias("at")).select("m", "at.*"), "mixed-blocks")
 
 
 def _dealt(rows: DataFrame, mixed: DataFrame, whole: bool) -> DataFrame:
@@ -406,7 +407,7 @@ def _dealt(rows: DataFrame, mixed: DataFrame, whole: bool) -> DataFrame:
 
     ``whole``: every row outside a block's largest component meets all rows of the block; else a row is in one tile.
     """
-    rows = rows.join(mixed.drop("parts"), "token").withColumn("c", _parts("m", "mw")).withColumn("o", _parts("r", "rw"))
+    rows = rows.drop("m").join(mixed, "token").withColumn("c", _parts("m", "mw")).withColumn("o", _parts("r", "rw"))
     hashed = lambda seed, n: F.pmod(F.xxhash64("rid", F.lit(seed)), F.col(n)).cast("int")
     at = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     if not whole:
@@ -443,14 +444,17 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 def _rest(blocks: DataFrame, links: DataFrame, label: DataFrame, sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The links with those that stars have not found, and the labels that follow."""
-    rows = _labelled(blocks.where("m > 2"), label)
-    flagged = _flags(rows, _mixed(rows), sets, False)
+    rows = stage(_labelled(blocks.where("m > 2"), label).join(sets.select("rid", "n"), "rid"), "block-rows")
+    mixed = _mixed(rows)
+    flagged = _flags(rows, mixed, sets, False)
     picked = flagged.groupBy("rid").agg(F.max_by("token", F.struct("m", "token")).alias("token"))
     found = _joined(flagged.join(picked, ["rid", "token"]), sets, docs, False)
     if not found.isEmpty():
         links = links.unionByName(found)
         label = components(links)
-    left = _labelled(flagged.where(_parts("m", "mw") == 1).unionByName(rows.where(_parts("m", "mw") > 1).select(flagged.columns)), label)
+    large = mixed.where(_parts("m", "mw") > 1).select("token")
+    left = flagged.join(large, "token", "left_anti").unionByName(rows.join(large, "token", "left_semi").select(flagged.columns))
+    left = stage(_labelled(left, label), "rows-left")
     found = _joined(_flags(left, _mixed(left), sets, True), sets, docs, True)
     if not found.isEmpty():
         links = links.unionByName(found)
@@ -458,10 +462,11 @@ def _rest(blocks: DataFrame, links: DataFrame, label: DataFrame, sets: DataFrame
     return links, label
 
 
-def _leads(blocks: DataFrame) -> DataFrame:
+def _leads(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of each block's first and its other members whose sizes allow a link."""
-    near = 5 * F.least("n", "leader_n") >= 4 * F.greatest("n", "leader_n")
-    return blocks.where((F.col("rid") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"))
+    pairs = blocks.where("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select("a", "b")
 
 
 def _standing(sets: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -481,15 +486,14 @@ def _solved(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame,
     sets = stage(_sets(docs), "shingle-sets")
     repeated = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
     repeated = stage(repeated.select("digest", "rep"), "repeated-sets")
-    split = _standing(sets, repeated).where("n > 0 and rep = rid").select("rid", "n", F.size("prefix").alias("s"), "common", F.posexplode("prefix").alias("pos", "token"))
-    rare, often = (split.where(c).select("token", "rid", "n") for c in ("pos < s - common", "pos >= s - common"))
+    split = _standing(sets, repeated).where("n > 0 and rep = rid").select("rid", F.size("prefix").alias("s"), "common", F.posexplode("prefix").alias("pos", "token"))
+    rare, often = (split.where(c).select("token", "rid") for c in ("pos < s - common", "pos >= s - common"))
     every = Window.partitionBy("token")
-    facts = {"first": F.min(F.struct("rid", "n")), "m": F.count(F.lit(1)), "mw": F.sum("n")}
+    facts = {"leader": F.min("rid"), "m": F.count(F.lit(1))}
     small = rare.withColumns({k: v.over(every) for k, v in facts.items()}).where("m > 1")
     large = often.join(stage(often.groupBy("token").agg(*(v.alias(k) for k, v in facts.items())).where("m > 1"), "common-blocks"), "token")
-    blocks = small.unionByName(large).select("token", "rid", "n", F.col("first.rid").alias("leader"), F.col("first.n").alias("leader_n"), "m", "mw")
-    blocks = stage(blocks, "shingle-blocks")
-    links = stage(_verified(_allowed(_leads(blocks), sets), sets, docs), "links-stars")
+    blocks = stage(small.unionByName(large), "shingle-blocks")
+    links = stage(_verified(_allowed(_leads(blocks, sets), sets), sets, docs), "links-stars")
     links, label = _rest(blocks, links, components(links), sets, docs)
     rep = _standing(sets, repeated).select("rid", "key", "sha", "n", "rep")
     return rep, links, label
