@@ -30,6 +30,12 @@ def test_base_spans_equal_brute_force(text):
     assert [x for x in pii.find(text) if x[1] < 4] == brute(text)
 
 
+def test_very_long_runs_of_digits():
+    for text in ("0" * 5000 + ".1.1.1", "1.0.0." + "0" * 9000 + "255", "9" * 5000 + ".1.1.1", "1.1.1." + "7" * 9000, "+" + "1" * 6000, "1 " * 6000):
+        short = [x for x in pii.find(text) if x[1] < 4]
+        assert short == ([(0, 1, len(text))] if text[0] in "01" and text.count(".") == 3 and "7" not in text else [])
+
+
 def test_on_documents(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     for t in texts:
@@ -39,7 +45,7 @@ def test_on_documents(spark, sf):
 def test_cues_and_schemes():
     text = 'see https://a.example/x?y=1, or token = "1eb9c654e721b4f8" and mailto:me@b.example.'
     got = {(pii.KINDS[k], text[a:b]) for a, k, b in pii.find(text)}
-    assert got == {("url", "https://a.example/x?y=1"), ("account", "1eb9c654e721b4f8"), ("url", "mailto:me@b.example"), ("email", "me@b.example.")} or ("email", "me@b.example") in got
+    assert got == {("url", "https://a.example/x?y=1"), ("account", "1eb9c654e721b4f8"), ("url", "mailto:me@b.example"), ("email", "me@b.example")}
     assert pii.masked(text, pii.find(text)).startswith('see [URL], or token = "[ACCOUNT]" and [URL]')
 
 
