@@ -4,12 +4,14 @@ A text is the set of its hashed terms: words without punctuation, and their firs
 letters. The machine adds to the linear weights an inner product for every pair of terms, learned
 through a few factors per term, so that an insult beside a group mention can weigh more than both
 alone. It is fitted on a bounded sample of labelled rows (``ROWS`` at most, those with the smallest
-hashes of their ids), and over the terms there whose share of toxic rows differs clearly from the base rate
-(``TERMS`` at most). Terms are told apart by 32 bits, so a chance collision with a weighty term is
-a matter of one text in millions. Every text is scored whole.
+hashes of their ids), over all terms there whose share of toxic rows differs clearly from the base
+rate, or from the rate among rows that hold a term of more toxic rows than that: the second test
+finds what tells nothing alone and much beside an insult. Terms are told apart by 32 bits, so a chance
+collision with a weighty term is a matter of one text in millions. Every text is scored whole.
 
 Defined results: a null or empty text has no terms and gets the score of the bias; rows without an
-id are never learned from and count as not held out; repeated rows score alike; a label above 0
+id are never learned from and count as not held out; of rows that repeat an id the least text is
+learned from; repeated rows score alike; a label above 0
 counts as toxic, contradicting labels are learned as they come; with no usable label every score
 is 0; an empty table gives no rows; clashing columns are not read.
 """
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from tarnfold.llm.common import ship
 
 ROWS = 12_000  # labelled rows that a machine is fitted on, at most
-TERMS = 20_000  # terms that a machine weighs, at most
 FACTORS = 4
 EPOCHS = 12
-CLEAR = 4.0  # standard errors between a term's toxic share and the base rate
+CLEAR = 4.0  # standard errors between a term's toxic share and the rate it is held against
+LEAST = 3  # rows that a term is judged by, at least
 
 _EDGE = re.compile(r"[\W_]+")
 
@@ -86,16 +88,23 @@ class Machine:
 
 
 def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The terms whose toxic share is clearly off the base rate, the clearest first where there are too many; sorted."""
-    every = np.concatenate(rows)
-    known, at = np.unique(every, return_inverse=True)
-    n = np.bincount(at, minlength=len(known))
-    t = np.bincount(at, np.repeat(y, [len(r) for r in rows]), len(known))
-    base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    off = np.abs(t - n * base) / np.sqrt(n * base * (1 - base))
-    clear = np.flatnonzero((n >= max(3, len(rows) // 1000)) & (off >= CLEAR))
-    clear = clear[np.lexsort((clear, -off[clear]))[:TERMS]]
-    return np.sort(known[clear])
+    """The terms whose toxic share is clearly off the base rate, among all rows or among those with a term of raised share; sorted."""
+    known, at = np.unique(np.concatenate(rows), return_inverse=True)
+    who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    def off(inside: np.ndarray) -> np.ndarray:
+        """Signed standard errors of each term's toxic rows among the rows inside, 0 for rarer terms."""
+        if not inside.any():
+            return np.zeros(len(known))
+        base = float(np.clip(y[inside].mean(), 1e-3, 1 - 1e-3))
+        here = at[inside[who]]
+        n, t = np.bincount(here, minlength=len(known)), np.bincount(here, y[who[inside[who]]], len(known))
+        return np.where(n >= LEAST, (t - n * base) / np.sqrt(np.maximum(n, 1) * base * (1 - base)), 0.0)
+
+    alone = off(np.ones(len(rows), bool))
+    raised = np.zeros(len(rows), bool)
+    raised[who[(alone >= CLEAR)[at]]] = True
+    return known[(np.abs(alone) >= CLEAR) | (np.abs(off(raised)) >= CLEAR)]
 
 
 def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> Machine:
@@ -150,14 +159,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
     there = known.count()
     if there > rows:  # a cut a little above the bound first, so that no task sorts more than about that many
         known = known.where(place < F.lit(int((1 << 40) * min(1.0, 1.2 * rows / there)))).orderBy(place, "__id", "__y").limit(rows)
-    pairs = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(known), "__id").select("__text", "__y", "__id")
+    pairs = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(known), "__id")
+    pairs = pairs.groupBy("__id", "__y").agg(F.min("__text").alias("__text")).select("__text", "__y", "__id")  # a row for each label, however often an id repeats
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.sort(terms(t)).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1), b.column(2)], names=["terms", "y", "id"])
 
     got = pairs.mapInArrow(hashed, "terms binary, y int, id long").toArrow()
-    own = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), got["terms"].to_pylist(), strict=True))[:rows]
+    own = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), got["terms"].to_pylist(), strict=True))
     return fit([(np.frombuffer(t, np.uint32), y) for _, y, t in own])
 
 

@@ -68,3 +68,29 @@ def test_the_sample_is_bounded_and_repeatable(spark):
     finally:
         toxicity.fit = fit
     assert [len(x) for x in seen] == [120, 120] and first.bias == second.bias and (first.known == second.known).all()
+
+
+def test_ids_that_repeat_come_to_the_driver_once(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    rows = [(k, f"text {'bad' if k % 2 else 'good'} {k}") for k in range(40)] + [(7, f"text again {k:03}") for k in range(300)]
+    seen = []
+    fit = toxicity.fit
+    toxicity.fit = lambda rows, seed=7: seen.append(rows) or fit(rows, seed)
+    try:
+        toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, rows=30)
+    finally:
+        toxicity.fit = fit
+    learned = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    assert 20 < len(seen[0]) <= min(30, len(learned))
+    assert sum(t.tobytes() == np.sort(toxicity.terms("text again 000")).tobytes() for t, _ in seen[0]) <= 1
+
+
+def test_terms_that_tell_only_beside_another_are_weighed():
+    rng = random.Random(8)
+    rows = []
+    for _ in range(4000):
+        insult, group = rng.random() < 0.2, rng.random() < 0.02
+        toxic = insult and (group or rng.random() < 0.4) or (not insult and not group and rng.random() < 0.0)
+        rows.append((toxicity.terms(" ".join(rng.choice(WORDS) for _ in range(20)) + " grumblesome" * insult + " islander" * group), int(toxic)))
+    known = toxicity._telling([t for t, _ in rows], np.array([y for _, y in rows], float))
+    assert set(toxicity.hashes("grumblesome")) & set(known.tolist()) and set(toxicity.hashes("islander")) & set(known.tolist())
