@@ -1,13 +1,15 @@
 """Exact duplicates by deterministic block naming, in DataFrame functions alone.
 
 Normalised texts are cut into blocks of a fixed number of bytes. The distinct blocks are sorted and
-numbered: a block's number is its name. Then adjacent names are paired, the distinct pairs are
-sorted and numbered in turn, and so on until every document has one name. Two documents have the
-same (level, name) if and only if their texts are equal: names stand for contents, never for hashes.
+numbered: a block's place in the order of all is its name. Then adjacent names are paired, the distinct
+pairs are sorted and numbered in turn, and so on until every document has one name. Two documents have
+the same (level, name) if and only if their texts are equal: names stand for contents, never for hashes.
 
-Blocks travel once, and copies fold together before they do. Occurrences find their names by a
-128-bit hash that the sorted distinct blocks have just shown to tell all contents apart; where two
-contents share one, naming starts again with another seed. A collision costs time, never a wrong name.
+Blocks travel once, and copies fold together before they do. Blocks are ordered by a 128-bit hash,
+which the distinct contents have just shown to tell all of them apart; where two contents share
+one, naming starts again with another seed. A collision costs time, never a wrong name. Names
+follow from the texts alone, not from partitions. Every join by a name has a table of distinct names on its
+other side, written before, so that a hot name's rows can be split between tasks.
 
 Defined results: a null text is empty, and all empty texts are equal; of equal texts the row with
 the largest doc_id stays (null is least), and of repeated rows with that doc_id the first one read;
@@ -19,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import keep_rows, stage, text_or_empty
+from tarnfold.llm.common import keep_rows, ranked, stage, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK = 8192
+BLOCK = 512
 
 
 def normalised(name: str = "text") -> Column:
@@ -42,23 +44,19 @@ def _hash(block: Column, seed: int, bits: int) -> Column:
     return F.struct(one(0).alias("h"), one(1).alias("g"))
 
 
-def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
-    """A name for every row: the number of its partition and its place in the sorted partition."""
-    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
-
-
 def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, bits: int = 64, seed: int = 0) -> DataFrame:
     """Per input row: rid, key, text_sha256, level, name."""
     raw = normalised(text).cast("binary")
     contents = docs.select(F.explode(_blocks(raw, block)).alias("block")).distinct()
-    names = stage(_numbered(contents, "block").select(_hash(F.col("block"), seed, bits).alias("hash"), "name"), "block-names")
-    if not names.groupBy("hash").count().where("count > 1").isEmpty():
+    hashes = stage(contents.select(_hash(F.col("block"), seed, bits).alias("hash")).select("hash.*"), "block-hashes")
+    if not hashes.groupBy("h", "g").count().where("count > 1").isEmpty():
         return identities(docs, key, text, block, bits, seed + 2)
+    names = ranked(hashes, "block-names")
     rows = stage(
         docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key), F.sha2(raw, 256).alias("text_sha256"), F.transform(_blocks(raw, block), lambda b: _hash(b, seed, bits)).alias("hashes")),
         "block-rows",
     )
-    level = rows.select("rid", F.size("hashes").alias("left"), F.posexplode("hashes").alias("pos", "hash")).join(names, "hash").select("rid", "pos", "left", "name")
+    level = rows.select("rid", F.size("hashes").alias("left"), F.posexplode("hashes").alias("pos", "hash")).select("rid", "left", "pos", "hash.*").join(names, ["h", "g"]).select("rid", "pos", "left", "name")
     longest = rows.agg(F.max(F.size("hashes"))).first()[0] or 0
     done, depth = [], 0
     while True:
@@ -71,7 +69,8 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
             .groupBy("rid", F.floor(F.col("pos") / 2).cast("int").alias("pos"), F.ceil(F.col("left") / 2).cast("int").alias("left"))
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         )
-        level = pairs.join(_numbered(pairs.select("a", "b").distinct(), "a", "b"), ["a", "b"]).select("rid", "pos", "left", "name")
+        pairs = stage(pairs, f"block-pairs-{depth}")
+        level = pairs.join(ranked(pairs.select("a", "b").distinct(), "pair-names"), ["a", "b"]).select("rid", "pos", "left", "name")
         longest, depth = -(-longest // 2), depth + 1
     out = done[0]
     for x in done[1:]:
@@ -82,7 +81,7 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
     """Per input row: key, keep_id, group_size, kept, text_sha256."""
     named = stage(identities(docs, key, text, block, bits), "block-identities")
-    best = named.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct(F.col(key).alias("id"), (-F.col("rid")).alias("first"))).alias("best"))
+    best = stage(named.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct(F.col(key).alias("id"), (-F.col("rid")).alias("first"))).alias("best")), "block-groups")
     return named.join(best, ["level", "name"]).select(key, F.col("best.id").alias("keep_id"), "group_size", (F.col("best.first") == -F.col("rid")).alias("kept"), "text_sha256")
 
 
@@ -92,7 +91,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     A row is known by its key and the digest of its text; where rows repeat both, one of them stays.
     """
     sha = F.sha2(normalised(text).cast("binary"), 256)
-    found = stage(groups(docs, key, text).withColumnRenamed("text_sha256", "sha"), "block-groups")
+    found = stage(groups(docs, key, text).withColumnRenamed("text_sha256", "sha"), "block-found")
     out = keep_rows(docs, found, key, sha)
     repeated = found.groupBy(key, "sha").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(key).alias("__rep_key")).distinct()
     if repeated.isEmpty():

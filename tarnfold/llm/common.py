@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -44,6 +44,19 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(keys: DataFrame, label: str, name: str = "name") -> DataFrame:
+    """Distinct rows with their places from 0 in the sorted order of all: a sort by range, a number inside, the counts before.
+
+    Places follow from the rows alone, however they are partitioned; no task gathers more than a range.
+    """
+    spark, columns = keys.sparkSession, keys.columns
+    sorted_ = keys.repartitionByRange(width(spark), *columns).sortWithinPartitions(*columns)
+    placed = stage(sorted_.select(*columns, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")), label)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))  # a row for each range
+    return placed.join(F.broadcast(first), "__part").select(*columns, (F.col("__first") + F.col("__at")).alias(name))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -37,3 +37,22 @@ def test_awkward(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 8]
     assert block_naming.groups(empty(spark)).count() == 0 and block_naming.deduplicate(empty(spark)).count() == 0
+
+
+def test_names_are_places_in_one_order_and_do_not_follow_partitions(spark):
+    texts = [("ab" * (k % 7) + chr(97 + k % 5)) * (1 + k % 3) for k in range(60)] + ["", "x" * 33]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    for parts in (1, 5):
+        rows = block_naming.identities(docs.repartition(parts), block=4).collect()
+        seen.append({r.doc_id: (r.level, r.name) for r in rows})
+    assert seen[0] == seen[1] and max(level for level, _ in seen[0].values()) >= 3
+    lone = {t[:4] for t in texts if len(t) <= 4}
+    every = {t[k : k + 4] for t in texts for k in range(0, max(1, len(t)), 4)}
+    assert {n for i, (level, n) in seen[0].items() if level == 0} <= set(range(len(every))) and len({n for level, n in seen[0].values() if level == 0}) == len(lone)
+
+
+def test_most_texts_take_several_levels(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    levels = [r.level for r in block_naming.identities(docs).collect()]
+    assert len(levels) == docs.count() and sum(x > 0 for x in levels) > len(levels) / 2
