@@ -6,24 +6,34 @@ search that adds them to the score of a suffix takes complete segmentations off
 to worst, and the first N are the N best.
 
 No piece holds a word mark after another character, so a text's lattice is a chain of its words'
-lattices: Viterbi and A* run on a word, once for each distinct word a worker meets, and the N best of
+lattices: the search runs on a word, once for each distinct word a worker meets, and the N best of
 a text combine its words' N best lists. Among the N best at most N - 1 words leave their best
 segmentation, and they are among the N - 1 words whose second best costs least, which makes
-the combination exact however long the text.
+the combination exact however long the text. So most words need no more than the search's first result
+and the next total on its queue. With exact heuristics the first result goes by each place's best edge
+from the end to the beginning, and the queue then holds the other edges into those places:
+``_first`` makes that part of the search without a queue, ``best`` the whole of it.
+
+Scores are whole numbers of ``1 / UNIT``, so that sums and ties are exact. A unigram model has log
+probabilities. The scores of a BPE model are the ranks of its merges, which do not add up; a piece of
+rank r gets ``-ln(r + ZIPF)``, by Zipf's law. The best segmentation is therefore the likeliest one, not the
+one that merging by rank gives; the README has figures of the difference. Ids are the model's own, and
+``decode`` reads either.
 
 A space is written as the mark U+2581, one mark leads the text, and characters outside the
 vocabulary (the mark itself among them) are written as byte pieces at the lowest score less ten.
 Decoding gives back every text exactly.
 
 Defined results: a null text is empty; an empty text has no pieces and one segmentation; equal
-scores are ordered by piece ids within a word and by position across words; repeated rows are
-encoded each; an empty table gives no rows; clashing columns are not read.
+scores are ordered by piece ids read from the last to the first within a word and by position across
+words; repeated rows are encoded each; an empty table gives no rows; clashing columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from array import array
@@ -42,15 +52,18 @@ from tarnfold.llm.common import ship, text_or_empty
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 N = 4
 MARK = "▁"
-PENALTY = 10.0
+UNIT = 1 << 20
+PENALTY = 10 * UNIT
+ZIPF = 50  # added to ranks, as frequencies are flatter among the first
 LASTING, PASSING = 300_000, 200_000  # words a worker keeps, and words it keeps for a while
 _SPLIT = re.compile(" *[^ ]+| +")
 
-Segmentation = tuple[float, tuple[int, ...]]
+Segmentation = tuple[int, tuple[int, ...]]
+NEVER = -(1 << 62)
 
 
 class Lattice:
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], lowest: float, n: int = N):
+    def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], lowest: int, n: int = N):
         self.pieces, self.byte_ids, self.n = pieces, byte_ids, n
         self.unknown = lowest - PENALTY
         written = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
@@ -62,12 +75,12 @@ class Lattice:
         self._lasting: dict[str, int] = {}
         self._passing: dict[str, int] = {}
         self._ids: list[bytes] = []
-        self._scores, self._gaps = array("d"), array("d")
+        self._scores, self._gaps = array("q"), array("q")
 
     def _bytes(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+    def edges(self, word: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end the edges that end there: start, score, ids. Spaces of the word stand for marks."""
         marked = word.replace(MARK, "\x00").replace(" ", MARK)
         size, known = len(marked), self._known
@@ -87,64 +100,55 @@ class Lattice:
         """The N best segmentations of a word, the best first."""
         edges = self.edges(word)
         size = len(word)
-        forward = [0.0] * (size + 1)
+        forward = [0] * (size + 1)
         for j in range(1, size + 1):
             forward[j] = max(forward[i] + s for i, s, _ in edges[j])
-        queue: list = [(-forward[size], (), size, 0.0)]
+        queue: list = [(-forward[size], (), size, 0)]
         out: list[Segmentation] = []
         while queue and len(out) < self.n:
-            _, ids, end, got = heapq.heappop(queue)
+            _, back, end, got = heapq.heappop(queue)  # back: ids from the last to the first
             if not end:
-                out.append((got, ids))
+                out.append((got, back[::-1]))
                 continue
             for i, s, own in edges[end]:
-                heapq.heappush(queue, (-(forward[i] + s + got), own + ids, i, s + got))
+                heapq.heappush(queue, (-(forward[i] + s + got), back + own[::-1], i, s + got))
         return out
 
-    def _first(self, word: str) -> tuple[bytes, float, float]:
-        """A word's best ids, its score, and what the second best costs more.
-
-        The second best leaves the best path by some edge, so its score is the best of prefix, edge
-        and suffix over the edges off that path: no search is needed to know it.
-        """
+    def _first(self, word: str) -> tuple[bytes, int, int]:
+        """The first result of the search, its score, and how much less the next total on the queue is."""
         marked = word.replace(MARK, "\x00").replace(" ", MARK)
         size, known = len(marked), self._known.get
-        forward, came = [0.0] + [-np.inf] * size, [0] * (size + 1)
-        edges: list[tuple[int, int, float, int]] = []
+        forward, next_, came = [0] + [NEVER] * size, [NEVER] * (size + 1), [(0, 0)] * (size + 1)
         for i in range(size):
             here, j, alone = forward[i], i + 1, True
             while (hit := known(marked[i:j])) is not None:
                 if hit:
                     at, s = hit
-                    alone &= j > i + 1
-                    if here + s > forward[j]:
-                        forward[j], came[j] = here + s, len(edges)
-                    edges.append((i, j, s, at))
+                    if j == i + 1:
+                        alone = False
+                    z = here + s
+                    if z > forward[j]:
+                        next_[j], forward[j], came[j] = forward[j], z, (i, at)
+                    elif z > next_[j]:
+                        next_[j] = z
                 if j == size:
                     break
                 j += 1
             if alone:
-                if here + self.unknown > forward[i + 1]:
-                    forward[i + 1], came[i + 1] = here + self.unknown, len(edges)
-                edges.append((i, i + 1, self.unknown, -1))
-        path, at = set(), size
-        while at:
-            path.add(came[at])
-            at = edges[came[at]][0]
-        backward, second = [-np.inf] * size + [0.0], -np.inf
-        for k in range(len(edges) - 1, -1, -1):  # by start, descending: what follows an edge is known
-            i, j, s, _ = edges[k]
-            z = s + backward[j]
-            if z > backward[i]:
-                backward[i] = z
-            if z + forward[i] > second and k not in path:
-                second = z + forward[i]
-        best = forward[size]
-        if second == best:
-            ids = self.best(word)[0][1]
-        else:
-            ids = [x for k in sorted(path) for x in ((edges[k][3],) if edges[k][3] >= 0 else self._bytes(word[edges[k][0]]))]
-        return array("I", ids).tobytes(), best, best - second
+                j, z = i + 1, here + self.unknown
+                if z > forward[j]:
+                    next_[j], forward[j], came[j] = forward[j], z, (i, -1)
+                elif z > next_[j]:
+                    next_[j] = z
+        ids, gap, j = [], -NEVER, size
+        while j:
+            gap = min(gap, forward[j] - next_[j])
+            i, at = came[j]
+            ids += (at,) if at >= 0 else self._bytes(word[i])[::-1]
+            j = i
+        if not gap:
+            return array("I", self.best(word)[0][1]).tobytes(), forward[size], 0
+        return array("I", ids[::-1]).tobytes(), forward[size], gap
 
     def _number(self, word: str) -> int:
         """The place of a word among those met; words met while the lasting places are full keep theirs until ``forget``."""
@@ -166,20 +170,20 @@ class Lattice:
             self._passing.clear()
             del self._ids[LASTING:], self._scores[LASTING:], self._gaps[LASTING:]
 
-    def encode(self, text: str) -> list[tuple[float, bytes]]:
+    def encode(self, text: str) -> list[tuple[int, bytes]]:
         """The N best segmentations of a text, as scores and ids (32 bits each, little-endian)."""
         if not text:
-            return [(0.0, b"")]
+            return [(0, b"")]
         words = _SPLIT.findall(" " + text)
         found = list(map(self._lasting.get, words))
         for i, at in enumerate(found):
             if at is None:
                 found[i] = self._number(words[i])
         where = np.array(found)
-        gaps = np.frombuffer(self._gaps)[where]
-        total = float(np.frombuffer(self._scores)[where].sum())
+        gaps = np.frombuffer(self._gaps, np.int64)[where]
+        total = int(np.frombuffer(self._scores, np.int64)[where].sum())
         near = np.argsort(gaps, kind="stable")[: self.n - 1] if len(gaps) < 16 else self._smallest(gaps)
-        at = sorted(i for i in near.tolist() if gaps[i] < np.inf)
+        at = sorted(i for i in near.tolist() if gaps[i] < -NEVER)
         lists = [self.best(words[i]) for i in at]
         ways = sorted(((-sum(own[c][0] - own[0][0] for own, c in zip(lists, pick, strict=True)), pick) for pick in product(*(range(len(own)) for own in lists))))[: self.n]
         parts = list(map(self._ids.__getitem__, found))
@@ -192,7 +196,7 @@ class Lattice:
 
     def _smallest(self, gaps: np.ndarray) -> np.ndarray:
         """The places of the N - 1 smallest gaps, the first of equal ones."""
-        most = np.partition(gaps, self.n - 2)[self.n - 2] if self.n > 1 else -np.inf
+        most = np.partition(gaps, self.n - 2)[self.n - 2] if self.n > 1 else NEVER
         close = np.flatnonzero(gaps <= most)
         return close[np.argsort(gaps[close], kind="stable")[: self.n - 1]]
 
@@ -205,6 +209,12 @@ class Lattice:
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
+def scaled(scores: list[float]) -> list[int]:
+    """Scores as whole numbers; whole ones up to 0 are the ranks of a BPE model's merges."""
+    ranks = all(x <= 0 and x == int(x) for x in scores)
+    return [round(UNIT * (-math.log(ZIPF - x) if ranks else x)) for x in scores]
+
+
 @lru_cache(maxsize=2)
 def lattice(model: str = MODEL, n: int = N) -> Lattice:
     m = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -216,9 +226,10 @@ def lattice(model: str = MODEL, n: int = N) -> Lattice:
         elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
             if MARK in p.lstrip(MARK):
                 raise ValueError(f"piece {p!r} holds a mark after another character")
-            pieces[p] = (i, m.get_score(i))
+            pieces[p] = i
             scores.append(m.get_score(i))
-    return Lattice(pieces, byte_ids, min(scores), n)
+    scores = scaled(scores)
+    return Lattice({p: (i, s) for (p, i), s in zip(pieces.items(), scores, strict=True)}, byte_ids, min(scores), n)
 
 
 def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, n: int = N) -> DataFrame:
@@ -229,7 +240,7 @@ def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
         own = lattice(model, n)
         for b in batches:
             own.forget()
-            got = [(who, r, s, np.frombuffer(ids, "<u4").astype(np.int32)) for who, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r, (s, ids) in enumerate(own.encode(t))]
+            got = [(who, r, s / UNIT, np.frombuffer(ids, "<u4").astype(np.int32)) for who, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r, (s, ids) in enumerate(own.encode(t))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], b.schema.types[0]), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.list_(pa.int32()))], names=[key, "rank", "score", "ids"])
 
     return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, rank int, score double, ids array<int>")
@@ -250,7 +261,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 every = hashlib.sha256()
                 for _, ids in found:
                     every.update(len(ids).to_bytes(8, "little") + ids)
-                row = (len(found[0][1]) // 4, zlib.crc32(found[0][1]), len(found), [s for s, _ in found], every.hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t)
+                row = (len(found[0][1]) // 4, zlib.crc32(found[0][1]), len(found), [s / UNIT for s, _ in found], every.hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t)
                 for col, v in zip(cols, row, strict=True):
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.string(), pa.string(), pa.bool_())

@@ -1,4 +1,5 @@
 import numpy as np
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,12 +13,12 @@ def every(own, word):
 
     def back(end):
         if not end:
-            yield 0.0, ()
+            yield 0, ()
         for i, s, ids in edges[end]:
             for got, rest in back(i):
                 yield got + s, rest + ids
 
-    return sorted(((s, ids) for s, ids in back(len(word))), key=lambda x: (-x[0], x[1]))
+    return sorted(((s, ids) for s, ids in back(len(word))), key=lambda x: (-x[0], x[1][::-1]))
 
 
 @settings(max_examples=200, deadline=None)
@@ -26,7 +27,7 @@ def test_n_best_against_all_segmentations(text):
     own = pl.lattice()
     got = own.encode(text)
     if not text:
-        assert got == [(0.0, b"")]
+        assert got == [(0, b"")]
         return
     want = every(own, " " + text)
     assert [s for s, _ in got] == [s for s, _ in want[: own.n]]
@@ -36,6 +37,31 @@ def test_n_best_against_all_segmentations(text):
     assert all(own.decode(ids) == text for _, ids in got)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="thernonaaa,é▁漢", min_size=1, max_size=9), st.sampled_from([0, 1, 2]))
+def test_order_of_a_words_best_with_ties(word, scores):
+    """Scores of the model, all equal ones, and ones by length alone: ties everywhere."""
+    whole = pl.lattice()
+    pieces = {p: (i, s if not scores else -5 * (len(p) if scores == 2 else 1)) for p, (i, s) in ((p, x) for p, x in whole._known.items() if x)}
+    own = pl.Lattice(pieces, whole.byte_ids, min(s for _, s in pieces.values()))
+    want = every(own, " " + word)
+    assert own.best(" " + word) == want[: own.n]
+    ids, best, gap = own._first(" " + word)
+    assert (best, tuple(np.frombuffer(ids, "<u4").tolist())) == want[0]
+    assert gap == (want[0][0] - want[1][0] if len(want) > 1 else -pl.NEVER) or gap > 1 << 61 and len(want) == 1
+
+
+def test_ties_go_by_ids_from_the_end():
+    own = pl.Lattice({"a": (8, -1), "bc": (2, -1), "ab": (1, -1), "c": (9, -1)}, list(range(100, 356)), -1)
+    assert own.best("abc")[:2] == [(-2, (8, 2)), (-2, (1, 9))]
+
+
+def test_ids_of_the_library_decode_alike(spark, sf):
+    library, own = sentencepiece.SentencePieceProcessor(model_file=pl.MODEL), pl.lattice()
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect() if r.text]
+    assert all(own.decode(np.array(ids, "<u4").tobytes()) == t for t, ids in zip(texts, library.encode(texts), strict=True))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_decoding_gives_the_text_back(text):
