@@ -34,8 +34,9 @@ def normalised(name: str = "text") -> Column:
 
 
 def _blocks(raw: Column, block: int) -> Column:
-    count = F.greatest(F.ceil(F.octet_length(raw) / F.lit(block)).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(raw, i * block + 1, F.lit(block)))
+    """The blocks of bytes; ``raw`` is held in an array of one, so that it is made once and not for every block."""
+    count = lambda r: F.greatest(F.ceil(F.octet_length(r) / F.lit(block)).cast("int"), F.lit(1))
+    return F.transform(F.array(raw), lambda r: F.transform(F.sequence(F.lit(0), count(r) - 1), lambda i: F.substring(r, i * block + 1, F.lit(block))))[0]
 
 
 def _hash(block: Column, seed: int, bits: int) -> Column:
