@@ -56,6 +56,7 @@ UNIT = 1 << 20
 PENALTY = 10 * UNIT
 ZIPF = 50  # added to ranks, as frequencies are flatter among the first
 LASTING, PASSING = 300_000, 200_000  # words a worker keeps, and words it keeps for a while
+LISTS = 50_000  # words whose N best a worker keeps
 _SPLIT = re.compile(" *[^ ]+| +")
 
 Segmentation = tuple[int, tuple[int, ...]]
@@ -74,6 +75,7 @@ class Lattice:
         self._known: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p))} | pieces  # () for the beginning of a piece
         self._lasting: dict[str, int] = {}
         self._passing: dict[str, int] = {}
+        self._lists: dict[str, list[Segmentation]] = {}
         self._ids: list[bytes] = []
         self._scores, self._gaps = array("q"), array("q")
 
@@ -114,6 +116,15 @@ class Lattice:
                 heapq.heappush(queue, (-(forward[i] + s + got), back + own[::-1], i, s + got))
         return out
 
+    def _listed(self, word: str) -> list[Segmentation]:
+        """``best``, kept for words that are asked for again."""
+        got = self._lists.get(word)
+        if got is None:
+            if len(self._lists) >= LISTS:
+                self._lists.clear()
+            got = self._lists[word] = self.best(word)
+        return got
+
     def _first(self, word: str) -> tuple[bytes, int, int]:
         """The first result of the search, its score, and how much less the next total on the queue is."""
         marked = word.replace(MARK, "\x00").replace(" ", MARK)
@@ -142,10 +153,13 @@ class Lattice:
                     next_[j] = z
         ids, gap, j = [], -NEVER, size
         while j:
-            gap = min(gap, forward[j] - next_[j])
-            i, at = came[j]
-            ids += (at,) if at >= 0 else self._bytes(word[i])[::-1]
-            j = i
+            if forward[j] - next_[j] < gap:
+                gap = forward[j] - next_[j]
+            j, at = came[j]
+            if at >= 0:
+                ids.append(at)
+            else:
+                ids += self._bytes(word[j])[::-1]
         if not gap:
             return array("I", self.best(word)[0][1]).tobytes(), forward[size], 0
         return array("I", ids[::-1]).tobytes(), forward[size], gap
@@ -184,7 +198,7 @@ class Lattice:
         total = int(np.frombuffer(self._scores, np.int64)[where].sum())
         near = np.argsort(gaps, kind="stable")[: self.n - 1] if len(gaps) < 16 else self._smallest(gaps)
         at = sorted(i for i in near.tolist() if gaps[i] < -NEVER)
-        lists = [self.best(words[i]) for i in at]
+        lists = [self._listed(words[i]) for i in at]
         ways = sorted(((-sum(own[c][0] - own[0][0] for own, c in zip(lists, pick, strict=True)), pick) for pick in product(*(range(len(own)) for own in lists))))[: self.n]
         parts = list(map(self._ids.__getitem__, found))
         out = []
