@@ -128,34 +128,28 @@ class Lattice:
     def _first(self, word: str) -> tuple[bytes, int, int]:
         """The first result of the search, its score, and how much less the next total on the queue is."""
         marked = word.replace(MARK, "\x00").replace(" ", MARK)
-        size, known = len(marked), self._known.get
-        forward, next_, came = [0] + [NEVER] * size, [NEVER] * (size + 1), [(0, 0)] * (size + 1)
+        size, known, unknown = len(marked), self._known.get, (-1, self.unknown)
+        forward, next_, began, piece = [0] + [NEVER] * size, [NEVER] * (size + 1), [0] * (size + 1), [0] * (size + 1)
         for i in range(size):
-            here, j, alone = forward[i], i + 1, True
-            while (hit := known(marked[i:j])) is not None:
-                if hit:
-                    at, s = hit
-                    if j == i + 1:
-                        alone = False
+            here, hit, j = forward[i], known(marked[i]), i + 1
+            own = hit or unknown  # a piece for this character alone, or its bytes
+            while True:
+                if own:
+                    at, s = own
                     z = here + s
                     if z > forward[j]:
-                        next_[j], forward[j], came[j] = forward[j], z, (i, at)
+                        next_[j], forward[j], began[j], piece[j] = forward[j], z, i, at
                     elif z > next_[j]:
                         next_[j] = z
-                if j == size:
+                if hit is None or j == size:
                     break
                 j += 1
-            if alone:
-                j, z = i + 1, here + self.unknown
-                if z > forward[j]:
-                    next_[j], forward[j], came[j] = forward[j], z, (i, -1)
-                elif z > next_[j]:
-                    next_[j] = z
+                own = hit = known(marked[i:j])
         ids, gap, j = [], -NEVER, size
         while j:
             if forward[j] - next_[j] < gap:
                 gap = forward[j] - next_[j]
-            j, at = came[j]
+            j, at = began[j], piece[j]
             if at >= 0:
                 ids.append(at)
             else:
