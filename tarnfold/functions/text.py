@@ -15,10 +15,14 @@ KINDS = ("Function", "Method", "Struct", "Interface", "Class", "Type", "Section"
 MODES = ("IGNORE", "SKELETON", "FULL")
 
 SCRIPT_WORDS = (
-    "function const let var return if else for while do switch case break continue class interface type extends implements import export from as default "
-    "null undefined true false new this super void public private protected readonly static abstract try catch finally throw async await yield "
-    "typeof instanceof in of delete string number boolean any unknown never object console log error warn"
-).split()
+    "function", "const", "let", "var", "return", "if", "else", "for", "while", "do", "switch", "case", "break", "continue",
+    "class", "interface", "type", "extends", "implements", "import", "export", "from", "as", "default",
+    "null", "undefined", "true", "false", "new", "this", "super", "void",
+    "public", "private", "protected", "readonly", "static", "abstract",
+    "try", "catch", "finally", "throw", "async", "await", "yield", "typeof", "instanceof", "in", "of", "delete",
+    "string", "number", "boolean", "any", "unknown", "never", "object", "console", "log", "error", "warn",
+)
+# Fixed values too: what a link or image, and what an include, looks like.
 LINK = r"!?\[[^\]]+\]\(([^)\t\n\f\r ]+)"
 INCLUDE = r"(?:\{\{[\t\n\f\r ]*(?:include|>)[\t\n\f\r ]+|\[\[)([^}\]\t\n\f\r ]+)"
 
@@ -102,6 +106,11 @@ def markdown_refs(body: Column) -> Column:
     return keep_refs(F.concat(F.regexp_extract_all(body, F.lit(LINK), F.lit(1)), names))
 
 
+def known_kind(kind: Column) -> Column:
+    """A chunk kind; one that is not known is a Type."""
+    return F.when(kind.isin(*KINDS), kind).otherwise("Type")
+
+
 def script_refs(body: Column) -> Column:
     return F.array_except(identifiers(body), F.array(*(F.lit(w) for w in SCRIPT_WORDS)))
 

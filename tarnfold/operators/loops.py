@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.functions import text as tx
@@ -14,6 +16,7 @@ from tarnfold.functions import text as tx
 OUTCOMES = ("initial-verify-error", "noop-initial-passed", "ctx-cancelled", "llm-error", "hook-error", "no-verify", "verify-error", "verify-passed", "max-rounds-exhausted")
 ROUNDS = 3
 DONE = ("applied", "noop")
+RETRY = "Some calls of the last attempt failed. Their outcomes follow: repair what failed, and leave what went well as it is."
 
 
 def ok(outcome: Column) -> Column:
@@ -22,17 +25,23 @@ def ok(outcome: Column) -> Column:
 
 def rounds(records: DataFrame) -> DataFrame:
     """Per round of tool records (round, seq, tool_name, outcome, message): all_ok, any_failure, failed, calls, summary."""
-    numbered = records.withColumn("call", F.row_number().over(Window.partitionBy("round").orderBy("seq"))).withColumn("ok", ok(F.col("outcome")))
-    line = F.concat(F.lit("["), F.col("call").cast("string"), F.lit("] "), F.when(F.col("ok"), "OK").otherwise("FAILED"), F.lit(" "), F.coalesce("tool_name", F.lit("")), F.lit(": outcome="), F.coalesce("outcome", F.lit("")), F.lit("; message="), F.coalesce("message", F.lit("")), F.lit("\n"))
-    return numbered.withColumn("line", line).groupBy("round").agg(
+    rows = records.withColumn("ok", ok(F.col("outcome")))
+    line = F.concat(F.when(F.col("ok"), "OK").otherwise("FAILED"), F.lit(" "), F.coalesce("tool_name", F.lit("")), F.lit(": outcome="), F.coalesce("outcome", F.lit("")), F.lit("; message="), F.coalesce("message", F.lit("")), F.lit("\n"))
+    return rows.withColumn("line", line).groupBy("round").agg(
         F.bool_and("ok").alias("all_ok"),
         F.bool_or(~F.col("ok")).alias("any_failure"),
         F.count_if(~F.col("ok")).alias("failed"),
         F.count(F.lit(1)).alias("calls"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("call", "line"))), lambda x: x["line"]), "").alias("summary"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["line"])), "").alias("summary"),
     )
 
 
+def statuses(metrics: DataFrame) -> DataFrame:
+    """task, round, counts: how many metrics of a round have each status, whatever statuses there are."""
+    per = metrics.groupBy("task", "round", F.coalesce("status", F.lit("")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("task", "round").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("counts"))
+
+
 def verdicts(checks: DataFrame, metrics: DataFrame) -> DataFrame:
     """Per check (task, round, passed): passed if all its metrics PASS, or by its own flag where it has none; counts by status."""
     per = metrics.groupBy("task", "round").agg(F.bool_and(F.coalesce(F.col("status") == "PASS", F.lit(False))).alias("all_pass"), F.count(F.lit(1)).alias("n_metrics"), *(F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("PASS", "FAIL", "ERROR")))
@@ -66,7 +75,7 @@ def prompts(history_rows: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def retry_prompt(prompt: Column, round_: Column, summary: Column) -> Column:
     """A prompt with what failed in the round before."""
-    told = "Your previous tool calls had failures. Review the outcomes below, then retry. Do not repeat tool calls that already succeeded.\n"
+    told = RETRY + "\n"
     return F.concat(prompt, F.lit('\n\n<previous_attempt round="'), round_.cast("string"), F.lit('">\n' + told), tx.right_trim_newlines(summary), F.lit("\n</previous_attempt>"))
 
 
@@ -87,6 +96,24 @@ def expected(verdict_rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(got, "scenario", "left").select("scenario", "wanted", "verdict", state.alias("state"))
 
 
+@dataclass
+class Verdict:
+    """What a verification says: a flag, a diagnosis, and metrics (name, status, detail) that overrule the flag."""
+
+    passed: bool = False
+    diag: str = ""
+    metrics: list[tuple[str, str, str]] = field(default_factory=list)
+
+    @property
+    def good(self) -> bool:
+        return all(status == "PASS" for _, status, _ in self.metrics) if self.metrics else self.passed
+
+    def block(self, round_: int) -> str:
+        """What later rounds are told of this one, as ``history`` writes it."""
+        lines = "".join(f"  - {name}: {status}" + (f" ({detail})" if detail else "") + "\n" for name, status, detail in self.metrics)
+        return f'<round n="{round_}">\n' + ("metrics:\n" + lines if lines else "") + (f"diag:\n{self.diag.strip()}\n" if self.diag else "") + "</round>"
+
+
 @dataclass
 class Outcome:
     outcome: str
@@ -94,53 +121,96 @@ class Outcome:
     rounds: int
     history: list[str] = field(default_factory=list)
     reflections: list[str] = field(default_factory=list)
+    last: Verdict | None = None
+    error: str = ""
+
+
+def archived(end: Outcome, description: str, tag: str = "", ended: datetime | None = None) -> tuple[str, int, str]:
+    """Id, time and JSON text of a task's end, as ``archive_json`` writes them: fields by name, empty optional ones left out."""
+    ended = ended or datetime.now()
+    fields = {"description": description, "last_diag": end.last.diag if end.last else "", "outcome": end.outcome, "passed": end.passed, "rounds": end.rounds}
+    optional = {"metrics": {name: {"status": status, "detail": detail} for name, status, detail in end.last.metrics} if end.last else {}, "reflections": end.reflections, "tag": tag}
+    text = json.dumps(fields | {k: v for k, v in optional.items() if v}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return f"{tag or 'task'}-{ended:%Y%m%d-%H%M%S}", int(ended.timestamp()), text
 
 
 def retried(attempt: Callable[[str, int], list[tuple[str, str, str]]], prompt: str, most: int = ROUNDS) -> tuple[bool, int, list[list[tuple[str, str, str]]]]:
     """Calls ``attempt`` until no tool is called, all calls succeed or the rounds are used up."""
     seen, told = [], prompt
     for k in range(1, most + 1):
-        records = attempt(told, k)
+        try:
+            records = attempt(told, k)
+        except Exception:  # a model's failure ends the loop, what was done stays on record
+            return False, k, seen
         seen.append(records)
         failed = [r for r in records if r[1] not in DONE]
         if not failed:
             return True, k, seen
         lines = "".join(f"[{i}] {'OK' if o in DONE else 'FAILED'} {t}: outcome={o}; message={m}\n" for i, (t, o, m) in enumerate(records, 1))
-        told = f'{told}\n\n<previous_attempt round="{k}">\n{lines}</previous_attempt>'
+        told = f'{told}\n\n<previous_attempt round="{k}">\n{RETRY}\n{lines}</previous_attempt>'
     return False, most, seen
 
 
-def run_task(run: Callable[[str], None], verify: Callable[[int], bool] | None, description: str, most: int = ROUNDS, between: Callable[[int], None] | None = None, cancelled: Callable[[], bool] = lambda: False) -> Outcome:
-    """The verify loop: verify, and while that fails run and verify again, at most so many rounds."""
-
-    def checked(k: int) -> bool:
-        return bool(verify(k))
+def run_task(
+    run: Callable[[str], None],
+    verify: Callable[[int], bool | Verdict] | None,
+    description: str,
+    most: int = ROUNDS,
+    between: Callable[[int], None] | None = None,
+    cancelled: Callable[[], bool] = lambda: False,
+    reflections: list[str] | None = None,
+    archive: Callable[[Outcome], None] | None = None,
+) -> Outcome:
+    """The verify loop: verify, and while that fails run and verify again, at most so many rounds.
+
+    The first round is told the first diagnosis, later ones of all rounds before them. ``archive`` gets every
+    ending; ``reflections`` is the list that the run's tools add to.
+    """
+    blocks: list[str] = []
+    last: Verdict | None = None
+
+    def end(outcome: str, rounds_: int, error: Exception | str = "") -> Outcome:
+        out = Outcome(outcome, outcome in ("noop-initial-passed", "verify-passed"), rounds_, [*blocks], [*(reflections or ())], last, str(error))
+        if archive is not None:
+            archive(out)
+        return out
+
+    def checked(k: int) -> Verdict:
+        got = verify(k)
+        return got if isinstance(got, Verdict) else Verdict(bool(got))
+
+    def told(k: int) -> str:
+        if k == 1:
+            first = last.diag.strip() if last else ""
+            return f"{description}\n\n<initial_verification>\n{first}\n</initial_verification>" if first else description
+        return f"{description}\n\n<previous_rounds>\n" + "".join(b + "\n" for b in blocks) + "</previous_rounds>" if blocks else description
 
     if verify is not None:
         try:
-            if checked(0):
-                return Outcome("noop-initial-passed", True, 0)
+            last = checked(0)
         except Exception as e:
-            return Outcome("initial-verify-error", False, 0, [str(e)])
-    seen: list[str] = []
+            return end("initial-verify-error", 0, e)
+        if last.good:
+            return end("noop-initial-passed", 0)
     for k in range(1, most + 1):
         if cancelled():
-            return Outcome("ctx-cancelled", False, k - 1, seen)
+            return end("ctx-cancelled", k - 1)
         try:
-            run(description)
+            run(told(k))
         except Exception as e:
-            return Outcome("llm-error", False, k, [*seen, str(e)])
+            return end("llm-error", k, e)
         if between is not None:
             try:
                 between(k)
             except Exception as e:
-                return Outcome("hook-error", False, k, [*seen, str(e)])
+                return end("hook-error", k, e)
         if verify is None:
-            return Outcome("no-verify", False, k, seen)
+            return end("no-verify", k)
         try:
-            if checked(k):
-                return Outcome("verify-passed", True, k, seen)
+            last = checked(k)
         except Exception as e:
-            return Outcome("verify-error", False, k, [*seen, str(e)])
-        seen.append(f"round {k} failed")
-    return Outcome("max-rounds-exhausted", False, most, seen)
+            return end("verify-error", k, e)
+        blocks.append(last.block(k))
+        if last.good:
+            return end("verify-passed", k)
+    return end("max-rounds-exhausted", most)

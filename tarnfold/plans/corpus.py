@@ -68,3 +68,57 @@ def check_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task, round, passed, diag: three rounds for every customer; most of them have no metrics."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("round"), (F.col("c_acctbal") > 0).alias("passed"), "c_mktsegment")
     return c.select("task", "round", "passed", F.when(F.col("round") > 0, F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit("\n"))).alias("diag"))
+
+
+GO_FILE = """package p
+
+// T@ holds {
+type T@ struct {
+	Name string // }
+}
+
+type (
+	ID@ = string
+	Doer@ interface{ Do() error }
+)
+
+const limit@ = 3
+
+func (t *T@) Run(n int) string { return helper("}{", n) }
+
+// Make@ makes one.
+func Make@() *T@ {
+	return &T@{Name: `{`}
+}
+"""
+
+SCRIPT_FILE = """// Box@ holds
+export class Box@ {
+  value = 1;
+  constructor(v) { this.value = v; }
+  get size() { return 1; }
+  delete(k) { return drop(k); }
+  get(k) { return "}"; }
+  async 'odd name'() { }
+  [Symbol.iterator]() { return it(); }
+}
+
+export const one@ = () => 1, two@ = async (x) => x, three@ = 3;
+export default function () { return 0; }
+function log@(a) { return a; }
+"""
+
+
+def _coded(spark: SparkSession, sf_dir: str, name: str, file: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    return read(spark, sf_dir, "part").select(F.replace(F.lit(name), F.lit("@"), key).alias("path"), F.replace(F.lit(file), F.lit("@"), key).alias("content"))
+
+
+def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a Go file for every part."""
+    return _coded(spark, sf_dir, "go/p@.go", GO_FILE)
+
+
+def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a script file for every part."""
+    return _coded(spark, sf_dir, "script/p@.ts", SCRIPT_FILE)

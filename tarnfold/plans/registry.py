@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions import text as tx
-from tarnfold.operators import audit, catalog, edits, loops, markdown, memory, rendering, selection, tools
+from tarnfold.operators import audit, catalog, code, edits, loops, markdown, memory, rendering, selection, tools
 from tarnfold.plans import corpus, twins
 from tarnfold.plans.corpus import read
 from tarnfold.plans.workers import ship
@@ -279,12 +279,6 @@ def unanswered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insight_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document texts cut to their first characters as insights: trimmed, blank ones gone."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.substring(F.concat(F.lit(" \n"), "text"), F.lit(1), (F.col("doc_id") % 9).cast("int")).alias("insight"))
-    return tools.insights(rows)
-
-
-def insight_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts with white space at both ends as insights, and a blank insight beside every ninth: trimmed, blank ones gone; digests."""
     d = read(spark, sf_dir, "documents")
     whole = d.select("doc_id", F.concat(F.lit(" \n"), "text", F.lit("\t ")).alias("insight"))
@@ -293,21 +287,57 @@ def insight_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_and_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"))
-    return d.select("doc_id", F.array_join(tx.listed(F.col("head")), "|").alias("parts"), tx.indented(F.col("head"), "> ").alias("quoted"))
-
-
-def list_and_indent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comma parts and indented lines of whole texts, as digests."""
     d = read(spark, sf_dir, "documents").select("doc_id", tx.listed(F.col("text")).alias("parts"), tx.indented(F.col("text"), "> ").alias("quoted"))
     return d.select("doc_id", F.size("parts").alias("n_parts"), F.md5(F.array_join("parts", "|")).alias("parts"), F.md5("quoted").alias("quoted"))
 
 
+def _chunks(files: DataFrame) -> DataFrame:
+    ship(files.sparkSession)
+    return code.chunks(files).select("path", "ordinal", "kind", "name", F.md5("body").alias("body"), F.array_join(F.array_sort("refs"), " ").alias("refs"))
+
+
+def go_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Go file for every part: documented and grouped types, methods, a generic function, braces in strings and comments."""
+    return _chunks(corpus.go_files(spark, sf_dir))
+
+
+def script_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script file for every part: members of every kind of name, accessors, several declarators, a nameless default."""
+    return _chunks(corpus.script_files(spark, sf_dir))
+
+
+def code_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of the Go files: whole code, code that is broken, and code that balances only in its place."""
+    ship(spark)
+    files = corpus.go_files(spark, sf_dir)
+    chunks = code.chunks(files).where("name like 'Make%'").select("path", "ordinal", F.col("name").alias("id"), "kind", "name", "body")
+    key = F.regexp_extract("path", r"(\d+)", 1).cast("int")
+    new = F.element_at(F.array(*(F.lit(x) for x in ("func Made() {}", "func Made( {", "}\n\nfunc Made() {"))), key % 3 + 1)
+    mods = files.select(key.alias("seq"), F.lit("MODIFY").alias("action"), F.concat(F.lit("Make"), key.cast("string")).alias("chunk_id"), F.lit(None).cast("string").alias("file_path"), new.alias("new_content"))
+    return edits.apply(mods, files, chunks).select("seq", "path", "outcome", F.size("affected").alias("n_affected"), F.md5("content").alias("content"))
+
+
+def named_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context blocks with chunks by name, as where no store knows their order."""
+    return rendering.file_blocks(*_decided(spark, sf_dir), by="name").select("path", "chunks", F.md5("block").alias("block"))
+
+
+def metric_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loops.statuses(corpus.metric_rows(spark, sf_dir)).select("task", "round", F.to_json("counts").alias("counts"))
+
+
+def chunk_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as chunk kinds, some of them known."""
+    kind = F.when(F.col("event_type") == "click", "Class").when(F.col("event_type") == "view", "Preamble").otherwise(F.col("event_type"))
+    return read(spark, sf_dir, "events").groupBy(tx.known_kind(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
-    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, insight_filter_whole, list_and_indent, list_and_indent_whole,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, code_edits, named_blocks, metric_statuses, chunk_kinds,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

@@ -1,5 +1,6 @@
 import os
 import time
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -236,3 +237,66 @@ def test_new_content_is_checked_alone():
             mod = {"seq": 1, "action": action, "wanted": "abcd", "new_content": new if action == "MODIFY" else "}\n"}
             (got,) = edits._fold([mod], path, before, [["abcd", "Func", "f", "x()"]])
             assert (got[2], got[5], got[6], got[8]) == ("validation", "snippet", 1, before)
+
+
+def test_the_verify_loop_tells_what_failed_and_archives_every_ending():
+    prompts, ends = [], []
+    verdicts = [loops.Verdict(diag=" first \n"), loops.Verdict(True, "", [("build", "PASS", ""), ("lint", "FAIL", "two")]), loops.Verdict(False, "still", []), loops.Verdict(False, "", [("build", "PASS", "")])]
+    notes_made: list[str] = []
+
+    def run(prompt):
+        prompts.append(prompt)
+        notes_made.append(f"insight {len(prompts)}")
+
+    end = loops.run_task(run, lambda k: verdicts[k], "Fix it", reflections=notes_made, archive=ends.append)
+    assert (end.outcome, end.passed, end.rounds) == ("verify-passed", True, 3) and ends == [end] and end.reflections == ["insight 1", "insight 2", "insight 3"]
+    one, two = '<round n="1">\nmetrics:\n  - build: PASS\n  - lint: FAIL (two)\n</round>\n', '<round n="2">\ndiag:\nstill\n</round>\n'
+    assert prompts == [
+        "Fix it\n\n<initial_verification>\nfirst\n</initial_verification>",
+        f"Fix it\n\n<previous_rounds>\n{one}</previous_rounds>",
+        f"Fix it\n\n<previous_rounds>\n{one}{two}</previous_rounds>",
+    ]
+    who, at, text = loops.archived(end, "Fix it", "tag", datetime(2024, 5, 6, 7, 8, 9))
+    assert who == "tag-20240506-070809" and at == int(datetime(2024, 5, 6, 7, 8, 9).timestamp())
+    assert text == '{"description":"Fix it","last_diag":"","metrics":{"build":{"detail":"","status":"PASS"}},"outcome":"verify-passed","passed":true,"reflections":["insight 1","insight 2","insight 3"],"rounds":3,"tag":"tag"}'
+    for k in ({"verify": lambda r: 1 / 0}, {"verify": lambda r: True}, {"verify": None}, {"cancelled": lambda: True}, {"between": lambda r: 1 / 0}):
+        loops.run_task(**({"run": prompts.append, "verify": lambda r: False, "description": "d", "archive": ends.append} | k))
+    assert len(ends) == 6 and ends[1].error
+
+
+def test_the_loop_and_the_tables_write_the_same_history(spark):
+    checks = spark.createDataFrame([(1, 1, False, " d\n"), (1, 2, False, None)], "task long, round int, passed boolean, diag string")
+    metrics = spark.createDataFrame([(1, 1, 1, "a", "PASS", None), (1, 1, 2, "b", "ODD", "x")], "task long, round int, seq long, name string, status string, detail string")
+    blocks = {r["round"]: r.block for r in loops.history(checks, metrics).collect()}
+    assert blocks == {1: loops.Verdict(False, " d\n", [("a", "PASS", ""), ("b", "ODD", "x")]).block(1), 2: loops.Verdict().block(2)}
+    assert loops.statuses(metrics).first().counts == {"PASS": 1, "ODD": 1}
+    assert loops.retried(lambda p, k: 1 / 0, "p") == (False, 1, [])
+
+
+def test_a_failing_shard_costs_its_own_votes_alone(spark):
+    chunks = spark.createDataFrame([("a", i, f"c{i}", "Section", f"n{i}", "", []) for i in range(130)], "path string, ordinal int, id string, kind string, name string, body string, refs array<string>")
+
+    def ask(prompt, rows, sink):
+        first = rows[0]["ordinal"]
+        if first < 50:
+            raise RuntimeError("down")
+        if first >= 100:
+            return
+        sink([(rows[0]["id"], "FULL", "early")])
+        sink([(r["id"], "SKELETON", prompt) for r in rows])
+
+    decisions, missing, errors = selection.select("late", chunks, selection.Config(selection.called(ask), selection.called(lambda p, rows, sink: sink([(rows[0]["id"], "FULL", "up")]))))
+    assert errors == ["triage: shard 0: down", "triage: shard 2: no answer"] and missing.count() == 80
+    got = {r.chunk_id: (r["mode"], r.reason) for r in decisions.collect()}
+    assert len(got) == 130 and sum(x == ("SKELETON", "late") for x in got.values()) == 49 and sum(x == ("FULL", "up") for x in got.values()) == 1
+
+
+def test_unreadable_files_are_counted_and_kept(spark, project, tmp_path):
+    e = Engine(spark, str(project), str(tmp_path / "store"))
+    first = e.index(1)
+    before = {r.id for r in e.chunks().where("path = 'main.go'").collect()}
+    (project / "main.go").unlink()
+    (project / "main.go").symlink_to("/proc/self/mem")  # is there and cannot be read
+    got = e.index(2)
+    assert got["failed"] == 1 and got["scanned"] == first["scanned"] and got["indexed"] == 0
+    assert {r.id for r in e.chunks().where("path = 'main.go'").collect()} == before

@@ -64,7 +64,7 @@ def _md5(text):
 
 
 def test_lists_over_whole_texts(spark, tmp_path):
-    got = {r.doc_id: r for r in _whole(spark, tmp_path, "list_and_indent_whole")}
+    got = {r.doc_id: r for r in _whole(spark, tmp_path, "list_and_indent")}
     assert set(got) == set(TEXTS)
     for i, t in TEXTS.items():
         parts = [x.strip() for x in t.split(",") if x.strip()]
@@ -73,5 +73,5 @@ def test_lists_over_whole_texts(spark, tmp_path):
 
 
 def test_insights_of_whole_texts(spark, tmp_path):
-    got = _whole(spark, tmp_path, "insight_filter_whole")
+    got = _whole(spark, tmp_path, "insight_filter")
     assert {r.doc_id: r.insight for r in got} == {i: _md5(t.strip()) for i, t in TEXTS.items() if t.strip()} and len(got) == 3
