@@ -1,7 +1,8 @@
 """Media columns as MPEG transport streams (ISO/IEC 13818-1).
 
 ``mux`` stores bytes as private data in packetised elementary packets, each an access unit with a
-timestamp and a random-access mark; ``parse`` reads any 188-byte stream: program tables,
+timestamp and a random-access mark, with the program tables before it, so that a reader can begin
+at any of them; ``parse`` reads any 188-byte stream: program tables,
 continuity counters, elementary packets, timestamps and random-access points.
 
 Defined results: a null text is empty; an empty text stores 64 zero bytes; equal bytes give equal
@@ -19,11 +20,12 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarnfold.llm.common import ship
+from tarnfold.llm.common import ship, stage
 
 PACKET = 188
 PMT_PID, DATA_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x100, 0x06, 0xBD
 UNIT = 8192  # bytes of an access unit
+HELD = 8 << 20  # bytes of streams that a task passes on at once
 TICK = 3600  # 90 kHz clock, 25 units a second
 
 
@@ -59,6 +61,7 @@ def _table_packet(pid: int, section: bytes) -> bytes:
 _TABLES = _table_packet(0, _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
     PMT_PID, _section(2, 1, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
 )
+_TABLES_AT = [_TABLES[:3] + bytes([0x10 | c]) + _TABLES[4 : PACKET + 3] + bytes([0x10 | c]) + _TABLES[PACKET + 4 :] for c in range(16)]  # by continuity counter
 _MIDDLE = [b"\x47" + DATA_PID.to_bytes(2, "big") + bytes([0x10 | c]) for c in range(16)]
 
 
@@ -68,10 +71,11 @@ def _timestamp(pts: int) -> bytes:
 
 def mux(data: bytes, unit: int = UNIT) -> bytes:
     """A single-program stream that holds ``data`` whole, an access unit for every ``unit`` bytes."""
-    out, cc = [_TABLES], 0
+    out, cc = [], 0
     for k, at in enumerate(range(0, len(data), unit)):
         pts = (k * TICK) & (2**33 - 1)
         piece = data[at : at + unit]
+        out.append(_TABLES_AT[k & 15])
         pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(piece) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _timestamp(pts) + piece
         pcr = (pts << 15 | 0x7E00).to_bytes(6, "big")
         room = PACKET - 4 - 8
@@ -87,7 +91,7 @@ def mux(data: bytes, unit: int = UNIT) -> bytes:
             fill = bytes([gap]) + (b"\x00" + b"\xff" * (gap - 1) if gap else b"")
             out.append(b"\x47" + DATA_PID.to_bytes(2, "big") + bytes([0x30 | cc]) + fill + rest)
             cc = (cc + 1) & 15
-    return b"".join(out)
+    return b"".join(out) or _TABLES
 
 
 @dataclass
@@ -211,25 +215,38 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of stored streams (key, n_bytes, media)."""
     for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        for text in batch.column(1).to_pylist():
-            payload, n = padded(text)
-            stream = mux(payload)
+        cols: list[list] = [[] for _ in range(6)]
+        for media in batch.column(2):
+            stream = media.as_py()
             read = parse(stream)
             back = b"".join(u.data for u in read.units)
-            for col, v in zip(cols, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(read)), strict=True):
+            for col, v in zip(cols, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(read)), strict=True):
                 col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[batch.schema.names[0], *names])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*batch.schema.names[:2], *names])
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n_bytes, media; at most about ``HELD`` bytes of streams and one more stream at a time."""
     for batch in batches:
-        for one in range(batch.num_rows):  # a stream at a time keeps memory to one document's
-            row = batch.slice(one, 1)
-            yield pa.RecordBatch.from_arrays([row.column(0), pa.array([mux(padded(row.column(1)[0].as_py())[0])], pa.binary())], names=[batch.schema.names[0], "media"])
+        first, size, got, held = 0, [], [], 0
+
+        def passed(last: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size, pa.int64()), pa.array(got, pa.binary())], names=[batch.schema.names[0], "n_bytes", "media"])  # noqa: B023
+
+        for k, text in enumerate(batch.column(1)):
+            payload, n = padded(text.as_py())
+            got.append(mux(payload))
+            size.append(n)
+            held += len(got[-1])
+            if held > HELD:
+                yield passed(k + 1)
+                first, size, got, held = k + 1, [], [], 0
+        if got:
+            yield passed(batch.num_rows)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +260,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def to_streams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, media: every text as a transport stream."""
+    """key, n_bytes (of the text), media: every text as a transport stream."""
     ship(docs.sparkSession)
-    return docs.select(key, docs[text].cast("string")).mapInArrow(_streams, f"{key} {docs.schema[key].dataType.simpleString()}, media binary")
+    return docs.select(key, docs[text].cast("string")).mapInArrow(_streams, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def units(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -255,6 +272,6 @@ def units(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores each text, reads the stored bytes back and returns sizes, digests and features of what was read."""
-    ship(docs.sparkSession)
-    return docs.select(key, docs[text].cast("string")).mapInArrow(_digests, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Stores the streams of all texts, reads the stored bytes back and returns sizes, digests and features of what was read."""
+    stored = stage(to_streams(docs, key, text), "media", compression="zstd")
+    return stored.mapInArrow(_digests, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
