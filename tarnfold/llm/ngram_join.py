@@ -52,7 +52,7 @@ TILE = 2048  # rows of one side of a tile, about
 WEIGHT = 1 << 21  # and their shingles
 FEW = 48  # rows that are compared without a tree
 LEAF = 16
-MEMO = 400_000  # words whose hashes a worker keeps
+MEMO = 120_000  # words whose hashes a worker keeps
 
 _random = np.random.default_rng(2024)
 _MIX = _random.integers(0, 2**64, 6, np.uint64) | np.uint64(1)
@@ -183,9 +183,10 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.column(0).to_pylist()]
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], names=["token", "n"])
+            every = np.concatenate([np.zeros(0, np.uint64), *(shingles(t.as_py()) for t in b.column(0))])
+            every.sort()
+            found, n = np.unique(every[2:][every[2:] == every[:-2]], return_counts=True)  # what is there three times and more, less two
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64) + 2)], names=["token", "n"])
 
     counts = stage(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON), "shingle-counts")
     grade, kept, least = F.floor(F.log2("n") * 8), 0, None
