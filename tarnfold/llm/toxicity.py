@@ -89,16 +89,17 @@ class Machine:
 
 def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The terms whose toxic share is clearly off the base rate, among all rows or among those with a term of raised share; sorted."""
-    known, at = np.unique(np.concatenate(rows), return_inverse=True)
-    who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    every = np.concatenate(rows)
+    known = np.unique(every)
+    at = np.searchsorted(known, every).astype(np.int32)
+    who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
 
     def off(inside: np.ndarray) -> np.ndarray:
         """Signed standard errors of each term's toxic rows among the rows inside, 0 for rarer terms."""
         if not inside.any():
             return np.zeros(len(known))
         base = float(np.clip(y[inside].mean(), 1e-3, 1 - 1e-3))
-        here = at[inside[who]]
-        n, t = np.bincount(here, minlength=len(known)), np.bincount(here, y[who[inside[who]]], len(known))
+        n, t = (np.bincount(at[some[who]], minlength=len(known)) for some in (inside, inside & (y > 0)))
         return np.where(n >= LEAST, (t - n * base) / np.sqrt(np.maximum(n, 1) * base * (1 - base)), 0.0)
 
     alone = off(np.ones(len(rows), bool))
