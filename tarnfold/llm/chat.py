@@ -19,6 +19,8 @@ columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,37 @@ def _pieces(formatted: Column) -> Column:
     """(mark, start, piece): start counts code points in the formatted string, from 0."""
     first = F.when(formatted.startswith(HEADER), len(HEADER)).otherwise(0)
     found = F.regexp_extract_all(F.substring(formatted, first + 1, F.char_length(formatted)), F.lit(PIECES), F.lit(0))
-    return F.aggregate(
-        found,
-        F.struct(first.cast("int").alias("at"), F.expr("cast(array() as array<struct<start:int,piece:string>>)").alias("got")),
-        lambda acc, p: F.struct((acc["at"] + F.char_length(p)).alias("at"), F.concat(acc["got"], F.array(F.struct(acc["at"].alias("start"), p.alias("piece")))).alias("got")),
-        lambda acc: acc["got"],
-    )
+    at = lambda pieces: _sums(F.transform(pieces, F.char_length))
+    return _let(found, lambda pieces: F.zip_with(at(pieces), pieces, lambda n, p: F.struct((first + n).cast("int").alias("start"), p.alias("piece"))))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once; a lambda computes anew whatever it captures, for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sums(sizes: Column) -> Column:
+    """The sum before each of n numbers, in about n ** 1.5 steps: a fold that appends copies its array, so it runs over blocks."""
+    none = F.expr("cast(array() as array<bigint>)")
+    total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+    def running(numbers: Column) -> Column:
+        return F.aggregate(
+            numbers,
+            F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("got")),
+            lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["got"], F.array(acc["at"])).alias("got")),
+            lambda acc: acc["got"],
+        )
+
+    def summed(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(running(F.transform(blocks, total)), blocks, lambda at, block: F.transform(running(block), lambda x: x + at)))
+
+    def cut(sizes: Column, width: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), width), lambda k: k * width < F.size(sizes))
+        return F.transform(starts, lambda k: F.slice(sizes, k * width + 1, width))
+
+    width = lambda v: F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+    return _let(sizes, lambda v: _let(width(v), lambda w: _let(cut(v, w), summed)))
 
 
 def parse(formatted: Column) -> Column:
@@ -98,27 +125,30 @@ def conversations_of(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
-def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, escaped, spans: the string of every conversation and its loss mask, read back from it."""
+def _formatted(turns: DataFrame) -> DataFrame:
+    """conv_id, formatted, escaped, read: strings that read back as their source, and what was read from them."""
     source = lambda t: F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     tried = conversations_of(turns).withColumn("formatted", render(F.col("turns"), False))
-    tried = tried.withColumn("escaped", ~source(parse(F.col("formatted"))).eqNullSafe(F.col("turns")))
-    tried = tried.withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("formatted"))).withColumn("read", parse(F.col("formatted")))
+    tried = tried.withColumn("read", parse(F.col("formatted"))).withColumn("escaped", ~source(F.col("read")).eqNullSafe(F.col("turns")))
+    tried = tried.withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("formatted")))
+    tried = tried.withColumn("read", F.when(F.col("escaped"), parse(F.col("formatted"))).otherwise(F.col("read")))
     same = source(F.col("read")).eqNullSafe(F.col("turns"))
-    return tried.select(
-        "conv_id",
-        F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a rendered conversation does not read back"))).alias("formatted"),
-        "escaped",
-        F.transform(F.filter("read", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
-    )
+    return tried.select("conv_id", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a rendered conversation does not read back"))).alias("formatted"), "escaped", "read")
+
+
+def _spans(read: Column) -> Column:
+    return F.transform(F.filter(read, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+
+def format_chats(turns: DataFrame) -> DataFrame:
+    """conv_id, formatted, escaped, spans: the string of every conversation and its loss mask, read back from it."""
+    return _formatted(turns).select("conv_id", "formatted", "escaped", _spans(F.col("read")).alias("spans"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
     """What is read back from the formatted strings alone: turns, their digest, the loss text and its digest."""
-    out = format_chats(turns).withColumn("read", parse(F.col("formatted")))
-    back = F.col("formatted").startswith(HEADER)
-    under = F.array_join(F.transform("spans", lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])), "")
-    loss = F.when(back, unescaped(under)).otherwise(under)
+    out = _formatted(turns)
+    loss = F.array_join(F.transform(F.filter("read", lambda x: x["loss"]), lambda x: x["text"]), "")  # what the spans cut out, without a walk from the string's head for each
     text = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",

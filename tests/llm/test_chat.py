@@ -1,5 +1,8 @@
 import hashlib
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from tarnfold.llm import chat
 
@@ -22,6 +25,8 @@ def test_round_trip_of_hostile_texts(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
         loss = "".join(x for r, x in own if r == "assistant")
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        under = "".join(out[c].formatted[s.start : s.end] for s in out[c].spans)
+        assert (re.sub(r"(?s)\\(.)", r"\1", under) if out[c].escaped else under) == loss
         assert got[c].formatted_chars == len(out[c].formatted) and out[c].escaped == out[c].formatted.startswith("[ESC]")
 
 
@@ -38,3 +43,17 @@ def test_empty_and_clashing(spark):
     r = chat.digests(frame).first()
     assert r.n_turns == 2 and r.loss_chars == 0
     assert chat.digests(frame.limit(0)).count() == 0
+
+
+def test_starts_of_many_turns_are_running_sums(spark):
+    for n in (0, 1, 2, 3, 4, 5, 17, 1000):
+        sizes = [i * i % 7 for i in range(n)]
+        got = spark.createDataFrame([(sizes,)], "sizes array<int>").select(chat._sums(F.col("sizes")).alias("at")).first().at
+        assert got == [sum(sizes[:i]) for i in range(n)]
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"é{t}") for t in range(20000)]
+    r = chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    loss = "".join(x for _, _, role, x in rows if role == "assistant")
+    assert r.n_turns == 20000 and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
