@@ -49,7 +49,7 @@ LEAST_GROUPS = 16
 COMMON = 48  # documents a shingle must be counted in (lossily) to come late in the order
 COMMON_MOST = 200_000  # and how many such shingles are told to the executors, at most
 TILE = 2048  # rows of one side of a tile, about
-WEIGHT = 1 << 21  # and their shingles
+WEIGHT = 1 << 20  # and their shingles; what a worker holds of a tile is in proportion to them
 FEW = 48  # rows that are compared without a tree
 LEAF = 16
 MEMO = 120_000  # words whose hashes a worker keeps
@@ -221,7 +221,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                         rare, many = own[~hit], own[hit][np.lexsort((own[hit], often[at[hit]]))]
                         hot = max(0, size - len(rare))
                         first = np.concatenate([rare, many])[:size]
-                prefix.append(first.view(np.int64))
+                prefix.append(first.view(np.int64).copy())  # a view would hold the whole set
                 late.append(hot)
                 points.append(packed(vector(own)))
             yield pa.RecordBatch.from_arrays(
@@ -363,11 +363,10 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b: verified links of each tile, only those that join two components of it."""
     for t in _by_tile(batches):
-        sets = [shingles(x) for x in t["text"]]
+        sets = [shingles(x) for x in t.pop("text")]
         n = np.array([len(x) for x in sets], np.int64)
-        ends = np.cumsum(n)
         place, inside = np.unique(np.concatenate(sets), return_inverse=True)
-        mine = np.split(inside, ends[:-1])
+        mine = np.split(inside, np.cumsum(n)[:-1])
         marked = np.zeros(len(place), bool)
         _, apart = np.unique(t["label"], return_inverse=True)
         a, b = [], []

@@ -72,7 +72,7 @@ class Machine:
             got = memo.get(w)
             if got is None:
                 got = tuple(self._place[h] for h in hashes(w) if h in self._place)
-                if len(memo) < 100_000 and len(w) < 32:
+                if len(memo) < 50_000 and len(w) < 32:
                     memo[w] = got
             if got:
                 out.update(got)
