@@ -18,6 +18,7 @@ is 0; an empty table gives no rows; clashing columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -110,7 +111,8 @@ def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> Machine:
     """Adagrad on log loss, a batch at a time. Numbers follow from the rows, their order and the seed; equal rows count once."""
-    rows = list({(t.tobytes(), y): (t, y) for t, y in ((np.sort(t), y) for t, y in rows)}.values())
+    rows = [(t if (t[1:] >= t[:-1]).all() else np.sort(t), y) for t, y in rows]
+    rows = list({(hashlib.blake2b(t.tobytes(), digest_size=16).digest(), y): (t, y) for t, y in rows}.values())
     nothing = np.zeros(0, np.uint32)
     if not any(len(t) for t, _ in rows):
         share = np.mean([y for _, y in rows]) if rows else 0.0
@@ -169,6 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
 
     got = pairs.mapInArrow(hashed, "terms binary, y int, id long").toArrow()
     own = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), got["terms"].to_pylist(), strict=True))
+    del got  # the driver holds the terms of the rows once, not in Arrow too
     return fit([(np.frombuffer(t, np.uint32), y) for _, y, t in own])
 
 
