@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import ship
+from tarnfold.llm.common import give_back, ship
 
 ROWS = 12_000  # labelled rows that a machine is fitted on, at most
 FACTORS = 4
@@ -89,37 +89,67 @@ class Machine:
 
 
 def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The terms whose toxic share is clearly off the base rate, among all rows or among those with a term of raised share; sorted."""
-    every = np.concatenate(rows)
-    known = np.unique(every)
-    at = np.searchsorted(known, every).astype(np.int32)
-    who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    """The terms whose toxic share is clearly off the base rate, among all rows or among those with a term of raised share; sorted.
+
+    Rows are gone through one after the other, so that little is held beside them.
+    """
+    known = np.zeros(0, np.uint32)
+    for k in range(0, len(rows), 2048):
+        known = np.union1d(known, np.unique(np.concatenate(rows[k : k + 2048])))
 
     def off(inside: np.ndarray) -> np.ndarray:
         """Signed standard errors of each term's toxic rows among the rows inside, 0 for rarer terms."""
         if not inside.any():
             return np.zeros(len(known))
         base = float(np.clip(y[inside].mean(), 1e-3, 1 - 1e-3))
-        n, t = (np.bincount(at[some[who]], minlength=len(known)) for some in (inside, inside & (y > 0)))
+        n, t = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        for k in np.flatnonzero(inside):
+            at = np.searchsorted(known, rows[k])  # a row has a term once
+            n[at] += 1
+            if y[k] > 0:
+                t[at] += 1
         return np.where(n >= LEAST, (t - n * base) / np.sqrt(np.maximum(n, 1) * base * (1 - base)), 0.0)
 
     alone = off(np.ones(len(rows), bool))
-    raised = np.zeros(len(rows), bool)
-    raised[who[(alone >= CLEAR)[at]]] = True
+    high = alone >= CLEAR
+    raised = np.array([high[np.searchsorted(known, r)].any() for r in rows], bool)
     return known[(np.abs(alone) >= CLEAR) | (np.abs(off(raised)) >= CLEAR)]
 
 
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+_EMPTY = _digest(np.zeros(0, np.uint32))
+
+
+class Cut(list):
+    """(terms that tell, label) of rows, with the digests of all terms of each: rows are equal by these."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, int]], digests: list[bytes]):
+        super().__init__(rows)
+        self.digests = digests
+
+
+def cut(rows: list[tuple[np.ndarray, int]]) -> Cut:
+    """The rows with those of their terms alone that tell; equal rows count once."""
+    rows = [(t if (t[1:] >= t[:-1]).all() else np.sort(t), y) for t, y in rows]
+    digests = [_digest(t) for t, _ in rows]
+    once = list({(d, y): t for d, (t, y) in zip(digests, rows, strict=True)}.items())
+    known = _telling([t for _, t in once], np.array([y for (_, y), _ in once], float))
+    return Cut([(t[np.isin(t, known, assume_unique=True)], y) for t, y in rows], digests)
+
+
 def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> Machine:
     """Adagrad on log loss, a batch at a time. Numbers follow from the rows, their order and the seed; equal rows count once."""
-    rows = [(t if (t[1:] >= t[:-1]).all() else np.sort(t), y) for t, y in rows]
-    rows = list({(hashlib.blake2b(t.tobytes(), digest_size=16).digest(), y): (t, y) for t, y in rows}.values())
-    nothing = np.zeros(0, np.uint32)
-    if not any(len(t) for t, _ in rows):
-        share = np.mean([y for _, y in rows]) if rows else 0.0
-        return Machine(-30.0 if share == 0 else float(np.log(share / (1 - share + 1e-9))), nothing, np.zeros(0), np.zeros((0, FACTORS)))
-    y_all = np.array([y for _, y in rows], float)
-    known = _telling([t for t, _ in rows], y_all)
-    own = [np.searchsorted(known, t[np.isin(t, known, assume_unique=True)]) for t, _ in rows]
+    rows = rows if isinstance(rows, Cut) else cut(rows)
+    once = {(d, y): t for d, (t, y) in zip(rows.digests, rows, strict=True)}
+    y_all = np.array([y for _, y in once], float)
+    if all(d == _EMPTY for d, _ in once):
+        share = y_all.mean() if len(y_all) else 0.0
+        return Machine(-30.0 if share == 0 else float(np.log(share / (1 - share + 1e-9))), np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS)))
+    known = np.unique(np.concatenate(list(once.values())))
+    own = [np.searchsorted(known, t) for t in once.values()]
     rng, size = np.random.default_rng(seed), len(known)
     share = float(np.clip(y_all.mean(), 1e-3, 1 - 1e-3))
     m = Machine(float(np.log(share / (1 - share))), known, np.zeros(size), rng.standard_normal((size, FACTORS)) * 0.01)
@@ -154,8 +184,14 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+    """terms that tell, y, digest: of the rows (terms, y) of one task."""
+    own = cut([(np.frombuffer(t, np.uint32), y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+    return pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t, _ in own], pa.binary()), pa.array([y for _, y in own], pa.int32()), pa.array(own.digests, pa.binary())], names=["terms", "y", "digest"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
-    """Fits on labelled rows that are not held out; only their hashed terms come to the driver, at most ``rows`` of them."""
+    """Fits on labelled rows that are not held out, at most ``rows`` of them. One task gathers their hashed terms; those that tell come to the driver."""
     ship(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("__y"))
     known, place = known.where(~held_out("__id")), F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
@@ -169,10 +205,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.sort(terms(t)).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1), b.column(2)], names=["terms", "y", "id"])
 
-    got = pairs.mapInArrow(hashed, "terms binary, y int, id long").toArrow()
-    own = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), got["terms"].to_pylist(), strict=True))
-    del got  # the driver holds the terms of the rows once, not in Arrow too
-    return fit([(np.frombuffer(t, np.uint32), y) for _, y, t in own])
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _told(batches)
+        give_back()
+
+    gathered = pairs.mapInArrow(hashed, "terms binary, y int, id long").repartition(1).sortWithinPartitions("id", "y")  # the bounded sample
+    got = gathered.mapInArrow(told, "terms binary, y int, digest binary").toArrow().to_pydict()
+    return fit(Cut([(np.frombuffer(t, np.uint32), y) for t, y in zip(got["terms"], got["y"], strict=True)], got["digest"]))
 
 
 def with_score(docs: DataFrame, machine: Machine, name: str = "__toxicity") -> DataFrame:

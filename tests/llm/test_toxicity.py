@@ -94,3 +94,35 @@ def test_terms_that_tell_only_beside_another_are_weighed():
         rows.append((toxicity.terms(" ".join(rng.choice(WORDS) for _ in range(20)) + " grumblesome" * insult + " islander" * group), int(toxic)))
     known = toxicity._telling([t for t, _ in rows], np.array([y for _, y in rows], float))
     assert set(toxicity.hashes("grumblesome")) & set(known.tolist()) and set(toxicity.hashes("islander")) & set(known.tolist())
+
+
+def test_only_terms_that_tell_come_to_the_driver(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"own{rng.randrange(10**9)}" for _ in range(200)) + " grumblesome" * (k % 3 == 0)) for k in range(400)]
+    rows += [(400 + k, rows[k % 4][1]) for k in range(100)] + [(500, ""), (501, None)]
+    truth = [(i, int("grumblesome" in (t or ""))) for i, t in rows]
+    seen = []
+    fit = toxicity.fit
+    toxicity.fit = lambda rows, seed=7: seen.append(rows) or fit(rows, seed)
+    try:
+        got = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(truth, "doc_id long, toxic int"))
+    finally:
+        toxicity.fit = fit
+    learned = [(toxicity.terms(t), y) for (i, t), (_, y) in zip(rows, truth, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    want = fit(learned)
+    assert len(seen[0]) == len(learned)
+    assert sum(len(t) for t, _ in seen[0]) < 0.05 * sum(len(t) for t, _ in learned)
+    assert set(toxicity.hashes("grumblesome")) <= set(got.known.tolist())
+    assert got.bias == want.bias and (got.known == want.known).all() and (got.linear == want.linear).all() and (got.factors == want.factors).all()
+
+
+def test_fit_without_terms_or_without_telling_ones(spark):
+    nothing = np.zeros(0, np.uint32)
+    assert toxicity.fit([]).score("a") < 1e-9 and abs(toxicity.fit([(nothing, 1), (nothing, 0)]).score("a") - 0.5) < 1e-6
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    for text in ("", "the same words"):
+        docs = spark.createDataFrame([(k, text) for k in range(40)], "doc_id long, text string")
+        rows = [(toxicity.terms(text), k % 2) for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+        got, want = toxicity.learn(docs, labels), toxicity.fit(rows)
+        assert got.bias == want.bias and not len(got.known) and not len(want.known)
+    assert len(toxicity.learn(docs.limit(0), labels).known) == 0
