@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import block_naming, chat, langid, ngram_join, packing, piece_lattice, pii, sharding, toxicity, transport_stream
+from tarnfold.llm import block_naming, chat, langid, ngram_join, packing, periodic_runs, piece_lattice, pii, prefix_trie, sharding, token_counts, toxicity, transport_stream
 from tarnfold.llm.common import table
 
 
@@ -51,9 +51,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_media, op4_pii, op5_pieces, op6_block_naming, op7_toxicity, op8_chat, op9_ngram_join, op10_langid)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_media, op4_pii, op5_pieces, op6_block_naming, op7_toxicity, op8_chat, op9_ngram_join, op10_langid, op11_prefix_trie, op12_periodic_runs, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_block_naming": block_naming.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op9_ngram_join": ngram_join.ORACLE_SQL}
+    return {"op6_block_naming": block_naming.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op9_ngram_join": ngram_join.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
