@@ -10,9 +10,8 @@ lattices: the search runs on a word, once for each distinct word a worker meets,
 a text combine its words' N best lists. Among the N best at most N - 1 words leave their best
 segmentation, and they are among the N - 1 words whose second best costs least, which makes
 the combination exact however long the text. So most words need no more than the search's first result
-and the next total on its queue. With exact heuristics the first result goes by each place's best edge
-from the end to the beginning, and the queue then holds the other edges into those places:
-``_first`` makes that part of the search without a queue, ``best`` the whole of it.
+and the next total on its queue: the same search, asked for one result. Time and memory are linear in a
+word's length, whatever N: results are told by the places where they leave the best edges.
 
 Scores are whole numbers of ``1 / UNIT``, so that sums and ties are exact. A unigram model has log
 probabilities. The scores of a BPE model are the ranks of its merges, which do not add up; a piece of
@@ -39,7 +38,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import public_tokenizers
@@ -57,9 +56,10 @@ PENALTY = 10 * UNIT
 ZIPF = 50  # added to ranks, as frequencies are flatter among the first
 LASTING, PASSING = 300_000, 200_000  # words a worker keeps, and words it keeps for a while
 LISTS = 50_000  # words whose N best a worker keeps
+LONG = 256  # characters of a word that is not kept beyond a batch
 _SPLIT = re.compile(" *[^ ]+| +")
 
-Segmentation = tuple[int, tuple[int, ...]]
+Segmentation = tuple[int, bytes]
 NEVER = -(1 << 62)
 
 
@@ -67,6 +67,7 @@ class Lattice:
     def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], lowest: int, n: int = N):
         self.pieces, self.byte_ids, self.n = pieces, byte_ids, n
         self.unknown = lowest - PENALTY
+        self.longest = max(map(len, pieces), default=1)
         written = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         each = [written.get(i, b"") for i in range(max(written, default=0) + 1)]
         self._bytes_of = np.frombuffer(b"".join(each), np.uint8)
@@ -76,57 +77,31 @@ class Lattice:
         self._lasting: dict[str, int] = {}
         self._passing: dict[str, int] = {}
         self._lists: dict[str, list[Segmentation]] = {}
+        self._long: list[str] = []
         self._ids: list[bytes] = []
         self._scores, self._gaps = array("q"), array("q")
 
     def _bytes(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
 
-    def edges(self, word: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """For each end the edges that end there: start, score, ids. Spaces of the word stand for marks."""
-        marked = word.replace(MARK, "\x00").replace(" ", MARK)
-        size, known = len(marked), self._known
-        out: list[list] = [[] for _ in range(size + 1)]
-        for i in range(size):
-            alone, j = True, i + 1
-            while j <= size and (hit := known.get(marked[i:j])) is not None:
-                if hit:
-                    out[j].append((i, hit[1], (hit[0],)))
-                    alone &= j > i + 1
-                j += 1
-            if alone:  # no piece for this character alone
-                out[i + 1].append((i, self.unknown, self._bytes(word[i])))
+    def into(self, word: str, marked: str, j: int) -> list[tuple[int, int, int]]:
+        """The edges that end at ``j``: last id, start, score. No two of them have one last id. A piece for the last character alone, or its bytes, is always among them."""
+        out, known = [], self._known.get
+        for i in range(max(0, j - self.longest), j):
+            if hit := known(marked[i:j]):
+                out.append((hit[0], i, hit[1]))
+        if not out or out[-1][1] < j - 1:
+            out.append((self._bytes(word[j - 1])[-1], j - 1, self.unknown))
         return out
 
-    def best(self, word: str) -> list[Segmentation]:
-        """The N best segmentations of a word, the best first."""
-        edges = self.edges(word)
-        size = len(word)
-        forward = [0] * (size + 1)
-        for j in range(1, size + 1):
-            forward[j] = max(forward[i] + s for i, s, _ in edges[j])
-        queue: list = [(-forward[size], (), size, 0)]
-        out: list[Segmentation] = []
-        while queue and len(out) < self.n:
-            _, back, end, got = heapq.heappop(queue)  # back: ids from the last to the first
-            if not end:
-                out.append((got, back[::-1]))
-                continue
-            for i, s, own in edges[end]:
-                heapq.heappush(queue, (-(forward[i] + s + got), back + own[::-1], i, s + got))
-        return out
-
-    def _listed(self, word: str) -> list[Segmentation]:
-        """``best``, kept for words that are asked for again."""
-        got = self._lists.get(word)
-        if got is None:
-            if len(self._lists) >= LISTS:
-                self._lists.clear()
-            got = self._lists[word] = self.best(word)
-        return got
+    def search(self, word: str, n: int) -> tuple[list[Segmentation], int]:
+        """The n best segmentations of a word from the best on, their ids as 32-bit bytes, and how much less than the first the next total is.
 
-    def _first(self, word: str) -> tuple[bytes, int, int]:
-        """The first result of the search, its score, and how much less the next total on the queue is."""
+        Viterbi scores of all prefixes come first, with the best edge into each place (of equal ones that with the least id) and the total of the
+        next best. The search then goes backwards. With exact scores ahead of it, a partial result's best continuation is by best edges alone,
+        so a complete result is told by the few places where it leaves them: its turns. Taking a result off the queue
+        puts on it what leaves that result at a later place, as losses against the best total; no more of these are kept than are still asked for.
+        """
         marked = word.replace(MARK, "\x00").replace(" ", MARK)
         size, known, unknown = len(marked), self._known.get, (-1, self.unknown)
         forward, next_, began, piece = [0] + [NEVER] * size, [NEVER] * (size + 1), [0] * (size + 1), [0] * (size + 1)
@@ -139,8 +114,10 @@ class Lattice:
                     z = here + s
                     if z > forward[j]:
                         next_[j], forward[j], began[j], piece[j] = forward[j], z, i, at
-                    elif z > next_[j]:
+                    elif z >= next_[j]:
                         next_[j] = z
+                        if z == forward[j] and (at if at >= 0 else self._bytes(word[i])[-1]) < piece[j]:
+                            began[j], piece[j] = i, at
                 if hit is None or j == size:
                     break
                 j += 1
@@ -154,26 +131,85 @@ class Lattice:
                 ids.append(at)
             else:
                 ids += self._bytes(word[j])[::-1]
-        if not gap:
-            return array("I", self.best(word)[0][1]).tobytes(), forward[size], 0
-        return array("I", ids[::-1]).tobytes(), forward[size], gap
+        out = [(forward[size], array("I", ids[::-1]).tobytes())]
+        if n == 1 or gap == -NEVER:
+            return out, gap
+
+        def leaving(loss: int, order: tuple, turns: tuple, j: int) -> Iterator[tuple]:
+            """What leaves the best edges at ``j`` or before: loss, a key that orders equal losses by ids from the end, turns, the place it goes on from."""
+            while j:
+                if next_[j] > NEVER and next_[j] - forward[j] >= worst - loss:
+                    best = piece[j] if piece[j] >= 0 else self._bytes(word[j - 1])[-1]
+                    for at, i, s in self.into(word, marked, j):
+                        if at != best:
+                            yield loss + forward[j] - forward[i] - s, (*order, (-1, -j, at) if at < best else (1, j, at)), (*turns, (j, i)), i
+                j = began[j]
+
+        queue: list[tuple] = []
+        worst, found = NEVER, (0, (), (), size)
+        while True:
+            left = n - len(out)
+            queue = heapq.nsmallest(left, chain(queue, leaving(*found)), key=lambda x: (x[0], (*x[1], (0,))))
+            if not queue:
+                return out, gap
+            if len(queue) == left:
+                worst = -queue[-1][0]
+            found = queue.pop(0)
+            out.append((forward[size] - found[0], self._spelled(word, marked, began, piece, dict(found[2]))))
+            if len(out) == n:
+                return out, gap
+
+    def _spelled(self, word: str, marked: str, began: list[int], piece: list[int], turns: dict[int, int]) -> bytes:
+        """The ids of the result that goes by best edges but for its turns (end to start)."""
+        ids, j = [], len(word)
+        while j:
+            i = turns.get(j)
+            if i is None:
+                i, at = began[j], piece[j]
+            else:
+                at = self._known[marked[i:j]][0] if self._known.get(marked[i:j]) else -1
+            if at >= 0:
+                ids.append(at)
+            else:
+                ids += self._bytes(word[i])[::-1]
+            j = i
+        return array("I", ids[::-1]).tobytes()
+
+    def _listed(self, word: str) -> list[Segmentation]:
+        """The N best of a word, kept for words that are asked for again."""
+        got = self._lists.get(word)
+        if got is None:
+            got = self.search(word, self.n)[0]
+            if len(word) > LONG:
+                return got
+            if len(self._lists) >= LISTS:
+                self._lists.clear()
+            self._lists[word] = got
+        return got
 
     def _number(self, word: str) -> int:
-        """The place of a word among those met; words met while the lasting places are full keep theirs until ``forget``."""
+        """The place of a word among those met; words met while the lasting places are full, and long ones, keep theirs until ``forget``."""
         at = self._lasting.get(word)  # it may have come earlier in the same text
         if at is None:
             at = self._passing.get(word)
         if at is None:
-            ids, score, gap = self._first(word)
+            [(score, ids)], gap = self.search(word, 1)
             at = len(self._ids)
             self._ids.append(ids)
             self._scores.append(score)
             self._gaps.append(gap)
-            (self._lasting if at < LASTING else self._passing)[word] = at
+            if len(word) > LONG:
+                self._long.append(word)
+            (self._lasting if at < LASTING and len(word) <= LONG else self._passing)[word] = at
         return at
 
     def forget(self) -> None:
-        """Drops the words beyond the lasting places, once they are many."""
+        """Drops long words, and the words beyond the lasting places once they are many."""
+        for word in self._long:
+            at = self._passing.pop(word)
+            if at < LASTING:
+                self._ids[at] = b""
+        self._long.clear()
         if len(self._passing) > PASSING:
             self._passing.clear()
             del self._ids[LASTING:], self._scores[LASTING:], self._gaps[LASTING:]
@@ -198,7 +234,7 @@ class Lattice:
         out = []
         for loss, pick in ways:
             for i, c, options in zip(at, pick, lists, strict=True):
-                parts[i] = array("I", options[c][1]).tobytes()
+                parts[i] = options[c][1]
             out.append((total - loss, b"".join(parts)))
         return out
 

@@ -1,3 +1,7 @@
+import random
+import time
+import tracemalloc
+
 import numpy as np
 import sentencepiece
 from hypothesis import given, settings
@@ -7,9 +11,22 @@ from tarnfold.llm import piece_lattice as pl
 from tests.llm.helpers import awkward, empty
 
 
+def edges_of(own, word):
+    """For each end the edges that end there: start, score, ids; every stretch is looked up."""
+    marked = word.replace(pl.MARK, "\x00").replace(" ", pl.MARK)
+    out = [[] for _ in range(len(word) + 1)]
+    for i in range(len(word)):
+        for j in range(i + 1, len(word) + 1):
+            if hit := own._known.get(marked[i:j]):
+                out[j].append((i, hit[1], (hit[0],)))
+            elif j == i + 1:
+                out[j].append((i, own.unknown, tuple(own.byte_ids[b] for b in word[i].encode())))
+    return out
+
+
 def every(own, word):
     """All segmentations of a marked text, by recursion."""
-    edges = own.edges(word)
+    edges = edges_of(own, word)
 
     def back(end):
         if not end:
@@ -45,15 +62,30 @@ def test_order_of_a_words_best_with_ties(word, scores):
     pieces = {p: (i, s if not scores else -5 * (len(p) if scores == 2 else 1)) for p, (i, s) in ((p, x) for p, x in whole._known.items() if x)}
     own = pl.Lattice(pieces, whole.byte_ids, min(s for _, s in pieces.values()))
     want = every(own, " " + word)
-    assert own.best(" " + word) == want[: own.n]
-    ids, best, gap = own._first(" " + word)
-    assert (best, tuple(np.frombuffer(ids, "<u4").tolist())) == want[0]
+    for n in (1, 2, own.n, 9):
+        found, gap = own.search(" " + word, n)
+        assert [(s, tuple(np.frombuffer(ids, "<u4").tolist())) for s, ids in found] == want[:n]
     assert gap == (want[0][0] - want[1][0] if len(want) > 1 else -pl.NEVER) or gap > 1 << 61 and len(want) == 1
 
 
 def test_ties_go_by_ids_from_the_end():
     own = pl.Lattice({"a": (8, -1), "bc": (2, -1), "ab": (1, -1), "c": (9, -1)}, list(range(100, 356)), -1)
-    assert own.best("abc")[:2] == [(-2, (8, 2)), (-2, (1, 9))]
+    assert [(s, np.frombuffer(ids, "<u4").tolist()) for s, ids in own.search("abc", 2)[0]] == [(-2, [8, 2]), (-2, [1, 9])]
+
+
+def test_long_words_take_linear_time_and_memory():
+    rng = random.Random(4)
+    for word in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(100_000)), "a" * 100_000, "漢\u0378" * 20_000):
+        own = pl.lattice()
+        tracemalloc.start()
+        began = time.time()
+        got = own.encode(word)
+        took, most = time.time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == (1 if word[0] == "漢" and "漢" not in own.pieces else own.n) and [s for s, _ in got] == sorted((s for s, _ in got), reverse=True) and own.decode(got[-1][1]) == word
+        assert most < 200e6 and took < 20  # tracing makes it several times slower
+        own.forget()
+        assert not own._long and word not in own._passing and " " + word not in own._passing
 
 
 def test_ids_of_the_library_decode_alike(spark, sf):
