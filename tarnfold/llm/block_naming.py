@@ -94,12 +94,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sha = F.sha2(normalised(text).cast("binary"), 256)
     found = stage(groups(docs, key, text).withColumnRenamed("text_sha256", "sha"), "block-found")
     out = keep_rows(docs, found, key, sha)
-    repeated = found.groupBy(key, "sha").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(key).alias("__rep_key")).distinct()
+    repeated = found.groupBy(key, "sha").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col(key).alias("again")).distinct()
     if repeated.isEmpty():
         return out
-    again = F.col(key).eqNullSafe(F.col("__rep_key"))
-    once = out.join(repeated, again, "left_semi").withColumn("__sha", sha).dropDuplicates([key, "__sha"]).drop("__sha")
-    return out.join(repeated, again, "left_anti").unionByName(once)
+    rows = out.select(F.struct("*").alias("row"), F.col(key).alias("key"), sha.alias("sha"))
+    again = F.col("key").eqNullSafe(F.col("again"))
+    once = rows.join(repeated, again, "left_semi").groupBy("key", "sha").agg(F.first("row").alias("row"))
+    return rows.join(repeated, again, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 ORACLE_SQL = f"""

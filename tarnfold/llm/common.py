@@ -74,18 +74,18 @@ BUCKETS = 1 << 20
 
 
 def keep_rows(docs: DataFrame, found: DataFrame, key: str, sha: Column) -> DataFrame:
-    """The rows of ``docs`` that ``found`` (key, sha, kept) keeps.
+    """The rows of ``docs`` that ``found`` (key, sha, kept) keeps; rows travel whole in a column of their own, so that no name of theirs can clash.
 
     Rows whose digest shares none of ``BUCKETS`` buckets with a row to drop stay where they are; only the
     others are looked up by key and digest.
     """
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    kept = found.where("kept").select(F.col(key).alias("__keep_key"), F.col("sha").alias("__keep_sha"))
-    drop = F.broadcast(found.where("not kept").select(bucket("sha").alias("__bucket")).distinct())  # BUCKETS rows at most
-    marked = docs.withColumn("__sha", sha).withColumn("__bucket", bucket("__sha"))
-    clear, rest = marked.join(drop, "__bucket", "left_anti"), marked.join(drop, "__bucket", "left_semi")
-    rest = rest.join(kept, F.col(key).eqNullSafe(F.col("__keep_key")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    return clear.select(docs.columns).unionByName(rest.select(docs.columns))
+    kept = found.where("kept").select(F.col(key).alias("keep_key"), F.col("sha").alias("keep_sha"))
+    drop = F.broadcast(found.where("not kept").select(bucket("sha").alias("bucket")).distinct())  # BUCKETS rows at most
+    marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), sha.alias("sha")).withColumn("bucket", bucket("sha"))
+    clear, rest = marked.join(drop, "bucket", "left_anti"), marked.join(drop, "bucket", "left_semi")
+    rest = rest.join(kept, F.col("key").eqNullSafe(F.col("keep_key")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
+    return clear.select("row.*").unionByName(rest.select("row.*"))
 
 
 def width(spark: SparkSession) -> int:

@@ -4,7 +4,7 @@ A text is the set of its hashed terms: words without punctuation, and their firs
 letters. The machine adds to the linear weights an inner product for every pair of terms, learned
 through a few factors per term, so that an insult beside a group mention can weigh more than both
 alone. It is fitted on a bounded sample of labelled rows (``ROWS`` at most, those with the smallest
-hashes of their ids), over all terms there whose share of toxic rows differs clearly from the base
+hashes of their ids), over all terms there whose share of toxic rows, with ``PRIOR`` rows at the base rate added, differs by ``CLEAR`` standard errors from the base
 rate, or from the rate among rows that hold a term of more toxic rows than that: the second test
 finds what tells nothing alone and much beside an insult. Terms are told apart by 32 bits, so a chance
 collision with a weighty term is a matter of one text in millions. Every text is scored whole.
@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.llm.common import give_back, ship
@@ -35,7 +35,7 @@ ROWS = 12_000  # labelled rows that a machine is fitted on, at most
 FACTORS = 4
 EPOCHS = 12
 CLEAR = 4.0  # standard errors between a term's toxic share and the rate it is held against
-LEAST = 3  # rows that a term is judged by, at least
+PRIOR = 2.0  # rows at the base rate that every term is taken to have been seen in besides
 
 _EDGE = re.compile(r"[\W_]+")
 
@@ -98,7 +98,7 @@ def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         known = np.union1d(known, np.unique(np.concatenate(rows[k : k + 2048])))
 
     def off(inside: np.ndarray) -> np.ndarray:
-        """Signed standard errors of each term's toxic rows among the rows inside, 0 for rarer terms."""
+        """Signed standard errors of each term's toxic rows among the rows inside, drawn towards 0 for rare terms."""
         if not inside.any():
             return np.zeros(len(known))
         base = float(np.clip(y[inside].mean(), 1e-3, 1 - 1e-3))
@@ -108,7 +108,7 @@ def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
             n[at] += 1
             if y[k] > 0:
                 t[at] += 1
-        return np.where(n >= LEAST, (t - n * base) / np.sqrt(np.maximum(n, 1) * base * (1 - base)), 0.0)
+        return (t - n * base) / np.sqrt((n + PRIOR) * base * (1 - base))
 
     alone = off(np.ones(len(rows), bool))
     high = alone >= CLEAR
@@ -214,26 +214,26 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
     return fit(Cut([(np.frombuffer(t, np.uint32), y) for t, y in zip(got["terms"], got["y"], strict=True)], got["digest"]))
 
 
-def with_score(docs: DataFrame, machine: Machine, name: str = "__toxicity") -> DataFrame:
-    """The same rows and columns with a score more."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+def score_of(machine: Machine, text: Column, spark: SparkSession) -> Column:
+    """The score of a column of texts."""
+    ship(spark)
+    sent = spark.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
     def score(column):
         m = sent.value
         return column.map(m.score).astype("float64")
 
-    return docs.withColumn(name, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     narrow = docs.select("doc_id", "text")
-    return with_score(narrow, learn(narrow, labels), "score").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = narrow.select("doc_id", score_of(learn(narrow, labels), F.col("text"), docs.sparkSession).alias("score"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the machine, learned from these documents and labels, does not call toxic."""
-    out = with_score(docs, learn(docs, labels))
-    return out.where("__toxicity < 0.5").drop("__toxicity")
+    return docs.where(score_of(learn(docs, labels), docs["text"], docs.sparkSession) < 0.5)

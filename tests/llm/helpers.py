@@ -1,6 +1,9 @@
 """Documents with every awkward case: nulls, empty and long texts, repeated rows, ties, clashing columns."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, kept boolean"
+#: Names that operators use inside, as a table may have them too.
+NAMES = ("row", "key", "sha", "bucket", "name", "rid", "rep", "n", "label", "body", "digest", "__sha", "__bucket", "__toxicity", "__id", "__text", "a.b")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, kept boolean, " + ", ".join(f"`{x}` string" for x in NAMES)
+OWN = [f"own {x}" for x in NAMES]
 
 
 def awkward(spark, extra=()):
@@ -17,8 +20,13 @@ def awkward(spark, extra=()):
         (8, "reach me at foo.bar@mail.example.com or +1 (555) 123-4567, 4111 1111 1111 1111 from 10.0.0.1", "en"),
         *extra,
     ]
-    return spark.createDataFrame([(i, t, g, "s", None, 0.5, 3, True) for i, t, g in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, g, "s", None, 0.5, 3, True, *OWN) for i, t, g in rows], SCHEMA)
 
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def intact(kept, docs, text="text"):
+    """Whether a stage's rows have the columns and the other values of its input."""
+    return kept.schema.simpleString() == docs.schema.simpleString() and all(list(r)[-len(OWN) :] == OWN and r.source == "s" and r.score == 0.5 and r.shard == 3 for r in kept.collect())

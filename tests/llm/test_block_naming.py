@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from tarnfold.llm import block_naming
-from tests.llm.helpers import awkward, empty
+from tests.llm.helpers import awkward, empty, intact
 
 
 def lowered(t):
@@ -34,7 +34,7 @@ def test_awkward(spark):
     assert all(r.keep_id == 4 and r.group_size == 3 for r in nothing) and sum(r.kept for r in nothing) == 1
     assert {r.doc_id for r in rows if r.kept} == {2, 4, None, 5, 6, 7, 8}
     kept = block_naming.deduplicate(docs)
-    assert kept.columns == docs.columns
+    assert intact(kept, docs)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 8]
     assert block_naming.groups(empty(spark)).count() == 0 and block_naming.deduplicate(empty(spark)).count() == 0
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from tarnfold.llm import ngram_join as nj
-from tests.llm.helpers import awkward, empty
+from tests.llm.helpers import awkward, empty, intact
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,7 +93,7 @@ def test_awkward(spark):
     by = {(r.doc_id, r.n_shingles): r.component_id for r in rows}
     assert by[(1, 5)] == by[(2, 5)] == 1 and by[(3, 0)] == 3 and by[(4, 0)] == 4 and by[(7, 1)] == 7
     kept = nj.one_of_each(docs)
-    assert kept.columns == docs.columns
+    assert intact(kept, docs)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 4, 5, 6, 7, 8]
     assert nj.groups(empty(spark)).count() == 0 and nj.one_of_each(empty(spark)).count() == 0
 

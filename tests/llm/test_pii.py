@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tarnfold.llm import pii
-from tests.llm.helpers import awkward, empty
+from tests.llm.helpers import awkward, empty, intact
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
@@ -57,7 +57,7 @@ def test_awkward(spark):
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
     assert all(x.spans == "" for x in rows if x.doc_id in (3, 4))
     clean = pii.mask(docs)
-    assert clean.columns == docs.columns and clean.count() == 10
+    assert intact(clean, docs) and clean.count() == 10
     got = {x.doc_id: x.text for x in clean.collect()}
     assert got[3] is None and "[EMAIL]" in got[8] and "4111" not in got[8]
     assert pii.spans(empty(spark)).count() == 0 and pii.mask(empty(spark)).count() == 0
