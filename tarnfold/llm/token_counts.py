@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnfold.llm.common import shared_dir, ship, text_or_empty
+from tarnfold.llm.common import shared_dir, ship, stage, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
@@ -132,5 +132,6 @@ def counts(docs: DataFrame, cache: str | None = None, key: str = "doc_id", text:
     cache = cache or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     fill(docs, cache, text, vocabulary)
     body = text_or_empty(text)
-    rows = docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(normal_form(body), 256)).alias("digest"))
-    return rows.join(stored(spark, cache, version_of(vocabulary)), "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = stage(docs.select(F.col(key).alias("key"), F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(normal_form(body), 256)).alias("digest")), "token-count-rows")
+    found = stage(rows.select("digest").distinct().join(stored(spark, cache, version_of(vocabulary)), "digest"), "token-counts-found")  # distinct and written, so that a hot digest's rows can be split
+    return rows.join(found, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
