@@ -26,7 +26,7 @@ SCRIPT_WORDS = (
 LINK = r"!?\[[^\]]+\]\(([^)\t\n\f\r ]+)"
 INCLUDE = r"(?:\{\{[\t\n\f\r ]*(?:include|>)[\t\n\f\r ]+|\[\[)([^}\]\t\n\f\r ]+)"
 
-_HEADING = r"(?d)^(#{1,6})[\t\n\f\r ]+(.+?)[\t\n\f\r ]*#*[\t\n\f\r ]*$"
+_WHITE = "\t\n\f\r "
 
 
 def trim_ws(c: Column) -> Column:
@@ -74,13 +74,26 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^\./", "")
 
 
+def _heading(line: Column) -> tuple[Column, Column]:
+    """The marks and the title of a heading line, both empty for other lines; every step is linear in the line."""
+    line = F.rtrim(line, F.lit(" \t"))
+    marks = F.regexp_extract(line, r"^(#{1,6}+)(?=[\t\n\f\r ])", 1)
+    rest = F.substring(line, F.char_length(marks) + 1, F.char_length(line))
+    title = F.ltrim(rest, F.lit(_WHITE))
+    bare = F.rtrim(F.rtrim(F.rtrim(title, F.lit(_WHITE)), F.lit("#")), F.lit(_WHITE))
+    blank = F.when(F.char_length(rest) > 1, F.right(rest, F.lit(1))).otherwise("")  # a title of white space alone keeps its last character
+    title = F.when(title == "", blank).when(bare == "", F.left(title, F.lit(1))).otherwise(bare)
+    lone = F.when((marks == "") | F.contains(line, F.lit("\n")), "").otherwise(title)
+    return F.when(lone == "", "").otherwise(marks), lone
+
+
 def heading_level(line: Column) -> Column:
     """1 to 6 for a heading, else 0."""
-    return F.char_length(F.regexp_extract(F.regexp_replace(line, r"[ \t]+\z", ""), _HEADING, 1))
+    return F.char_length(_heading(line)[0])
 
 
 def heading_title(line: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(line, r"[ \t]+\z", ""), _HEADING, 2)
+    return _heading(line)[1]
 
 
 def signature(body: Column) -> Column:

@@ -109,6 +109,43 @@ function log@(a) { return a; }
 """
 
 
+#: Pieces of script files; a file has those whose bit of its key is not set. ``~`` is the key, ``%`` the part's name.
+SCRIPT_PIECES = (
+    """import { helper } from "./helper~";
+const quotes~ = raw.replace(/["'`]/g, "%").split(/[/"]+/);
+export function first~() { return quotes~.length / 2 / 1; }""",
+    """// prints
+export const print~ = (x: string): string => `a ${`b ${x} }`} % `;""",
+    """  export async function* indented~<T>(a: Array<Map<string, T>> = /}/ as any)
+{
+  yield a
+}
+var lone~ = 1; function second~() {}""",
+    """export default class Shelf~<T extends Base> extends Rack<T> implements Store, Named {
+  private readonly label?: string = "%";
+  static { register() }
+  @logged({ deep: [1] }) async find<K>(key: K): Promise<T | undefined> { return this.all.find(x => x < key) }
+  get size(): number { return this.all.length }
+  [key: string]: unknown;
+}""",
+    """const View~ = ({ items }: Props) => <ul title="%">don't {items.map(i => <li key={i}>{`${i} "`}</li>)}</ul>
+function after~(a, b) { return a < b }""",
+    """export type Shape~ =
+  | { kind: "%" }
+  | Other<Shape~[]>;
+interface Wide~<T> extends Shape<T> { (x: T): `a${string}` }
+enum Level~ { Low = 1, High = Low << 2 }""",
+)
+
+
+def mixed_script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a script file for every part, of pieces that its key picks."""
+    key = F.col("p_partkey")
+    picked = (F.when(key.bitwiseAND(F.lit(1 << k)) == 0, F.lit(piece)) for k, piece in enumerate(SCRIPT_PIECES))
+    text = F.replace(F.replace(F.concat_ws("\n\n", *picked), F.lit("~"), key.cast("string")), F.lit("%"), F.col("p_name"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("script/m"), key.cast("string"), F.lit(".tsx")).alias("path"), text.alias("content"))
+
+
 def _coded(spark: SparkSession, sf_dir: str, name: str, file: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     return read(spark, sf_dir, "part").select(F.replace(F.lit(name), F.lit("@"), key).alias("path"), F.replace(F.lit(file), F.lit("@"), key).alias("content"))

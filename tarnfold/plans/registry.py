@@ -302,6 +302,12 @@ def go_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(corpus.go_files(spark, sf_dir))
 
 
+def script_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script files of pieces that a part's key picks: regular expressions with quotes, nested templates, elements, decorators, types over lines, several statements in a line."""
+    ship(spark)
+    return code.chunks(corpus.mixed_script_files(spark, sf_dir)).select("path", "ordinal", "kind", "name", F.md5("body").alias("body"))
+
+
 def script_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script file for every part: members of every kind of name, accessors, several declarators, a nameless default."""
     return _chunks(corpus.script_files(spark, sf_dir))
@@ -337,7 +343,7 @@ _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
-    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, code_edits, named_blocks, metric_statuses, chunk_kinds,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, code_edits, named_blocks, metric_statuses, chunk_kinds,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tarnfold.functions.text import SCRIPT_WORDS
 from tarnfold.operators.loops import RETRY
-from tarnfold.plans.corpus import GO_FILE, SCRIPT_FILE
+from tarnfold.plans.corpus import GO_FILE, SCRIPT_FILE, SCRIPT_PIECES
 
 _WORDS = ", ".join(f"'{w}'" for w in SCRIPT_WORDS)
 PROMPT = "Compare the small ring with the hot gear, then look at the blue bolt."
@@ -21,17 +21,34 @@ _BOX = SCRIPT_FILE[: SCRIPT_FILE.index("\n\nexport const")]
 _BOTH = "export const one@ = () => 1, two@ = async (x) => x, three@ = 3;"
 _SCRIPT = (
     ("Class", "Box@", _BOX, "Box@ Symbol constructor drop get holds it iterator name odd size value"),
-    ("Method", "Box@.constructor", "  constructor(v) { this.value = v; }", "constructor value"),
-    ("Method", "Box@.get size", "  get size() { return 1; }", "get size"),
-    ("Method", "Box@.delete", "  delete(k) { return drop(k); }", "drop"),
-    ("Method", "Box@.get", '  get(k) { return "}"; }', "get"),
-    ("Method", "Box@.odd name", "  async 'odd name'() { }", "name odd"),
-    ("Method", "Box@.[Symbol.iterator]", "  [Symbol.iterator]() { return it(); }", "Symbol it iterator"),
+    ("Method", "Box@.constructor", "constructor(v) { this.value = v; }", "constructor value"),
+    ("Method", "Box@.get size", "get size() { return 1; }", "get size"),
+    ("Method", "Box@.delete", "delete(k) { return drop(k); }", "drop"),
+    ("Method", "Box@.get", 'get(k) { return "}"; }', "get"),
+    ("Method", "Box@.odd name", "async 'odd name'() { }", "name odd"),
+    ("Method", "Box@.[Symbol.iterator]", "[Symbol.iterator]() { return it(); }", "Symbol it iterator"),
     ("Function", "one@", _BOTH, "one@ three@ two@"),
     ("Function", "two@", _BOTH, "one@ three@ two@"),
     ("Function", "log@", "function log@(a) { return a; }", "log@"),
 )
 
+_SHELF = SCRIPT_PIECES[3].split("\n")
+_TYPE, _WIDE = SCRIPT_PIECES[5].split("interface")
+# What the pieces hold, by hand: piece, kind, name, body.
+_PIECES = (
+    (0, "Function", "first~", SCRIPT_PIECES[0].split("\n")[2]),
+    (1, "Function", "print~", SCRIPT_PIECES[1]),
+    (2, "Function", "indented~", SCRIPT_PIECES[2].split("\nvar")[0].strip()),
+    (2, "Function", "second~", "function second~() {}"),
+    (3, "Class", "Shelf~", SCRIPT_PIECES[3]),
+    (3, "Method", "Shelf~.find", _SHELF[3].strip()),
+    (3, "Method", "Shelf~.get size", _SHELF[4].strip()),
+    (4, "Function", "View~", SCRIPT_PIECES[4].split("\n")[0]),
+    (4, "Function", "after~", SCRIPT_PIECES[4].split("\n")[1]),
+    (5, "Type", "Shape~", _TYPE.strip()),
+    (5, "Interface", "Wide~", ("interface" + _WIDE).split("\nenum")[0]),
+)
+
 
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -259,6 +276,10 @@ SELECT c_custkey AS scenario, 'PASS' AS wanted, verdict, CASE WHEN verdict IS NU
     "archive_json": """SELECT CASE WHEN event_id % 2 = 0 THEN 'fix' ELSE 'task' END || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
   '{"description":"' || event_type || '","outcome":"verify-passed","passed":' || CASE WHEN event_type <> 'error' THEN 'true' ELSE 'false' END || ',"rounds":3' || CASE WHEN event_id % 2 = 0 THEN ',"tag":"fix"' ELSE '' END || '}' AS summary FROM events""",
     "go_chunks": f"WITH {_coded('go/p@.go', _GO)} SELECT * FROM coded",
+    "script_mixed": f"""WITH pieces(place, piece, kind, name, body) AS (VALUES {", ".join(f"({k}, {p}, '{kind}', '{name}', {_sql(body)})" for k, (p, kind, name, body) in enumerate(_PIECES))})
+SELECT 'script/m' || p_partkey || '.tsx' AS path, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1 AS INT) AS ordinal, kind, replace(name, '~', CAST(p_partkey AS VARCHAR)) AS name,
+  md5(replace(replace(body, '~', CAST(p_partkey AS VARCHAR)), '%', p_name)) AS body
+FROM part JOIN pieces ON ((p_partkey >> piece) & 1) = 0""",
     "script_chunks": f"WITH {_coded('script/p@.ts', _SCRIPT)} SELECT * FROM coded",
     "code_edits": f"""WITH f AS (SELECT p_partkey AS k, replace({_sql(GO_FILE)}, '@', CAST(p_partkey AS VARCHAR)) AS content FROM part)
 SELECT CAST(k AS INT) AS seq, 'go/p' || k || '.go' AS path, CASE k % 3 WHEN 0 THEN 'applied' ELSE 'validation' END AS outcome, CAST(CASE k % 3 WHEN 0 THEN 1 ELSE 0 END AS INT) AS n_affected,
