@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.functions.shared import own_folder
+from tarnfold.plans.workers import ship
+from tarnfold.sources import edited
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +50,34 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return files, later
 
 
+def written(files: DataFrame, name: str) -> str:
+    """Files (path, content) written below a new shared folder by the executors; the folder."""
+    ship(files.sparkSession)
+    root = own_folder(files.sparkSession, name)
+    changes = edited.spread(files.sparkSession, files.select("path", "content", F.lit(None).cast("string").alias("before"), F.lit(1).cast("long").alias("mtime"))).checkpoint()
+    transaction = edited.stage(changes, root)
+    edited.publish(changes, root, transaction).write.format("noop").mode("overwrite").save()
+    edited.forget(root, transaction)
+    return root
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: documents in folders by source and number, some of them below folders that no listing enters, or of no supported kind."""
+    d, key = read(spark, sf_dir, "documents"), F.col("doc_id")
+    folder = F.when(key % 10 == 0, ".git").when(key % 10 == 1, "node_modules").otherwise(F.concat(F.lit("n"), (key % 7).cast("string")))
+    name = F.concat(F.when(key % 4 == 0, "_").when(key % 4 == 1, ".").otherwise(""), key.cast("string"), F.when(key % 3 == 0, ".txt").when(key % 3 == 1, ".MD").otherwise(".md"))
+    return d.select(F.concat_ws("/", F.col("source"), folder, name).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a session file for every customer, a seventh of them broken, and a skill file for every nation."""
+    c = read(spark, sf_dir, "customer")
+    session = F.to_json(F.struct(F.col("c_name").alias("id"), F.col("c_custkey").alias("ts"), F.col("c_mktsegment").alias("summary")))
+    sessions = c.select(F.concat(F.lit("sessions/"), (F.col("c_custkey") % 9).cast("string"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("path"), F.when(F.col("c_custkey") % 7 == 0, "{").otherwise(session).alias("content"))
+    n = read(spark, sf_dir, "nation")
+    return sessions.unionByName(n.select(F.concat(F.lit("skills/"), "n_name", F.lit(".md")).alias("path"), F.concat(F.lit("Know "), "n_name", F.lit(".\n")).alias("content")))
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, mode, reason, seq: an event is a vote on its user."""
     mode = F.when(F.col("event_type") == "purchase", "FULL").when(F.col("event_type").isin("click", "signup"), "SKELETON").otherwise("IGNORE")

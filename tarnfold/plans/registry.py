@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions import text as tx
+from tarnfold.functions.shared import own_folder
 from tarnfold.operators import audit, catalog, code, edits, loops, markdown, memory, rendering, selection, tools
 from tarnfold.plans import corpus, twins
 from tarnfold.plans.corpus import read
+from tarnfold.plans.engine import Engine
 from tarnfold.plans.workers import ship
+from tarnfold.sources import notes, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROMPT = twins.PROMPT
@@ -324,6 +327,36 @@ def code_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.apply(mods, files, chunks).select("seq", "path", "outcome", F.size("affected").alias("n_affected"), F.md5("content").alias("content"))
 
 
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files that executors wrote, listed level by level and read back."""
+    root = corpus.written(corpus.tree_files(spark, sf_dir), "tree")
+    return tree.with_content(tree.listed(spark, root)).select("path", "ext", F.md5("content").alias("content"))
+
+
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and skills out of files; broken sessions are passed over."""
+    root = corpus.written(corpus.note_files(spark, sf_dir), "notes")
+    sessions = notes.session_files(spark, f"{root}/sessions").select(F.lit("session").alias("what"), F.col("id").alias("name"), "ts", F.col("summary").alias("text"))
+    skills = notes.skill_files(spark, f"{root}/skills").select(F.lit("skill").alias("what"), "name", F.lit(None).cast("long").alias("ts"), F.col("content").alias("text"))
+    return sessions.unionByName(skills)
+
+
+def engine_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog after a tree of Go files was indexed, edited twice a file or deleted, and committed: ids stay with chunks that stay."""
+    engine = Engine(spark, corpus.written(corpus.go_files(spark, sf_dir), "sources"), own_folder(spark, "store"))
+    engine.index(1)
+    before = engine.chunks()
+    key, gone = F.regexp_extract("path", r"(\d+)", 1).cast("int"), F.col("k") % 5 == 0
+    made = before.where("name like 'Make%'").select(key.alias("k"), "id", "path")
+    first = made.select((F.col("k") * 2).alias("seq"), F.when(gone, "DELETE_FILE").otherwise("MODIFY").alias("action"), F.when(~gone, F.col("id")).alias("chunk_id"), F.when(gone, F.col("path")).alias("file_path"), F.when(~gone, F.concat(F.lit("func Make"), "k", F.lit("() {}"))).alias("new_content"))
+    second = made.where(~gone).select((F.col("k") * 2 + 1).alias("seq"), F.lit("ADD_CHUNK").alias("action"), F.lit(None).cast("string").alias("chunk_id"), F.col("path").alias("file_path"), F.concat(F.lit("func Added"), "k", F.lit("() {}")).alias("new_content"))
+    results = engine.apply(first.unionByName(second), 2)
+    good = results.groupBy("path").agg(F.bool_and(F.col("outcome") == "applied").alias("applied"))
+    old = before.select("path", "name", F.col("id").alias("old_id"))
+    now = engine.chunks().join(old, ["path", "name"], "left").select("path", "ordinal", "kind", "name", F.md5("body").alias("body"), F.coalesce(F.col("id") == F.col("old_id"), F.lit(False)).alias("same_id"))
+    return now.join(good, "path", "left")
+
+
 def named_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context blocks with chunks by name, as where no store knows their order."""
     return rendering.file_blocks(*_decided(spark, sf_dir), by="name").select("path", "chunks", F.md5("block").alias("block"))
@@ -343,7 +376,7 @@ _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
-    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, code_edits, named_blocks, metric_statuses, chunk_kinds,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, code_edits, tree_listing, note_files, engine_edits, named_blocks, metric_statuses, chunk_kinds,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

@@ -276,6 +276,12 @@ SELECT c_custkey AS scenario, 'PASS' AS wanted, verdict, CASE WHEN verdict IS NU
     "archive_json": """SELECT CASE WHEN event_id % 2 = 0 THEN 'fix' ELSE 'task' END || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
   '{"description":"' || event_type || '","outcome":"verify-passed","passed":' || CASE WHEN event_type <> 'error' THEN 'true' ELSE 'false' END || ',"rounds":3' || CASE WHEN event_id % 2 = 0 THEN ',"tag":"fix"' ELSE '' END || '}' AS summary FROM events""",
     "go_chunks": f"WITH {_coded('go/p@.go', _GO)} SELECT * FROM coded",
+    "tree_listing": """SELECT source || '/n' || doc_id % 7 || '/' || CASE doc_id % 4 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || doc_id || CASE doc_id % 3 WHEN 1 THEN '.MD' ELSE '.md' END AS path, '.md' AS ext, md5(coalesce(text, '')) AS content
+FROM documents WHERE doc_id % 10 > 1 AND doc_id % 3 > 0""",
+    "note_files": """SELECT 'session' AS what, c_name AS name, c_custkey AS ts, c_mktsegment AS text FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT 'skill', n_name, NULL, 'Know ' || n_name || '.' || chr(10) FROM nation""",
+    "engine_edits": f"""WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 0), c(place, kind, name, body) AS (VALUES {", ".join(f"({k}, '{kind}', '{name}', {_sql(body)})" for k, (kind, name, body, _) in enumerate((*_GO[:4], ("Function", "Make@", "func Make@() {}", ""), ("Function", "Added@", "func Added@() {}", ""))))})
+SELECT 'go/p' || k || '.go' AS path, CAST(place AS INT) AS ordinal, kind, replace(name, '@', CAST(k AS VARCHAR)) AS name, md5(replace(body, '@', CAST(k AS VARCHAR))) AS body, place < 5 AS same_id, TRUE AS applied FROM k, c""",
     "script_mixed": f"""WITH pieces(place, piece, kind, name, body) AS (VALUES {", ".join(f"({k}, {p}, '{kind}', '{name}', {_sql(body)})" for k, (p, kind, name, body) in enumerate(_PIECES))})
 SELECT 'script/m' || p_partkey || '.tsx' AS path, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1 AS INT) AS ordinal, kind, replace(name, '~', CAST(p_partkey AS VARCHAR)) AS name,
   md5(replace(replace(body, '~', CAST(p_partkey AS VARCHAR)), '%', p_name)) AS body
