@@ -170,6 +170,45 @@ enum Level~ { Low = 1, High = Low << 2 }""",
 )
 
 
+#: Pieces of Go files, picked alike; the head goes before them.
+GO_HEAD = "package parts\n\nimport (\n\t\"fmt\"\n\tx \"a/b\"\n)\n\n"
+GO_PIECES = (
+    """// Shelf~ holds
+// what is {.
+type Shelf~ struct {
+	Name, Label string `json:"%"`
+	*Rack
+	sync.Mutex
+	arr [2]int
+}""",
+    """const low~, high~ = iota, "%" + `}`
+
+func (s *Shelf~[T]) Put~(item T, more ...func(a, b int) error) (n int, err error) {
+	for i := range more { if item == (Point{1, i}) { return } }
+	switch t := any(item).(type) { case []int, *Box: s.add(t); default: }
+	return
+}""",
+    """type (
+	// Kind~ is
+	Kind~ = int
+	List~[K comparable, V any] struct{ next *List~[K, V] }
+	Doer~ interface { Do(x.Context) error; int | string }
+)""",
+    """var table~ = map[string][]int{"%": {1, 2}}
+
+func Make~() *Shelf~ { return &Shelf~{Name: fmt.Sprint('{', "}") } }
+func Other~() { go func() { defer done() }() }""",
+)
+
+
+def mixed_go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a Go file for every part, of pieces that its key picks."""
+    key = F.col("p_partkey")
+    picked = (F.when(key.bitwiseAND(F.lit(1 << k)) == 0, F.lit(piece)) for k, piece in enumerate(GO_PIECES))
+    text = F.replace(F.replace(F.concat_ws("\n\n", *picked), F.lit("~"), key.cast("string")), F.lit("%"), F.col("p_name"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("go/m"), key.cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit(GO_HEAD), text, F.lit("\n")).alias("content"))
+
+
 def mixed_script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: a script file for every part, of pieces that its key picks."""
     key = F.col("p_partkey")

@@ -305,6 +305,11 @@ def go_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(corpus.go_files(spark, sf_dir))
 
 
+def go_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Go files of pieces that a part's key picks: embedded fields, type parameters, grouped types, literals in heads, type switches."""
+    return _chunks(corpus.mixed_go_files(spark, sf_dir))
+
+
 def script_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Script files of pieces that a part's key picks: regular expressions with quotes, nested templates, elements, decorators, types over lines, several statements in a line."""
     ship(spark)
@@ -376,7 +381,7 @@ _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
-    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, code_edits, tree_listing, note_files, engine_edits, named_blocks, metric_statuses, chunk_kinds,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, go_mixed, code_edits, tree_listing, note_files, engine_edits, named_blocks, metric_statuses, chunk_kinds,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

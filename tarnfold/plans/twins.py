@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tarnfold.functions.text import SCRIPT_WORDS
 from tarnfold.operators.loops import RETRY
-from tarnfold.plans.corpus import GO_FILE, SCRIPT_FILE, SCRIPT_PIECES
+from tarnfold.plans.corpus import GO_FILE, GO_PIECES, SCRIPT_FILE, SCRIPT_PIECES
 
 _WORDS = ", ".join(f"'{w}'" for w in SCRIPT_WORDS)
 PROMPT = "Compare the small ring with the hot gear, then look at the blue bolt."
@@ -49,6 +49,17 @@ _PIECES = (
     (5, "Interface", "Wide~", ("interface" + _WIDE).split("\nenum")[0]),
 )
 
+_KINDS = GO_PIECES[2].split("\n")
+_GO_MIXED = (
+    (0, "Struct", "Shelf~", GO_PIECES[0], "Mutex"),
+    (1, "Method", "Shelf~.Put~", GO_PIECES[1][GO_PIECES[1].index("func") :], "Point add any"),
+    (2, "Type", "Kind~", "type Kind~ = int", ""),
+    (2, "Struct", "List~", "type " + _KINDS[3].strip(), ""),
+    (2, "Interface", "Doer~", "type " + _KINDS[4].strip(), "Context"),
+    (3, "Function", "Make~", GO_PIECES[3].split("\n")[2], "Shelf~ Sprint fmt"),
+    (3, "Function", "Other~", GO_PIECES[3].split("\n")[3], "done"),
+)
+
 
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -282,6 +293,10 @@ FROM documents WHERE doc_id % 10 > 1 AND doc_id % 3 > 0""",
 UNION ALL SELECT 'skill', n_name, NULL, 'Know ' || n_name || '.' || chr(10) FROM nation""",
     "engine_edits": f"""WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 0), c(place, kind, name, body) AS (VALUES {", ".join(f"({k}, '{kind}', '{name}', {_sql(body)})" for k, (kind, name, body, _) in enumerate((*_GO[:4], ("Function", "Make@", "func Make@() {}", ""), ("Function", "Added@", "func Added@() {}", ""))))})
 SELECT 'go/p' || k || '.go' AS path, CAST(place AS INT) AS ordinal, kind, replace(name, '@', CAST(k AS VARCHAR)) AS name, md5(replace(body, '@', CAST(k AS VARCHAR))) AS body, place < 5 AS same_id, TRUE AS applied FROM k, c""",
+    "go_mixed": f"""WITH pieces(place, piece, kind, name, body, refs) AS (VALUES {", ".join(f"({k}, {p}, '{kind}', '{name}', {_sql(body)}, '{refs}')" for k, (p, kind, name, body, refs) in enumerate(_GO_MIXED))})
+SELECT 'go/m' || p_partkey || '.go' AS path, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1 AS INT) AS ordinal, kind, replace(name, '~', CAST(p_partkey AS VARCHAR)) AS name,
+  md5(replace(replace(body, '~', CAST(p_partkey AS VARCHAR)), '%', p_name)) AS body, replace(refs, '~', CAST(p_partkey AS VARCHAR)) AS refs
+FROM part JOIN pieces ON ((p_partkey >> piece) & 1) = 0""",
     "script_mixed": f"""WITH pieces(place, piece, kind, name, body) AS (VALUES {", ".join(f"({k}, {p}, '{kind}', '{name}', {_sql(body)})" for k, (p, kind, name, body) in enumerate(_PIECES))})
 SELECT 'script/m' || p_partkey || '.tsx' AS path, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1 AS INT) AS ordinal, kind, replace(name, '~', CAST(p_partkey AS VARCHAR)) AS name,
   md5(replace(replace(body, '~', CAST(p_partkey AS VARCHAR)), '%', p_name)) AS body
