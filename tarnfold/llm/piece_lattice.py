@@ -54,7 +54,7 @@ MARK = "▁"
 UNIT = 1 << 20
 PENALTY = 10 * UNIT
 ZIPF = 50  # added to ranks, as frequencies are flatter among the first
-LASTING, PASSING = 300_000, 200_000  # words a worker keeps, and words it keeps for a while
+LASTING, PASSING = 600_000, 400_000  # words a worker keeps, and words it keeps for a while
 LISTS = 50_000  # words whose N best a worker keeps
 LONG = 256  # characters of a word that is not kept beyond a batch
 _SPLIT = re.compile(" *[^ ]+| +")
@@ -110,14 +110,16 @@ class Lattice:
             own = hit or unknown  # a piece for this character alone, or its bytes
             while True:
                 if own:
-                    at, s = own
-                    z = here + s
-                    if z > forward[j]:
-                        next_[j], forward[j], began[j], piece[j] = forward[j], z, i, at
+                    z, f = here + own[1], forward[j]
+                    if z > f:
+                        next_[j] = f
+                        forward[j] = z
+                        began[j] = i
+                        piece[j] = own[0]
                     elif z >= next_[j]:
                         next_[j] = z
-                        if z == forward[j] and (at if at >= 0 else self._bytes(word[i])[-1]) < piece[j]:
-                            began[j], piece[j] = i, at
+                        if z == f and (own[0] if own[0] >= 0 else self._bytes(word[i])[-1]) < piece[j]:
+                            began[j], piece[j] = i, own[0]
                 if hit is None or j == size:
                     break
                 j += 1
