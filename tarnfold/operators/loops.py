@@ -23,11 +23,11 @@ def ok(outcome: Column) -> Column:
     return F.coalesce(outcome.isin(*DONE), F.lit(False))
 
 
-def rounds(records: DataFrame) -> DataFrame:
-    """Per round of tool records (round, seq, tool_name, outcome, message): all_ok, any_failure, failed, calls, summary."""
+def rounds(records: DataFrame, *keys: str) -> DataFrame:
+    """Per round (and further keys) of tool records (round, seq, tool_name, outcome, message): all_ok, any_failure, failed, calls, summary."""
     rows = records.withColumn("ok", ok(F.col("outcome")))
     line = F.concat(F.when(F.col("ok"), "OK").otherwise("FAILED"), F.lit(" "), F.coalesce("tool_name", F.lit("")), F.lit(": outcome="), F.coalesce("outcome", F.lit("")), F.lit("; message="), F.coalesce("message", F.lit("")), F.lit("\n"))
-    return rows.withColumn("line", line).groupBy("round").agg(
+    return rows.withColumn("line", line).groupBy(*keys, "round").agg(
         F.bool_and("ok").alias("all_ok"),
         F.bool_or(~F.col("ok")).alias("any_failure"),
         F.count_if(~F.col("ok")).alias("failed"),

@@ -8,8 +8,12 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.operators import templates
+
 # The basic types of skill fields and their column types.
 BASIC = {
     "string": T.StringType(), "bool": T.BooleanType(), "int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(), "rune": T.IntegerType(),
@@ -143,54 +147,20 @@ class Registry:
         return [(s.name, s.description, s.schema.simpleString(), s.sop, s.source) for s in self.all()]
 
 
-_TAG = re.compile(r"\{\{-?\s*(.*?)\s*-?\}\}", re.S)
-
-
-def render(template: str, values: dict[str, Any]) -> str:
-    """Fields ``{{.X}}``, ``{{if .X}}…{{else}}…{{end}}`` and ``{{range .X}}…{{end}}`` with ``{{.}}`` inside."""
-    parts = _TAG.split(template)
-
-    def look(expr: str, dot: Any) -> Any:
-        if expr == ".":
-            return dot
-        for name in expr.lstrip(".").split("."):
-            if not isinstance(dot, dict) or name not in dot:
-                raise KeyError(expr)
-            dot = dot[name]
-        return dot
-
-    def block(at: int, dot: Any, live: bool) -> tuple[str, int, str]:
-        out = []
-        while at < len(parts):
-            if live:
-                out.append(parts[at])
-            at += 1
-            if at >= len(parts):
-                return "".join(out), at, ""
-            word, _, rest = parts[at].partition(" ")
-            at += 1
-            if word in ("end", "else"):
-                return "".join(out), at, word
-            if word == "if":
-                hit = live and bool(look(rest.strip(), dot))
-                got, at, how = block(at, dot, hit)
-                other = ""
-                if how == "else":
-                    other, at, _ = block(at, dot, live and not hit)
-                out.append(got + other)
-            elif word == "range":
-                items, start = (look(rest.strip(), dot) or []) if live else [], at
-                for x in items:
-                    got, at, _ = block(start, x, True)
-                    out.append(got)
-                if not items:
-                    _, at, _ = block(start, None, False)
-            elif live:
-                v = look(parts[at - 1], dot)
-                out.append({True: "true", False: "false"}.get(v, str(v)) if isinstance(v, bool) else str(v))
-        return "".join(out), at, ""
-
-    return block(0, values, True)[0]
+def render(template: str, values: dict[str, Any], schema: T.StructType | None = None) -> str:
+    """A template (see ``templates``) filled from values; without a schema, objects inside are structs."""
+    return templates.Template(template).fill(templates.valued(values, schema) if schema else _records(values))
+
+
+def _records(x: Any) -> Any:
+    if isinstance(x, dict):
+        return templates.Record((k, _records(v)) for k, v in x.items())
+    return [_records(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+
+def texts(rows: DataFrame, skill: Skill) -> DataFrame:
+    """Parameter rows (the columns of the skill's schema, and any others) with ``text`` and ``error``: the skill's instructions for each row."""
+    return templates.filled(rows, skill.sop, F.struct(*(F.col(f.name) for f in skill.schema)))
 
 
 def as_tool(skill: Skill, runner: Callable[[str], str] | None) -> Callable[[dict[str, Any]], str]:
@@ -202,6 +172,6 @@ def as_tool(skill: Skill, runner: Callable[[str], str] | None) -> Callable[[dict
         unknown = set(arguments) - set(skill.schema.fieldNames())
         if unknown:
             raise ValueError(f"unknown arguments: {sorted(unknown)}")
-        return runner(render(skill.sop, {f.name: arguments.get(f.name, "") for f in skill.schema}))
+        return runner(render(skill.sop, {f.name: arguments.get(f.name, "") for f in skill.schema}))  # an argument left out is empty
 
     return call

@@ -90,6 +90,13 @@ def tool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("round"), F.col("event_id").alias("seq"), F.col("event_type").alias("tool_name"), outcome.alias("outcome"), F.get_json_object("props", "$.k").alias("message"))
 
 
+def scripted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task (a user), round, seq, tool_name, outcome, message, error: what a task calls in a round, an event a call."""
+    rows = tool_records(spark, sf_dir).withColumnRenamed("round", "task")
+    broken = (F.col("task") % 29 == 0) & (F.col("seq") % 3 == 1)
+    return rows.select("task", (F.col("seq") % 3 + 1).cast("int").alias("round"), F.col("seq").cast("int").alias("seq"), "tool_name", "outcome", "message", F.when(broken, "model down").alias("error"))
+
+
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task, round, seq, name, status, detail: an event is a metric of its user's round."""
     status = F.when(F.col("event_type") == "error", "FAIL").when((F.col("event_type") == "view") & (F.col("value") > 40), "ERROR").otherwise("PASS")
@@ -102,6 +109,11 @@ def check_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("task", "round", "passed", F.when(F.col("round") > 0, F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit("\n"))).alias("diag"))
 
 
+CARD = """{{- /* the card of a part */ -}}
+{{$b := .Brand}}{{with .Words}}{{range $i, $w := .}}{{if $i}}, {{end}}{{$i}}={{$w | printf "%q"}}{{if eq $i 2}}{{break}}{{end}}{{end}}{{else}}nameless{{end}} of {{$b}}
+{{- if gt .Size 30}} large{{else if and (gt .Size 10) (ne .Own.Type "x")}} middle{{else}} small{{end}} {{printf "%.2f|%04d|%-6s|" .Price .Size "to"}} {{.Limits}} {{index .Limits "low"}} {{.Limits.none}} {{len .Own.Type -}}
+"""
+
 GO_FILE = """package p
 
 // T@ holds {

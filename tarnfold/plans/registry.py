@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions import text as tx
 from tarnfold.functions.shared import own_folder
-from tarnfold.operators import audit, catalog, code, edits, loops, markdown, memory, rendering, selection, tools
+from tarnfold.operators import audit, catalog, code, edits, loops, markdown, memory, rendering, replay, selection, templates, tools
 from tarnfold.plans import corpus, twins
 from tarnfold.plans.corpus import read
 from tarnfold.plans.engine import Engine
@@ -362,6 +362,40 @@ def engine_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.join(good, "path", "left")
 
 
+def skill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template filled from every part: branches, loops with indexes, variables, pipelines, trim marks, maps and structs."""
+    ship(spark)
+    p = read(spark, sf_dir, "part")
+    words = F.split(F.when(F.col("p_partkey") % 9 == 0, F.lit(None)).otherwise(F.col("p_name")), " ")
+    limits = F.create_map(F.lit("low"), F.col("p_size") - 1, F.lit("high"), F.col("p_size") + 1)
+    values = F.struct(F.col("p_brand").alias("Brand"), F.col("p_size").alias("Size"), F.col("p_retailprice").alias("Price"), words.alias("Words"), limits.alias("Limits"), F.struct(F.col("p_type").alias("Type")).alias("Own"))
+    return templates.filled(p.select("p_partkey", "p_brand", "p_size", "p_retailprice", "p_name", "p_type"), corpus.CARD, values).select("p_partkey", "text", "error")
+
+
+def retry_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retry loop of every user at once, calls as events have them."""
+    script = corpus.scripted_calls(spark, sf_dir)
+    tasks = script.select("task").distinct().select("task", F.concat(F.lit("Task "), "task").alias("prompt"))
+    ends, calls = replay.retried(tasks, lambda active: active.join(script, ["task", "round"]).select("task", "seq", "tool_name", "outcome", "message", "error"))
+    made = calls.groupBy("task").agg(F.count(F.lit(1)).alias("calls"))
+    return ends.join(made, "task", "left").select("task", "rounds", "success", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), F.md5("prompt").alias("prompt"))
+
+
+def verify_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verify loop of every customer at once: all ways that it can end, and what the rounds were told."""
+    checks, metrics = corpus.check_rows(spark, sf_dir), corpus.metric_rows(spark, sf_dir)
+    tasks = checks.select("task").distinct().select("task", F.concat(F.lit("Task "), "task").alias("description"))
+    key = F.col("task")
+    late = checks.withColumn("passed", F.col("passed") & (F.col("round") == 2)).withColumn("error", F.when((key % 13 == 0) & (F.col("round") == key % 2), "unverifiable"))
+    errors = lambda rows, by: rows.select("task", F.when((key % by == 0) & (F.col("round") == 1 + key % 2), "down").alias("error"))
+    ends, told = replay.verified(
+        tasks, lambda rows: errors(rows, 17), lambda rows: (rows.join(late, ["task", "round"]).select("task", "passed", "diag", "error"), rows.join(metrics, ["task", "round"]).drop("round")),
+        2, lambda rows: errors(rows, 19), lambda task, k: (task % 23 == 0) & (k == 1 + task % 2),
+    )
+    rounds = told.groupBy("task").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("round", "block"))), lambda x: x["block"]), "\n")).alias("told"))
+    return ends.join(rounds, "task", "left").select("task", "outcome", "passed", "rounds", "error", "told")
+
+
 def named_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context blocks with chunks by name, as where no store knows their order."""
     return rendering.file_blocks(*_decided(spark, sf_dir), by="name").select("path", "chunks", F.md5("block").alias("block"))
@@ -381,7 +415,7 @@ _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
-    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, go_mixed, code_edits, tree_listing, note_files, engine_edits, named_blocks, metric_statuses, chunk_kinds,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, go_mixed, code_edits, tree_listing, note_files, engine_edits, skill_texts, retry_runs, verify_runs, named_blocks, metric_statuses, chunk_kinds,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

@@ -293,6 +293,28 @@ FROM documents WHERE doc_id % 10 > 1 AND doc_id % 3 > 0""",
 UNION ALL SELECT 'skill', n_name, NULL, 'Know ' || n_name || '.' || chr(10) FROM nation""",
     "engine_edits": f"""WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 0), c(place, kind, name, body) AS (VALUES {", ".join(f"({k}, '{kind}', '{name}', {_sql(body)})" for k, (kind, name, body, _) in enumerate((*_GO[:4], ("Function", "Make@", "func Make@() {}", ""), ("Function", "Added@", "func Added@() {}", ""))))})
 SELECT 'go/p' || k || '.go' AS path, CAST(place AS INT) AS ordinal, kind, replace(name, '@', CAST(k AS VARCHAR)) AS name, md5(replace(body, '@', CAST(k AS VARCHAR))) AS body, place < 5 AS same_id, TRUE AS applied FROM k, c""",
+    "skill_texts": """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'nameless' ELSE array_to_string(list_transform(string_split(p_name, ' ')[:3], lambda w, i: (i - 1) || '="' || w || '"'), ', ') END || ' of ' || p_brand
+  || CASE WHEN p_size > 30 THEN ' large' WHEN p_size > 10 THEN ' middle' ELSE ' small' END || ' ' || printf('%.2f|%04d|%-6s|', p_retailprice, p_size, 'to') || ' map[high:' || p_size + 1 || ' low:' || p_size - 1 || '] ' || p_size - 1 || ' <no value> ' || length(p_type) AS text,
+  CAST(NULL AS VARCHAR) AS error FROM part""",
+    "retry_runs": f"""WITH calls AS (SELECT user_id AS task, event_id % 3 + 1 AS round, event_id AS seq, event_type AS tool, CASE event_type WHEN 'error' THEN 'conflict' WHEN 'view' THEN 'noop' ELSE 'applied' END AS outcome, props ->> '$.k' AS message,
+  user_id % 29 = 0 AND event_id % 3 = 1 AS broken FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY task, round ORDER BY seq) AS i FROM calls WHERE NOT broken),
+per AS (SELECT task, round, bool_or(broken) AS broken, count(*) FILTER (WHERE NOT broken) AS n, coalesce(bool_and(outcome <> 'conflict') FILTER (WHERE NOT broken), TRUE) AS good FROM calls GROUP BY ALL),
+told AS (SELECT task, round, string_agg('[' || i || '] ' || CASE WHEN outcome = 'conflict' THEN 'FAILED' ELSE 'OK' END || ' ' || tool || ': outcome=' || outcome || '; message=' || coalesce(message, ''), chr(10) ORDER BY seq) AS lines FROM numbered GROUP BY ALL),
+whole AS (SELECT t.task, v.r, coalesce(p.good, TRUE) AND NOT coalesce(p.broken, FALSE) AS good, coalesce(p.broken, FALSE) AS broken, coalesce(p.n, 0) AS n, coalesce(told.lines, '') AS lines
+  FROM (SELECT DISTINCT task FROM calls) t CROSS JOIN (VALUES (1), (2), (3)) AS v(r) LEFT JOIN per p ON p.task = t.task AND p.round = v.r LEFT JOIN told ON told.task = t.task AND told.round = v.r),
+ends AS (SELECT task, coalesce(min(r) FILTER (WHERE good OR broken), 3) AS rounds FROM whole GROUP BY task)
+SELECT e.task, CAST(e.rounds AS INT) AS rounds, bool_or(w.good) FILTER (WHERE w.r = e.rounds) AS success, CAST(sum(w.n) AS BIGINT) AS calls,
+  md5('Task ' || e.task || coalesce(string_agg(chr(10) || chr(10) || '<previous_attempt round="' || w.r || '">' || chr(10) || {_sql(RETRY)} || chr(10) || w.lines || chr(10) || '</previous_attempt>', '' ORDER BY w.r) FILTER (WHERE w.r < e.rounds), '')) AS prompt
+FROM ends e JOIN whole w ON w.task = e.task AND w.r <= e.rounds GROUP BY e.task, e.rounds""",
+    "verify_runs": f"""WITH {_CHECKS}, per AS (SELECT task, round, bool_and(status = 'PASS') AS ok FROM metrics GROUP BY ALL),
+v AS (SELECT task, round AS k, coalesce(ok, passed AND round = 2) AS good, task % 13 = 0 AND round = task % 2 AS bad, round = 1 + task % 2 AS turn FROM checks LEFT JOIN per USING (task, round)),
+s AS (SELECT task, k, CASE WHEN k = 0 THEN CASE WHEN bad THEN 'initial-verify-error' WHEN good THEN 'noop-initial-passed' END WHEN turn AND task % 23 = 0 THEN 'ctx-cancelled' WHEN turn AND task % 17 = 0 THEN 'llm-error'
+  WHEN turn AND task % 19 = 0 THEN 'hook-error' WHEN bad THEN 'verify-error' WHEN good THEN 'verify-passed' WHEN k = 2 THEN 'max-rounds-exhausted' END AS outcome FROM v),
+e AS (SELECT task, min(k) AS k, arg_min(outcome, k) AS outcome FROM s WHERE outcome IS NOT NULL GROUP BY task),
+b AS (SELECT e.task, md5(string_agg(block, chr(10) ORDER BY round)) AS told FROM e JOIN told ON told.task = e.task AND round > 0 AND (round < k OR round = k AND outcome IN ('verify-passed', 'max-rounds-exhausted')) GROUP BY e.task)
+SELECT e.task, outcome, outcome IN ('noop-initial-passed', 'verify-passed') AS passed, CAST(CASE outcome WHEN 'ctx-cancelled' THEN k - 1 ELSE k END AS INT) AS rounds,
+  CASE WHEN outcome IN ('initial-verify-error', 'verify-error') THEN 'unverifiable' WHEN outcome IN ('llm-error', 'hook-error') THEN 'down' END AS error, told FROM e LEFT JOIN b USING (task)""",
     "go_mixed": f"""WITH pieces(place, piece, kind, name, body, refs) AS (VALUES {", ".join(f"({k}, {p}, '{kind}', '{name}', {_sql(body)}, '{refs}')" for k, (p, kind, name, body, refs) in enumerate(_GO_MIXED))})
 SELECT 'go/m' || p_partkey || '.go' AS path, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1 AS INT) AS ordinal, kind, replace(name, '~', CAST(p_partkey AS VARCHAR)) AS name,
   md5(replace(replace(body, '~', CAST(p_partkey AS VARCHAR)), '%', p_name)) AS body, replace(refs, '~', CAST(p_partkey AS VARCHAR)) AS refs
