@@ -143,12 +143,21 @@ def parse_mode(mode: Column) -> Column:
     return F.when(m.isin(*MODES), m).otherwise("IGNORE")
 
 
+_NAMED = {"\a": "a", "\b": "b", "\f": "f", "\n": "n", "\r": "r", "\t": "t", "\v": "v", '"': '"', "\\": "\\"}
+
+
 def quoted(c: Column) -> Column:
-    """A double-quoted string with backslashes, quotes, tabs and line ends escaped."""
-    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, written in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
-        out = F.replace(out, F.lit(raw), F.lit(written))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """A double-quoted string. Letters, marks, numbers, punctuation, symbols and spaces stand; other characters are escaped by name or by number."""
+
+    def escaped(x: Column) -> Column:
+        at, out = F.ascii(x), F.when(x.rlike(r'^[\p{L}\p{M}\p{N}\p{P}\p{S} ]$') & ~x.isin('"', "\\"), x)
+        for raw, name in _NAMED.items():
+            out = out.when(x == raw, "\\" + name)
+        digits = lambda lead, n: F.concat(F.lit("\\" + lead), F.lower(F.lpad(F.hex(at), n, "0")))
+        return out.when(at < 0x80, digits("x", 2)).when(at < 0x10000, digits("u", 4)).otherwise(digits("U", 8))
+
+    plain = ~c.rlike(r'[^\x20-\x7e]|["\\]')
+    return F.concat(F.lit('"'), F.when(plain | (c == ""), c).otherwise(F.array_join(F.transform(F.split(c, "", -1), escaped), "")), F.lit('"'))
 
 
 def join_sections(parts: Column) -> Column:

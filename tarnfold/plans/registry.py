@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions import text as tx
-from tarnfold.functions.shared import own_folder
+from tarnfold.functions.shared import ensure_checkpoints, own_folder
 from tarnfold.operators import audit, catalog, code, edits, loops, markdown, memory, rendering, replay, selection, templates, tools
 from tarnfold.plans import corpus, twins
 from tarnfold.plans.corpus import read
@@ -130,7 +130,8 @@ def decision_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expand_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skeletons whose customer has a positive balance are raised to FULL by the second pass; nothing is lowered."""
-    first = coverage_default(spark, sf_dir)
+    ensure_checkpoints(spark)
+    first = coverage_default(spark, sf_dir).checkpoint()  # read twice below
     rich = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     more = selection.skeletons(rich, first).select(F.col("id").alias("chunk_id"), F.lit("FULL").alias("mode"), F.lit("expanded").alias("reason"), F.lit(2).alias("pass"))
     return selection.merge(first.withColumn("pass", F.lit(1)).unionByName(more), "pass")
@@ -251,7 +252,10 @@ def scenario_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    rows = e.select(F.col("event_type").alias("description"), F.when(F.col("event_id") % 2 == 0, F.lit("fix")).alias("tag"), F.lit("verify-passed").alias("outcome"), (F.col("event_type") != "error").alias("passed"), F.lit(3).alias("rounds"), F.date_trunc("second", "ts").alias("ended"))
+    status = F.when(F.col("event_type") == "error", "FAIL").otherwise("PASS")
+    metrics = F.when(F.col("event_id") % 3 > 0, F.create_map(F.concat(F.lit("m"), F.col("event_id").cast("string")), F.struct(F.get_json_object("props", "$.k").alias("detail"), status.alias("status"))))
+    reflections = F.when(F.col("event_id") % 5 == 0, F.array(F.concat(F.lit("saw "), "event_type"), F.lit('a "quote"')))
+    rows = e.select(F.col("event_type").alias("description"), F.when(F.col("event_id") % 2 == 0, F.lit("fix")).alias("tag"), F.lit("verify-passed").alias("outcome"), (F.col("event_type") != "error").alias("passed"), F.lit(3).alias("rounds"), metrics.alias("metrics"), reflections.alias("reflections"), F.date_trunc("second", "ts").alias("ended"))
     return loops.archive_json(rows)
 
 

@@ -285,7 +285,9 @@ SELECT '<session_history count="' || count(*) || '">' || chr(10) || string_agg('
     "scenario_expectation": """WITH v AS (SELECT user_id AS scenario, CASE WHEN max(value) FILTER (event_type = 'error') > 60 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM events GROUP BY 1)
 SELECT c_custkey AS scenario, 'PASS' AS wanted, verdict, CASE WHEN verdict IS NULL THEN 'MISSING' WHEN verdict = 'PASS' THEN 'MATCH' ELSE 'MISMATCH' END AS state FROM customer LEFT JOIN v ON scenario = c_custkey""",
     "archive_json": """SELECT CASE WHEN event_id % 2 = 0 THEN 'fix' ELSE 'task' END || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
-  '{"description":"' || event_type || '","outcome":"verify-passed","passed":' || CASE WHEN event_type <> 'error' THEN 'true' ELSE 'false' END || ',"rounds":3' || CASE WHEN event_id % 2 = 0 THEN ',"tag":"fix"' ELSE '' END || '}' AS summary FROM events""",
+  '{"description":"' || event_type || '"' || CASE WHEN event_id % 3 > 0 THEN ',"metrics":{"m' || event_id || '":{' || coalesce('"detail":"' || (props ->> '$.k') || '",', '') || '"status":"' || CASE event_type WHEN 'error' THEN 'FAIL' ELSE 'PASS' END || '"}}' ELSE '' END
+  || ',"outcome":"verify-passed","passed":' || CASE WHEN event_type <> 'error' THEN 'true' ELSE 'false' END || CASE WHEN event_id % 5 = 0 THEN ',"reflections":["saw ' || event_type || '","a \\"quote\\""]' ELSE '' END
+  || ',"rounds":3' || CASE WHEN event_id % 2 = 0 THEN ',"tag":"fix"' ELSE '' END || '}' AS summary FROM events""",
     "go_chunks": f"WITH {_coded('go/p@.go', _GO)} SELECT * FROM coded",
     "tree_listing": """SELECT source || '/n' || doc_id % 7 || '/' || CASE doc_id % 4 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || doc_id || CASE doc_id % 3 WHEN 1 THEN '.MD' ELSE '.md' END AS path, '.md' AS ext, md5(coalesce(text, '')) AS content
 FROM documents WHERE doc_id % 10 > 1 AND doc_id % 3 > 0""",

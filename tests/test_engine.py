@@ -33,8 +33,10 @@ def project(tmp_path):
 
 
 def test_index_is_incremental_and_keeps_ids(spark, project, tmp_path):
-    e = Engine(spark, str(project), str(tmp_path / "store"))
+    told = []
+    e = Engine(spark, str(project), str(tmp_path / "store"), listener=lambda event, facts: told.append((event, facts)))
     assert e.index(1) == {"scanned": 5, "skipped": 0, "indexed": 5, "failed": 0, "deleted": 0, "chunks": 7}
+    assert [t for t, _ in told] == ["index_counted", "index_committed"] and told[0][1]["chunks"] == 7 and told[1][1] == {"version": 1}
     first = {(r.path, r.name): r.id for r in e.chunks().collect()}
     assert len(set(first.values())) == 7
     assert e.index(2)["skipped"] == 5
@@ -108,9 +110,9 @@ def test_selection_survives_failing_policies(spark):
     def broken(prompt, rows):
         raise RuntimeError("down")
 
-    decisions, missing, errors = selection.select("n7", chunks, selection.Config(broken))
+    decisions, missing, errors, failures = selection.select("n7", chunks, selection.Config(broken))
     assert errors == ["triage: down"] and missing.count() == 120 and {r["mode"] for r in decisions.collect()} == {"IGNORE"}
-    decisions, missing, errors = selection.select("n77", chunks, selection.Config(selection.rule_policy, broken))
+    decisions, missing, errors, failures = selection.select("n77", chunks, selection.Config(selection.rule_policy, broken))
     assert errors == ["expand: down"] and missing.count() == 0
     assert {r.chunk_id for r in decisions.where("mode = 'FULL'").collect()} == {"c7", "c77"}
     assert selection.shards(chunks).select("shard").distinct().count() == 3
@@ -118,6 +120,34 @@ def test_selection_survives_failing_policies(spark):
         selection.Config()
 
 
+def test_every_failed_shard_is_told(spark):
+    chunks = spark.createDataFrame([("a", i, f"c{i}", "Section", "n", "", []) for i in range(260)], "path string, ordinal int, id string, kind string, name string, body string, refs array<string>")
+
+    def down(prompt, rows, sink):
+        raise RuntimeError("down")
+
+    _, missing, errors, failures = selection.select("x", chunks, selection.Config(selection.called(down), shard_size=2))
+    assert failures.count() == 130 and failures.select("shard").distinct().count() == 130 and missing.count() == 260 and errors == []
+
+
+def test_the_second_pass_as_a_folded_state_decides_as_one_group_does(spark):
+    rows = [("a", i, f"c{i:04}", "Section", f"n{(i * 7919) % 1000:04}", "", []) for i in range(900)]
+    chunks = spark.createDataFrame(rows, "path string, ordinal int, id string, kind string, name string, body string, refs array<string>").repartition(7)
+    best = lambda held: sorted(held)[:5]
+    folded = selection.Folded(lambda: [], lambda held, row: best([*held, (row["name"], row["id"])]), lambda a, b: best(a + b), lambda prompt, held: [(i, "FULL", prompt + n) for n, i in held])
+    every = lambda prompt, rows: rows.select(F.col("id").alias("chunk_id"), F.lit("SKELETON").alias("mode"), F.lit("").alias("reason"), "shard")
+    gathered = selection.called(lambda prompt, rows, sink: sink([(i, "FULL", prompt + n) for n, i in best([(r["name"], r["id"]) for r in rows])]))
+    one, two = ({r.chunk_id: (r["mode"], r.reason) for r in selection.select("p", chunks, selection.Config(every, expand))[0].collect()} for expand in (folded, gathered))
+    assert one == two and sum(m == "FULL" for m, _ in one.values()) == 5 and len(one) == 900
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)  # a tree of two levels
+    try:
+        assert {r.chunk_id for r in folded("p", chunks).collect()} == {i for i, (m, _) in one.items() if m == "FULL"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert folded("p", chunks.limit(0)).count() == 0
+
+
 def test_merge_keeps_the_earlier_of_equals_and_never_lowers(spark):
     votes = spark.createDataFrame([("a", "full", "x", 2), ("a", "SKELETON", "y", 3), ("b", "SKELETON", "first", 1), ("b", "skeleton", "second", 2), ("c", "odd", "z", 1)], "chunk_id string, mode string, reason string, seq int")
     got = {r.chunk_id: (r["mode"], r.reason) for r in selection.merge(votes, "seq").collect()}
@@ -280,8 +310,8 @@ def test_a_failing_shard_costs_its_own_votes_alone(spark):
         sink([(rows[0]["id"], "FULL", "early")])
         sink([(r["id"], "SKELETON", prompt) for r in rows])
 
-    decisions, missing, errors = selection.select("late", chunks, selection.Config(selection.called(ask), selection.called(lambda p, rows, sink: sink([(rows[0]["id"], "FULL", "up")]))))
-    assert errors == ["triage: shard 0: down", "triage: shard 2: no answer"] and missing.count() == 80
+    decisions, missing, errors, failures = selection.select("late", chunks, selection.Config(selection.called(ask), selection.called(lambda p, rows, sink: sink([(rows[0]["id"], "FULL", "up")]))))
+    assert errors == [] and sorted(map(tuple, failures.collect())) == [("triage", 0, "down"), ("triage", 2, "no answer")] and missing.count() == 80
     got = {r.chunk_id: (r["mode"], r.reason) for r in decisions.collect()}
     assert len(got) == 130 and sum(x == ("SKELETON", "late") for x in got.values()) == 49 and sum(x == ("FULL", "up") for x in got.values()) == 1
 
