@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.functions import ids
 from tarnfold.functions import text as tx
 from tarnfold.functions.shared import ensure_checkpoints, own_folder
 from tarnfold.operators import audit, catalog, code, edits, loops, markdown, memory, rendering, replay, selection, templates, tools
@@ -400,6 +401,54 @@ def verify_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.join(rounds, "task", "left").select("task", "outcome", "passed", "rounds", "error", "told")
 
 
+def context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole context document as ordered rows."""
+    return rendering.document_rows(rendering.file_blocks(*_decided(spark, sf_dir))).select("number", F.md5("text").alias("text"))
+
+
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", ids.chunk_id(F.col("p_partkey") * 7919 % ids.ID_SPACE).alias("id"))
+
+
+def skills_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills in order of their names, in one block."""
+    skills = read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey").cast("string")).alias("name"), F.col("c_name").alias("path"), F.concat(F.lit("Ask for "), "c_name", F.lit(".\n\n")).alias("content"))
+    return memory.skills_block(skills)
+
+
+def catalog_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without those of deleted files; deleting files that are not there does no harm."""
+    old, _ = _versions(spark, sf_dir)
+    return catalog.delete(old, old.where("ordinal = 5").select("path").unionByName(spark.range(3).select(F.concat(F.lit("none/"), "id").alias("path")))).select("path", "ordinal", "id")
+
+
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with their results."""
+    requests = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.col("c_name").alias("asked"))
+    results = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("path")).agg(F.count(F.lit(1)).alias("chunks"))
+    return tools.answered(requests, results)
+
+
+def chunk_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a policy sees of each chunk."""
+    return selection.view(_decided(spark, sf_dir)[0].withColumn("refs", F.array("name"))).select("id", "kind", "name", "path", F.md5("signature").alias("signature"), F.array_join("refs", " ").alias("refs"))
+
+
+def joined_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's texts with a blank line between, empty ones left out."""
+    t = read(spark, sf_dir, "conversations")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("turn") % 3 == 1, "").otherwise(F.coalesce("text", F.lit(""))).alias("text")))), lambda x: x["text"])
+    return t.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", F.md5(tx.join_sections(F.col("parts"))).alias("text"))
+
+
+def error_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line, column and message of faults as parsers write them, less the line that wraps a snippet."""
+    p = read(spark, sf_dir, "part")
+    said = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat(F.when(F.col("p_partkey") % 4 == 1, "snippet.go:").otherwise(""), F.col("p_size").cast("string"), F.lit(":7: expected "), F.col("p_name")))
+    line, column, message = edits.error_position(said)
+    return p.select("p_partkey", line.alias("line"), column.alias("col"), message.alias("message"))
+
+
 def named_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context blocks with chunks by name, as where no store knows their order."""
     return rendering.file_blocks(*_decided(spark, sf_dir), by="name").select("path", "chunks", F.md5("block").alias("block"))
@@ -419,7 +468,8 @@ _QUERIES = (
     corpus_scan_report, md_sections, md_refs, script_refs, chunk_signature, incremental_status, prune_deleted, index_report, stable_id_match, evicted_ids, upserted_chunks,
     triage_shards, rule_triage, shard_listing, decision_merge, coverage_default, decision_histogram, expand_upgrade, context_file_blocks, context_totals,
     apply_outcomes, splice_modify, splice_delete, append_chunk, file_languages, round_rollup, retry_prompts, verify_verdict, history_blocks, task_prompts,
-    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, go_mixed, code_edits, tree_listing, note_files, engine_edits, skill_texts, retry_runs, verify_runs, named_blocks, metric_statuses, chunk_kinds,
+    audit_metrics, audit_causes, audit_exit_codes, unanswered_requests, insight_filter, list_and_indent, go_chunks, script_chunks, script_mixed, go_mixed, code_edits, tree_listing, note_files, engine_edits, skill_texts, retry_runs, verify_runs, context_rows, chunk_ids,
+    skills_layer, catalog_delete, answered_requests, chunk_views, joined_sections, error_positions, named_blocks, metric_statuses, chunk_kinds,
     session_topk, history_layer, session_latest, scenario_expectation, archive_json,
 )
 

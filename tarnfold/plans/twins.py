@@ -317,6 +317,18 @@ e AS (SELECT task, min(k) AS k, arg_min(outcome, k) AS outcome FROM s WHERE outc
 b AS (SELECT e.task, md5(string_agg(block, chr(10) ORDER BY round)) AS told FROM e JOIN told ON told.task = e.task AND round > 0 AND (round < k OR round = k AND outcome IN ('verify-passed', 'max-rounds-exhausted')) GROUP BY e.task)
 SELECT e.task, outcome, outcome IN ('noop-initial-passed', 'verify-passed') AS passed, CAST(CASE outcome WHEN 'ctx-cancelled' THEN k - 1 ELSE k END AS INT) AS rounds,
   CASE WHEN outcome IN ('initial-verify-error', 'verify-error') THEN 'unverifiable' WHEN outcome IN ('llm-error', 'hook-error') THEN 'down' END AS error, told FROM e LEFT JOIN b USING (task)""",
+    "context_rows": f"""WITH {_BLOCKS}, whole AS (SELECT path, '<file path="' || replace(path, '"', chr(92) || '"') || '" chunks="' || chunks || '" full="' || "full" || '" skeleton="' || skeleton || '" ignored="' || ignored || '">' || chr(10) || body || '</file>' || chr(10) || chr(10) AS text FROM blocks)
+SELECT CAST(0 AS BIGINT) AS number, md5('<context files="' || count(*) || '" full="' || sum("full") || '" skeleton="' || sum(skeleton) || '" ignored="' || sum(ignored) || '">' || chr(10)) AS text FROM blocks
+UNION ALL SELECT row_number() OVER (ORDER BY path), md5(text) FROM whole UNION ALL SELECT count(*) + 1, md5('</context>' || chr(10)) FROM blocks""",
+    "chunk_ids": "SELECT p_partkey, translate(to_base64(unhex(printf('%06X', CAST((p_partkey * 7919 % 16777216 * 10368889 + 335637) % 16777216 AS BIGINT)))), '+/', '-_') AS id FROM part",
+    "skills_layer": """SELECT '<task_skills count="' || count(*) || '">' || chr(10) || string_agg('<skill name="' || c_mktsegment || ' ' || c_custkey || '">' || chr(10) || 'Ask for ' || c_name || '.' || chr(10) || '</skill>' || chr(10), '' ORDER BY c_mktsegment || ' ' || c_custkey) || '</task_skills>' AS text
+FROM customer WHERE c_custkey % 50 = 0""",
+    "catalog_delete": f"WITH {_VERSIONS} SELECT path, ordinal, id FROM old WHERE path NOT IN (SELECT path FROM old WHERE ordinal = 5)",
+    "answered_requests": "SELECT c_custkey AS path, c_name AS asked, count(*) AS chunks FROM customer JOIN events ON user_id = c_custkey GROUP BY ALL",
+    "chunk_views": f"""WITH {_BLOCKS} SELECT id, 'Section' AS kind, role AS name, path, md5(coalesce(code[1], '// x')) AS signature, role AS refs FROM shown""",
+    "joined_sections": "SELECT conv_id, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 3 <> 1 AND text <> ''), '')) AS text FROM conversations GROUP BY conv_id",
+    "error_positions": """SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN greatest(p_size - 1, 1) END AS line, CAST(CASE WHEN p_partkey % 4 > 0 THEN 7 END AS INT) AS col,
+  CASE WHEN p_partkey % 4 > 0 THEN 'expected ' ELSE '' END || p_name AS message FROM part""",
     "go_mixed": f"""WITH pieces(place, piece, kind, name, body, refs) AS (VALUES {", ".join(f"({k}, {p}, '{kind}', '{name}', {_sql(body)}, '{refs}')" for k, (p, kind, name, body, refs) in enumerate(_GO_MIXED))})
 SELECT 'go/m' || p_partkey || '.go' AS path, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1 AS INT) AS ordinal, kind, replace(name, '~', CAST(p_partkey AS VARCHAR)) AS name,
   md5(replace(replace(body, '~', CAST(p_partkey AS VARCHAR)), '%', p_name)) AS body, replace(refs, '~', CAST(p_partkey AS VARCHAR)) AS refs
