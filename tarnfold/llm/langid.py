@@ -150,14 +150,18 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
 
+def _place(space: int = 1 << 40) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(space))
+
+
 def _sample(given: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
     """text, lang: of each language its share of ``rows``, by the smallest hashes of id and text; equal rows once.
 
-    A cut at 1.3 times the share first, so that few more rows than that are sorted for a language.
+    A cut at 1.3 times the share first, so that few more rows than that are sorted for a language; ``counts`` tells how many unlike rows a language has, about.
     """
     share = max(1, rows // max(1, len(counts)))
     space = 1 << 40
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(space))
+    place = _place(space)
     cuts = given.sparkSession.createDataFrame([(g, int(space * min(1.0, (1.3 * share + 50) / n))) for g, n in counts.items()], "lang string, cut long")
     few = given.withColumn("place", place).join(F.broadcast(cuts), "lang").where("place < cut").dropDuplicates(["lang", "doc_id", "text"])
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
@@ -169,11 +173,12 @@ def learn(docs: DataFrame, rows: int = ROWS) -> Model:
     spark = docs.sparkSession
     ship(spark)
     given = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = {r.lang: r["count"] for r in given.groupBy("lang").count().collect()}
+    facts = given.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(_place(), 0.03).alias("unlike")).collect()  # a row a language
+    counts = {r.lang: r.n for r in facts}
     languages = sorted(counts, key=lambda g: (-counts[g], g))
     if not languages:
         return Model([], np.zeros(0), {}, {}, np.zeros((1, 0), np.float32))
-    sample = stage(_sample(given, counts, rows), "language-sample")
+    sample = stage(_sample(given, {r.lang: max(1, r.unlike) for r in facts}, rows), "language-sample")
     parts = sample.repartition(width(spark)).mapInArrow(_counted, "kind string, term string, lang string, n long")
     got = parts.groupBy("kind", "term", "lang").agg(F.sum("n").alias("n")).orderBy("kind", "term", "lang").toArrow()
     place = {g: i for i, g in enumerate(languages)}

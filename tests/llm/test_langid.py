@@ -76,6 +76,15 @@ def test_against_brute_force(spark, sf):
     assert {x[1] for x in got if x[0] in (10**6 + 9, 10**6 + 10, 10**6 + 13)} == {"und"}
 
 
+def test_a_language_whose_rows_repeat_gets_its_share(spark, monkeypatch):
+    rows = [(k, f"ein text mit wort{k}", "de") for k in range(400)] + [(1000 + k % 400, f"a text with word{k % 400}", "en") for k in range(40_000)]
+    seen = []
+    sample = langid._sample
+    monkeypatch.setattr(langid, "_sample", lambda *a: seen.append(sample(*a)) or seen[-1])
+    langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200)
+    assert Counter(r.lang for r in seen[0].collect()) == {"de": 100, "en": 100}
+
+
 def test_a_bounded_sample_gives_each_language_its_share(spark):
     rows = [(k, f"common words number {'abcdefghij'[k % 10]} again", "en") for k in range(3000)] + [(10**5 + k, f"rara lengua {'xyz'[k % 3]}", "ast") for k in range(9)] + [(10**6, "same text", "en")] * 2000
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
