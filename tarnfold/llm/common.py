@@ -6,8 +6,10 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def give_back() -> None:
         pass
 
 
+def values(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """A column's values one after the other; no more than ``step`` of them are Python objects at a time."""
+    for k in range(0, len(column), step):
+        yield from column.slice(k, step).to_pylist()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set (tests, one machine)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

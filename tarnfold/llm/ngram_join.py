@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import BUCKETS, keep_rows, ship, stage, text_or_empty, width
+from tarnfold.llm.common import BUCKETS, keep_rows, ship, stage, text_or_empty, values, width
 
 LEAST_GROUPS = 16
 COMMON = 48  # documents a shingle must be counted in (lossily) to come late in the order
@@ -208,7 +208,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         known, often = sent.value
         for b in batches:
             n, digest, prefix, late, points = [], [], [], [], []
-            for t in b.column(3).to_pylist():
+            for t in values(b.column(3)):
                 own = shingles(t)
                 size = prefix_size(len(own))
                 n.append(len(own))

@@ -154,8 +154,9 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns, with personal data in the text replaced; null texts stay null."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf(T.StringType())
-    def clean(column):
-        return column.map(lambda x: x if x is None else masked(x, find(x)))
+    @F.arrow_udf(T.StringType())
+    def clean(column: pa.Array) -> pa.Array:
+        parts = (pa.array([x if x is None else masked(x, find(x)) for x in column.slice(k, 256).to_pylist()], pa.string()) for k in range(0, len(column), 256))
+        return pa.concat_arrays([pa.array([], pa.string()), *parts])
 
     return docs.withColumn(text, clean(docs[text].cast("string")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import give_back, ship
+from tarnfold.llm.common import give_back, ship, values
 
 ROWS = 12_000  # labelled rows that a machine is fitted on, at most
 FACTORS = 4
@@ -219,10 +219,10 @@ def score_of(machine: Machine, text: Column, spark: SparkSession) -> Column:
     ship(spark)
     sent = spark.sparkContext.broadcast(machine)
 
-    @F.pandas_udf("double")
-    def score(column):
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
         m = sent.value
-        return column.map(m.score).astype("float64")
+        return pa.array((m.score(t) for t in values(column)), pa.float64())
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
