@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.functions import shared
-from tarnfold.operators import code, edits, golang
+from tarnfold.operators import code, edits, golang, templates
 from tarnfold.sources import edited, tree
 
 GO = "package p\n\n// A is\nfunc A(n int) string { return b(\"}\", n) }\n"
@@ -36,6 +36,12 @@ def test_files_of_one_folder_are_dealt(spark, tmp_path):
     assert found.count() == 40 and used(found) > 4 and used(tree.with_content(found)) > 4
 
 
+def test_rows_are_dealt_before_they_are_filled(spark):
+    rows = spark.range(40).coalesce(1)
+    found = templates.filled(rows, "{{.N}}", F.struct(F.col("id").alias("N")))
+    assert used(found) > 4 and {(r.id, r.text) for r in found.collect()} == {(k, str(k)) for k in range(40)}
+
+
 def test_an_edited_file_is_read_once(monkeypatch):
     read, seen = golang.parsed, []
     monkeypatch.setattr(golang, "parsed", lambda text: seen.append(text) or read(text))
