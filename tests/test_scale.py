@@ -1,10 +1,13 @@
 """Work that costs far more than its bytes goes to many tasks, and is done once."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.functions import shared
 from tarnfold.operators import code, edits, golang, templates
+from tarnfold.plans import registry
 from tarnfold.sources import edited, tree
 
 GO = "package p\n\n// A is\nfunc A(n int) string { return b(\"}\", n) }\n"
@@ -72,3 +75,19 @@ def test_parts_lie_in_many_folders_and_old_bytes_stay(spark, tmp_path):
     assert {p.read_text() for p in tmp_path.glob("*.md")} == {"old"} and len(list(tmp_path.glob("*.md"))) == 20
     edited.forget(str(tmp_path), transaction)
     assert list((tmp_path / edited.FOLDER).iterdir()) == []
+
+
+def test_code_edits_reads_its_files_once(spark, sf):
+    plan = registry.code_edits(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the edits; chunks are held
+
+
+def test_texts_are_not_broadcast(spark):
+    files = spark.createDataFrame([("a.go", GO)], "path string, content string")
+    chunks = spark.createDataFrame([("a.go", 0, "x", "Function", "A", GO[GO.index("//") : -1])], "path string, ordinal int, id string, kind string, name string, body string")
+    mods = spark.createDataFrame([(1, "MODIFY", "x", None, "func A() {}")], "seq int, action string, chunk_id string, file_path string, new_content string")
+    found = edits.apply(mods, files, chunks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    by_path = r"\[path#\d+\], \[path#\d+\], LeftOuter"
+    assert re.search(f"SortMergeJoin {by_path}", plan) and not re.search(f"BroadcastHashJoin {by_path}", plan)
+    assert found.first().outcome == "applied"
