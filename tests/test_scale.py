@@ -91,3 +91,19 @@ def test_texts_are_not_broadcast(spark):
     by_path = r"\[path#\d+\], \[path#\d+\], LeftOuter"
     assert re.search(f"SortMergeJoin {by_path}", plan) and not re.search(f"BroadcastHashJoin {by_path}", plan)
     assert found.first().outcome == "applied"
+
+
+def test_sequence_numbers_may_be_longs(spark):
+    files = spark.createDataFrame([("a.go", GO)], "path string, content string")
+    chunks = spark.createDataFrame([("a.go", 0, "x", "Function", "A", GO[GO.index("//") : -1])], "path string, ordinal int, id string, kind string, name string, body string")
+    for kind, seq in (("long", 7_200_000_009), ("int", 9)):
+        mods = spark.createDataFrame([(seq, "MODIFY", "x", None, "func A() {}"), (seq + 1, "ODD", None, "a.go", "")], f"seq {kind}, action string, chunk_id string, file_path string, new_content string")
+        found = edits.apply(mods, files, chunks)
+        assert dict(found.dtypes)["seq"] == {"long": "bigint"}.get(kind, kind)
+        assert {(r.seq, r.outcome) for r in found.collect()} == {(seq, "applied"), (seq + 1, "conflict")}
+
+
+def test_edited_trees_may_have_wide_keys(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (3_600_000_000, 3_600_000_001, 3_600_000_002)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.engine_edits(spark, str(tmp_path)).collect()
+    assert len(got) == 12 and all(r.applied for r in got) and sum(r.same_id for r in got) == 10  # one file in three is deleted, each other one has an added chunk
